@@ -62,6 +62,10 @@ def normalise_url(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"/\z", ""), r"\.git\z", "")
 
 
+def normalise_url_text(url: str) -> str:
+    return url.removesuffix("/").removesuffix(".git")
+
+
 def wiki_url(url: Column) -> Column:
     return F.when(url.endswith(".wiki.git"), url).otherwise(F.concat(url, F.lit(".wiki.git")))
 

@@ -1,16 +1,18 @@
 """Matching a rule catalogue against lines of text.
 
 Every rule is a literal of the plan, so one pass over the lines evaluates the whole
-catalogue without a join. Three filters of rising cost keep lines away from it:
-whole texts that cannot contain a match are dropped before they are split, lines
-are tested against one alternation, and only the lines left are tested rule by rule.
+catalogue without a join. Cheap tests keep most text away from the patterns: a rule is
+only run where a literal it requires occurs, first on whole texts before they are
+split, then on lines.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
 from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +21,9 @@ from keysieve.sources.rules import Rule
 
 # Caseless with Unicode folding and Unicode character classes.
 FLAGS = "(?iuU)"
-# Patterns per alternation; a longer catalogue becomes several alternations.
-ALTERNATION_SIZE = 200
+# Literals at least this long are rare enough to decide on their own.
+TELLING = 3
 
-_GROUP_REFERENCE = re.compile(r"\\[1-9]|\\k<|\(\?<[A-Za-z]")
 _NOT_LOCAL = re.compile(
     r"\(\?(?!:)"              # lookaround, atomic group, inline flag, named group
     r"|[*+?}]\+"              # possessive quantifier
@@ -62,33 +63,113 @@ def _without_anchors(regex: str) -> str:
     return "".join(out)
 
 
-def _alternations(patterns: Sequence[str]) -> list[str]:
-    return [FLAGS + "|".join(f"(?:{p})" for p in patterns[i:i + ALTERNATION_SIZE])
-            for i in range(0, len(patterns), ALTERNATION_SIZE)]
-
-
 def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def _literals_of(tokens) -> frozenset[str] | None:
+    """Texts of which every match of the parsed pattern holds at least one."""
+    found: list[frozenset[str]] = []
+    run = ""
+
+    def close() -> None:
+        nonlocal run
+        if run:
+            found.append(frozenset([run]))
+        run = ""
+
+    for kind, value in tokens:
+        name = str(kind)
+        if name == "LITERAL" and 32 <= value < 127:
+            run += chr(value).lower()
+            continue
+        close()
+        inner = None
+        if name == "SUBPATTERN":
+            inner = _literals_of(value[3])
+        elif name == "ATOMIC_GROUP":
+            inner = _literals_of(value)
+        elif name.endswith("REPEAT") and value[0] > 0:
+            inner = _literals_of(value[2])
+        elif name == "BRANCH":
+            branches = [_literals_of(branch) for branch in value[1]]
+            if all(branches):
+                inner = frozenset().union(*branches)
+        if inner:
+            found.append(inner)
+    close()
+    return max(found, key=lambda texts: min(map(len, texts)), default=None)
+
+
+def required_literals(regex: str) -> list[str]:
+    """Lowercase texts of which every match contains one; empty if none are known."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            texts = _literals_of(_parser.parse(regex))
+    except (re.error, OverflowError, RecursionError):
+        return []
+    return sorted(t for t in texts or () if not any(o != t and o in t for o in texts))
+
+
+def _holds_literal(lowered: Column, literals: Sequence[str]) -> Column:
+    """Whether the lowercased text holds a literal, or a letter that only a caseless
+    match equates with one of the literals' letters."""
+    looked_for = list(literals)
+    if any("s" in t for t in literals):
+        looked_for.append("\u017f")
+    if any("i" in t for t in literals):
+        looked_for += ["\u0131", "i\u0307"]
+    return _any([lowered.contains(t) for t in looked_for])
+
+
+def _with_lowered(text: Column, condition: Callable[[Column], Column]) -> Column:
+    """Evaluate a condition with the lowercased text computed once."""
+    return F.exists(F.array(F.lower(text)), condition)
+
+
 def matches_any(text: Column, rules: Sequence[Rule]) -> Column:
-    """Whether at least one rule matches; group references are tested on their own."""
-    joint = [r.regex for r in rules if not _GROUP_REFERENCE.search(r.regex)]
-    alone = [java_pattern(r.regex) for r in rules if _GROUP_REFERENCE.search(r.regex)]
-    return _any([text.rlike(p) for p in _alternations(joint) + alone])
+    """Whether at least one rule matches.
+
+    A rule is only run on texts that hold a literal it requires: looking for a
+    literal is several times cheaper than running the pattern.
+    """
+    def test(lowered: Column) -> Column:
+        tests = []
+        for rule in rules:
+            literals = required_literals(rule.regex)
+            matched = text.rlike(java_pattern(rule.regex))
+            tests.append(_holds_literal(lowered, literals) & matched if literals else matched)
+        return _any(tests)
+    return _with_lowered(text, test)
 
 
 def may_match(text: Column, rules: Sequence[Rule]) -> Column:
-    """A condition on a whole text, or an untrimmed line, that holds whenever one of
-    its lines matches a rule.
+    """A cheap condition on a whole text, or an untrimmed line, that holds whenever one
+    of its lines matches a rule.
 
-    Without anchors a rule that only looks at the characters it consumes matches the
-    text wherever it matches a line. If any rule is of another kind, every text
+    It looks for required literals. A rule without a telling literal is run without
+    its anchors, which matches a text wherever the rule matches a line, as long as
+    the rule only looks at the characters it consumes; failing that, every text
     passes.
     """
-    if any(_NOT_LOCAL.search(rule.regex) for rule in rules):
-        return F.lit(True)
-    return _any([text.rlike(p) for p in _alternations([_without_anchors(r.regex) for r in rules])])
+    literals: set[str] = set()
+    patterns = []
+    for rule in rules:
+        required = required_literals(rule.regex)
+        if required and min(map(len, required)) >= TELLING:
+            literals.update(required)
+        elif _NOT_LOCAL.search(rule.regex):
+            return F.lit(True)
+        else:
+            patterns.append((required, FLAGS + _without_anchors(rule.regex)))
+    def test(lowered: Column) -> Column:
+        tests = [_holds_literal(lowered, sorted(literals))] if literals else []
+        for required, pattern in patterns:
+            matched = text.rlike(pattern)
+            tests.append(_holds_literal(lowered, required) & matched if required else matched)
+        return _any(tests)
+    return _with_lowered(text, test)
 
 
 def _match_end(text: Column, rule: Rule) -> Column:

@@ -27,8 +27,8 @@ def similar_to_target(embeddings: DataFrame, snippet: str, repo_url: str,
     once and not shuffled.
     """
     target = embedding_by_snippet(embeddings, snippet).select("embedding").scalar()
-    scored = (embeddings.filter(F.col("repo_url") == repo_url)
-              .select("id", vectors.cosine(F.col("embedding"), target).alias("similarity")))
+    compared = embeddings.filter(F.col("repo_url") == repo_url).withColumn("_target", target)
+    scored = compared.select("id", vectors.cosine(F.col("embedding"), F.col("_target")).alias("similarity"))
     return scored.filter(F.col("similarity") > threshold)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,14 @@ def append_new(frame: DataFrame, path: str) -> None:
     append(frame, path)
 
 
+def bucket_of(spark: SparkSession, repo_url: str) -> int:
+    return spark.range(1).select(bucket_value(repo_url)).first()[0]
+
+
+def bucket_value(repo_url: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(repo_url)), F.lit(BUCKETS)).cast("int")
+
+
 def read(spark: SparkSession, path: str, repo_url: str | None = None) -> DataFrame | None:
     """A stored table, or None if nothing was written yet.
 
@@ -51,18 +61,15 @@ def read(spark: SparkSession, path: str, repo_url: str | None = None) -> DataFra
     """
     try:
         stored = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     if repo_url is not None:
-        wanted = spark.range(1).select(bucket_of(repo_url)).first()[0]
-        stored = stored.filter((F.col("repo_bucket") == wanted) & (F.col("repo_url") == repo_url))
+        stored = stored.filter((F.col("repo_bucket") == bucket_value(repo_url)) & (F.col("repo_url") == repo_url))
     return stored.drop("repo_bucket")
 
 
-def bucket_of(repo_url: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(repo_url)), F.lit(BUCKETS)).cast("int")
-
-
 def replace(frame: DataFrame, path: str) -> None:
     """Replace a whole bucketed table by ``frame``, which may be derived from it.
 
@@ -76,14 +83,27 @@ def replace(frame: DataFrame, path: str) -> None:
     staged.write.mode("overwrite").partitionBy("repo_bucket").parquet(path)
 
 
-def replace_buckets(frame: DataFrame, path: str) -> None:
-    """Replace only the buckets that occur in ``frame``; the others stay as they are."""
-    spark = frame.sparkSession
+def rewrite_bucket(spark: SparkSession, path: str, number: int,
+                   change: Callable[[DataFrame], DataFrame]) -> None:
+    """Apply a change to one bucket of a table and leave the others alone.
+
+    The bucket's folder is overwritten even when no row is left in it.
+    """
+    folder = f"{path}/repo_bucket={number}"
+    stored = spark.read.parquet(path)
+    schema = T.StructType([f for f in stored.schema.fields if f.name != "repo_bucket"])
+    rows = stored.filter(F.col("repo_bucket") == number).drop("repo_bucket")
     staging = shared_dir(spark, "staging")
-    _bucketed(frame).write.partitionBy("repo_bucket").parquet(staging)
-    staged = spark.read.schema(_staged_schema(frame)).parquet(staging)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("repo_bucket").parquet(path))
+    change(rows).select(*schema.fieldNames()).hint("rebalance").write.parquet(staging)
+    spark.read.schema(schema).parquet(staging).write.mode("overwrite").parquet(folder)
+
+
+def landed(frame: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back: later steps neither compute
+    it again nor lose it with an executor."""
+    path = shared_dir(frame.sparkSession, "landed")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def export_csv(frame: DataFrame, path: str) -> None:

@@ -42,7 +42,7 @@ def _name(doc_id: Column) -> Column:
     doc = doc_id.cast("string")
     shapes = [("src/app_", ".py"), ("tests/t_", ".py"), ("docs/", ".md"), ("web/", ".css"), ("lib/a/b/", ".txt")]
     return F.get(F.array(*[F.concat(F.lit(a), doc, F.lit(b)) for a, b in shapes]),
-                 F.pmod(doc_id, F.lit(5)).cast("int"))
+                 F.pmod(F.floor(doc_id / 7), F.lit(5)).cast("int"))
 
 
 def _keys(documents: DataFrame) -> list[Column]:

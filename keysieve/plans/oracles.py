@@ -56,7 +56,7 @@ _TABLES: dict[str, tuple[str, str]] = {
     "files": ("", f"""
         SELECT doc_id, lang, '{HOST}' || source AS repo_url, md5(source || doc_id::VARCHAR) AS commit_id,
                {EPOCH} + doc_id * 60 AS committed_date,
-               CASE doc_id % 5 WHEN 0 THEN 'src/app_' || doc_id || '.py' WHEN 1 THEN 'tests/t_' || doc_id || '.py'
+               CASE (doc_id // 7) % 5 WHEN 0 THEN 'src/app_' || doc_id || '.py' WHEN 1 THEN 'tests/t_' || doc_id || '.py'
                     WHEN 2 THEN 'docs/' || doc_id || '.md' WHEN 3 THEN 'web/' || doc_id || '.css'
                     ELSE 'lib/a/b/' || doc_id || '.txt' END AS file_name, text AS content
         FROM documents"""),

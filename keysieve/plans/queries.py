@@ -30,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-REPO = HOST + "src7"
+REPO = HOST + "src6"
 ORG = "src1"
 DISCOVERY = "id, file_name, commit_id, line_number, snippet, repo_url, rule_id, state, ts"
 
@@ -98,12 +98,25 @@ def corpus_lines(spark, sf_dir):
     return L.file_lines(corpus.files(spark, sf_dir)).select(*_LINE, "match_text", "snippet")
 
 
-@query("lines", "SELECT doc_id, line_number, snippet FROM lines WHERE snippet <> line")
+_BLANKS = {
+    "blank_raw": ("files", """
+        SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1)::INTEGER AS line_number, len(p) AS n
+        FROM (SELECT doc_id, string_split(content, chr(10)) AS p FROM files)"""),
+    "blank_lines": ("blank_raw", f"""
+        SELECT doc_id, line_number, {oracles._strip('line')} AS snippet,
+               length(CASE WHEN line_number > 1 THEN chr(9) ELSE '' END || line) +
+               CASE WHEN line_number < n THEN 3 ELSE 0 END AS width
+        FROM blank_raw WHERE n > 1 OR line <> ''"""),
+}
+
+
+@query("blank_lines", "SELECT doc_id, line_number, snippet, width::INTEGER AS width FROM blank_lines", _BLANKS)
 def file_snippets(spark, sf_dir):
-    """Lines that lose blanks when reported; rules still see them untrimmed."""
-    lines = L.file_lines(corpus.files(spark, sf_dir))
-    return (lines.filter(F.col("snippet") != F.regexp_replace("match_text", r"\n\z", ""))
-            .select("doc_id", "line_number", "snippet"))
+    """Indented lines with trailing blanks and CR LF ends: blanks count for the rules
+    (``width``, newline included) and are gone from the snippet."""
+    spaced = F.replace("content", F.lit("\n"), F.lit("  \r\n\t"))
+    lines = L.file_lines(corpus.files(spark, sf_dir).withColumn("content", spaced))
+    return lines.select("doc_id", "line_number", "snippet", F.length("match_text").alias("width"))
 
 
 @query("line_matches", """
@@ -856,7 +869,8 @@ def cosine_topk(spark, sf_dir):
     """The 50 vectors nearest to the first one."""
     stored = corpus.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     target = stored.filter(F.col("vec_id") == 0).select("v").scalar()
-    return (stored.select("vec_id", F.round(vectors.cosine(F.col("v"), target), 6).alias("similarity"))
+    compared = stored.withColumn("target", target)
+    return (compared.select("vec_id", F.round(vectors.cosine(F.col("v"), F.col("target")), 6).alias("similarity"))
             .orderBy(F.desc("similarity"), "vec_id").limit(50))
 
 
@@ -882,21 +896,21 @@ def embedding_by_snippet(spark, sf_dir):
 
 _SIMILAR = {
     "target": ("emb", f"SELECT embedding FROM emb WHERE snippet = '{TARGET}' ORDER BY id LIMIT 1"),
-    "similar": ("emb,target", f"""
+    "alike": ("emb,target", f"""
         SELECT e.id, list_cosine_similarity(e.embedding, t.embedding) AS similarity
         FROM emb e, target t WHERE e.repo_url = '{REPO}'
                                AND list_cosine_similarity(e.embedding, t.embedding) > {SIMILAR}"""),
 }
 
 
-@query("similar", "SELECT id, round(similarity, 6) AS similarity FROM similar", _SIMILAR)
+@query("alike", "SELECT id, round(similarity, 6) AS similarity FROM alike", _SIMILAR)
 def similar_to_target(spark, sf_dir):
     return (similarity.similar_to_target(corpus.embeddings(spark, sf_dir), TARGET, REPO, SIMILAR)
             .select("id", rounded("similarity")))
 
 
-@query("disc,similar", f"""
-    SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM similar) THEN 'addressing' ELSE state END AS state)
+@query("disc,alike", f"""
+    SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM alike) THEN 'addressing' ELSE state END AS state)
     FROM (SELECT {DISCOVERY} FROM disc)""", _SIMILAR)
 def update_similar(spark, sf_dir):
     found = corpus.discoveries(spark, sf_dir)
@@ -1038,8 +1052,8 @@ def forced_rescan(spark, sf_dir):
     path = shared_dir(spark, "discoveries")
     tables.append(corpus.discoveries(spark, sf_dir), path)
     fresh = corpus.new_discoveries(spark, sf_dir).filter(F.col("repo_url") == REPO)
-    same_bucket = spark.read.parquet(path).filter(F.col("repo_bucket") == tables.bucket_of(REPO)).drop("repo_bucket")
-    tables.replace_buckets(triage.delete_discoveries(same_bucket, REPO).unionByName(fresh), path)
+    tables.rewrite_bucket(spark, path, tables.bucket_of(spark, REPO),
+                          lambda rows: triage.delete_discoveries(rows, REPO).unionByName(fresh))
     return shown(tables.read(spark, path))
 
 
@@ -1070,12 +1084,12 @@ def stream_dedup(spark, sf_dir):
     FROM repos r LEFT JOIN (SELECT repo_url, max(ts) AS ts, count(*) AS n FROM all_found GROUP BY ALL) f
          ON r.url = f.repo_url""", _ROWS)
 def stream_last_scan(spark, sf_dir):
-    """A stream that appends discoveries and advances ``last_scan``, replayed once."""
-    landed, store = shared_dir(spark, "patches"), shared_dir(spark, "store")
+    """A stream that stores discoveries and advances ``last_scan``, restarted once."""
+    landed, store, progress = (shared_dir(spark, name) for name in ("patches", "store", "progress"))
     corpus.document_patches(spark, sf_dir).drop("doc_id").write.parquet(landed)
-    corpus.repos(spark, sf_dir).write.parquet(f"{store}/repos/v0")
     for _ in range(2):
-        streams.store_patch_stream(spark, landed, store, shared_dir(spark, "progress"), CORPUS_RULES, **corpus.shape())
-    counts = tables.read(spark, f"{store}/discoveries").groupBy(F.col("repo_url").alias("url")).agg(
+        streams.store_patch_stream(spark, landed, store, progress, CORPUS_RULES, **corpus.shape())
+    counts = streams.stored_discoveries(spark, store).groupBy(F.col("repo_url").alias("url")).agg(
         F.count("*").alias("discoveries"))
-    return streams.stored_repos(spark, store).join(counts, "url", "left").fillna(0, ["discoveries"])
+    repos = triage.upsert_repos(corpus.repos(spark, sf_dir), streams.stored_scan_times(spark, store))
+    return repos.join(counts, "url", "left").fillna(0, ["discoveries"])

@@ -58,21 +58,29 @@ def history_pairs(commits: DataFrame, since: int | Column = 0, max_depth: int |
     return C.unique_pairs(pairs)
 
 
-def scan_history(patches: DataFrame, commits: DataFrame, rules: Sequence[Rule], since: int = 0,
+def scan_history(patches: DataFrame, commits: DataFrame, rules: Sequence[Rule], since: int | DataFrame = 0,
                  max_depth: int | None = None, **shape) -> DataFrame:
-    """Scan the commits of all branches that are newer than ``since``.
+    """Scan the commits of all branches that are newer than ``since``, a time or a
+    repos table (url, last_scan) with a time per repository.
 
-    A first scan (``since`` 0) also scans the oldest listed commit of every branch
+    A first scan (no time, or 0) also scans the oldest listed commit of every branch
     against the empty tree. Patches that cannot match are dropped before the patch
     text meets the commit pairs, and patches no newer than ``since`` at the source.
     """
-    fresh = patches.filter(F.col("committed_date") > since) if since else patches
-    likely = fresh.filter(may_match(F.col("patch"), rules))
-    pairs = history_pairs(commits, since, max_depth)
+    likely = patches.filter(may_match(F.col("patch"), rules))
+    if isinstance(since, DataFrame):
+        times = since.select(F.col("url").alias("repo_url"), F.coalesce("last_scan", F.lit(0)).alias("_since"))
+        listed = (commits.join(times, "repo_url", "left")
+                  .withColumn("_since", F.coalesce("_since", F.lit(0).cast("bigint"))))
+    else:
+        listed = commits.withColumn("_since", F.lit(since).cast("bigint"))
+        if since:
+            likely = likely.filter(F.col("committed_date") > since)
+    pairs = history_pairs(listed, F.col("_since"), max_depth)
     chosen = P.patch_rows(likely).join(pairs.select(*C.PAIR), C.PAIR, "left_semi")
-    if since == 0:
-        listed = commits if max_depth is None else C.newest_commits(commits, max_depth)
-        roots = C.root_commits(listed)
+    if isinstance(since, DataFrame) or since == 0:
+        first = listed.filter(F.col("_since") == 0)
+        roots = C.root_commits(first if max_depth is None else C.newest_commits(first, max_depth))
         chosen = chosen.unionByName(P.root_patches(likely).join(roots, ["repo_url", "commit_id"], "left_semi"))
     return scan_patches(chosen, rules, **shape)
 

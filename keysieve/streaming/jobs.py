@@ -3,14 +3,12 @@ scan runs on a stream unchanged: no window, no state."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keysieve.operators import tables, triage
 from keysieve.plans.scans import scan_patches
-from keysieve.schemas import REPOS
+from keysieve.schemas import DISCOVERIES, REPOS
 from keysieve.sources.commits import PAIR
 
 ARRIVING = T.StructType([T.StructField(c, T.StringType()) for c in ("repo_url", "commit_id", "file_name", "patch")])
@@ -39,40 +37,37 @@ def unique_pair_stream(spark: SparkSession, landed: str, target: str, progress:
     running.awaitTermination()
 
 
-def stored_repos(spark: SparkSession, store: str) -> DataFrame:
-    """The latest complete version of the repos table."""
-    return spark.read.schema(REPOS).parquet(_latest(spark, store))
+def stored_discoveries(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema(DISCOVERIES).parquet(f"{store}/discoveries")
 
 
-def _versions(spark: SparkSession, store: str) -> list[int]:
-    """Numbers of the complete versions, from the marker each finished write leaves."""
-    try:
-        marks = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(f"{store}/repos/v*/_SUCCESS")
-    except AnalysisException:
-        return []
-    return sorted(int(row[0]) for row in marks.select(F.regexp_extract("path", r"/v(\d+)/_SUCCESS$", 1)).collect())
+def stored_scan_times(spark: SparkSession, store: str) -> DataFrame:
+    """(url, last_scan), the latest scan of every repository seen by the stream."""
+    scans = spark.read.schema(REPOS).parquet(f"{store}/scans")
+    return scans.groupBy("url").agg(F.max("last_scan").alias("last_scan"))
 
 
-def _latest(spark: SparkSession, store: str) -> str:
-    return f"{store}/repos/v{_versions(spark, store)[-1]}"
+def store_batch(batch: DataFrame, number: int, store: str) -> None:
+    """Store one micro-batch in folders of its own, first the discoveries, then the
+    scan times that stand for them. A batch that is run again writes the same folders."""
+    found = batch.persist()
+    try:
+        found.write.mode("overwrite").parquet(f"{store}/discoveries/batch={number}")
+        times = found.groupBy(F.col("repo_url").alias("url")).agg(
+            F.max(F.unix_timestamp("timestamp")).alias("last_scan"))
+        times.write.mode("overwrite").parquet(f"{store}/scans/batch={number}")
+    finally:
+        found.unpersist()
 
 
 def store_patch_stream(spark: SparkSession, landed: str, store: str, progress: str, rules, **shape) -> None:
-    """Append discoveries to a store and advance ``last_scan``.
+    """Scan arriving patches into a store of discoveries and scan times.
 
-    Ids repeat when a batch is replayed, so a replay appends nothing; ``last_scan`` is
-    written after the discoveries it stands for.
+    Scan times are an append-only log whose maximum is ``last_scan``: nothing is
+    updated in place, so a lost executor or a replayed batch cannot move it back.
     """
-    def keep(batch: DataFrame, _: int) -> None:
-        found = batch.persist()
-        tables.append_new(found, f"{store}/discoveries")
-        times = found.select(F.col("repo_url").alias("url"), F.unix_timestamp("timestamp").alias("last_scan"))
-        versions = _versions(spark, store)
-        triage.upsert_repos(stored_repos(spark, store), times).write.mode("overwrite").parquet(
-            f"{store}/repos/v{versions[-1] + 1}")
-        found.unpersist()
-
     arriving = spark.readStream.schema(ARRIVING).parquet(landed)
-    running = (scan_patches(arriving, rules, **shape).writeStream.foreachBatch(keep)
+    running = (scan_patches(arriving, rules, **shape).writeStream
+               .foreachBatch(lambda batch, number: store_batch(batch, number, store))
                .option("checkpointLocation", progress).trigger(availableNow=True).start())
     running.awaitTermination()
