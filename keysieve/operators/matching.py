@@ -33,33 +33,77 @@ _NOT_LOCAL = re.compile(
 )
 
 
+_QUANTIFIER = re.compile(r"(?:(?:[*+?]|\{\d+(?:,\d*)?\})[+?]?)?")
+# Atoms that do not stand for exactly one character.
+_NO_CHARACTER = re.compile(r"[(^$|]|\\[bBAZzGRXkQE1-9]")
+
+
 def java_pattern(regex: str) -> str:
     return f"{FLAGS}(?:{regex})"
 
 
+def _atoms(regex: str) -> list[tuple[str, str]]:
+    """The top level of a pattern as (atom, quantifier) pairs; a group or class is one
+    atom."""
+    atoms = []
+    i = 0
+    while i < len(regex):
+        start, depth, in_class = i, 0, False
+        while True:
+            char = regex[i]
+            i += 2 if char == "\\" else 1
+            if in_class:
+                in_class = char != "]" or regex[i - 2:i - 1] == "[" or regex[i - 3:i - 1] == "[^"
+            elif char == "[":
+                in_class = True
+            else:
+                depth += (char == "(") - (char == ")")
+            if i >= len(regex) or (depth <= 0 and not in_class):
+                break
+        quantifier = _QUANTIFIER.match(regex, i).group()
+        atoms.append((regex[start:i], quantifier))
+        i += len(quantifier)
+    return atoms
+
+
+def _shortened(atoms: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Drop what the first atom repeats beyond its least number of times.
+
+    Where one character class is repeated at the edge of a pattern, a match exists
+    exactly if one exists with the fewest repeats. Long runs of such characters would
+    otherwise be walked again from each of their characters.
+    """
+    while atoms:
+        (atom, quantifier), rest = atoms[0], atoms[1:]
+        if not quantifier or _NO_CHARACTER.match(atom) or len(quantifier) > 1 and quantifier[-1] == "+":
+            return atoms
+        digits = re.match(r"\{(\d+)", quantifier)
+        least = int(digits.group(1)) if digits else int(quantifier[0] == "+")
+        if least:
+            return [(atom, "" if least == 1 else f"{{{least}}}"), *rest]
+        atoms = rest
+    return atoms
+
+
+def existence_pattern(regex: str) -> str:
+    """A pattern that is found in the same texts, but need not match as much of them."""
+    atoms = _atoms(regex)
+    if any(atom == "|" for atom, _ in atoms) or "".join(a + q for a, q in atoms) != regex:
+        return regex
+    atoms = _shortened(atoms)
+    return "".join(a + q for a, q in _shortened(atoms[::-1])[::-1])
+
+
 def _without_anchors(regex: str) -> str:
     """The pattern with its ``^`` and ``$`` assertions taken out."""
-    out, i, in_class = [], 0, False
-    while i < len(regex):
-        char = regex[i]
-        if char == "\\":
-            out.append(regex[i:i + 2])
-            i += 2
-            continue
-        if char == "[" and not in_class:
-            in_class = True
-            out.append(char)
-            i += 1
-            for literal in ("^", "]"):
-                if regex[i:i + 1] == literal:
-                    out.append("\\]" if literal == "]" else literal)
-                    i += 1
-            continue
-        if char == "]":
-            in_class = False
-        if in_class or char not in "^$":
-            out.append(char)
-        i += 1
+    out = []
+    for atom, quantifier in _atoms(regex):
+        if atom.startswith("(?:"):
+            atom = "(?:" + _without_anchors(atom[3:-1]) + ")"
+        elif atom.startswith("("):
+            atom = "(" + _without_anchors(atom[1:-1]) + ")"
+        if atom not in ("^", "$"):
+            out.append(atom + quantifier)
     return "".join(out)
 
 
@@ -138,7 +182,7 @@ def matches_any(text: Column, rules: Sequence[Rule]) -> Column:
         tests = []
         for rule in rules:
             literals = required_literals(rule.regex)
-            matched = text.rlike(java_pattern(rule.regex))
+            matched = text.rlike(java_pattern(existence_pattern(rule.regex)))
             tests.append(_holds_literal(lowered, literals) & matched if literals else matched)
         return _any(tests)
     return _with_lowered(text, test)
@@ -162,7 +206,7 @@ def may_match(text: Column, rules: Sequence[Rule]) -> Column:
         elif _NOT_LOCAL.search(rule.regex):
             return F.lit(True)
         else:
-            patterns.append((required, FLAGS + _without_anchors(rule.regex)))
+            patterns.append((required, java_pattern(existence_pattern(_without_anchors(rule.regex)))))
     def test(lowered: Column) -> Column:
         tests = [_holds_literal(lowered, sorted(literals))] if literals else []
         for required, pattern in patterns:
@@ -178,28 +222,37 @@ def _match_end(text: Column, rule: Rule) -> Column:
     return F.length(text) - F.length(rest)
 
 
-def _candidates(text: Column, rules: Sequence[Rule]) -> Column:
+def _matched_rules(text: Column, rules: Sequence[Rule]) -> Column:
+    return F.array_compact(F.array(*[
+        F.when(text.rlike(java_pattern(existence_pattern(rule.regex))), F.lit(rule.id)) for rule in rules]))
+
+
+def _ends(text: Column, matched: Column, rules: Sequence[Rule]) -> Column:
+    """(match_end, rule_id) of the rules found to match."""
     return F.array_compact(F.array(*[
-        F.when(text.rlike(java_pattern(rule.regex)),
+        F.when(F.array_contains(matched, rule.id),
                F.struct(_match_end(text, rule).alias("match_end"), F.lit(rule.id).alias("rule_id")))
         for rule in rules]))
 
 
 def match_lines(lines: DataFrame, rules: Sequence[Rule], text: str = "match_text",
                 every_rule: bool = False) -> DataFrame:
-    """Lines x rules on a regex match, adding ``match_end`` and ``rule_id``.
+    """Lines x rules on a regex match, adding ``rule_id``.
 
     By default a line yields one row, for the rule whose last match ends last; on a
-    tie the highest rule id wins. ``every_rule`` keeps one row per matching rule.
-    The choice is made inside the row, so no shuffle is involved.
+    tie the highest rule id wins. Match ends are only looked for where several rules
+    match. ``every_rule`` keeps one row per matching rule and adds ``match_end``. The
+    choice is made inside the row, so no shuffle is involved.
     """
-    found = _candidates(F.col(text), rules)
-    if not every_rule:
-        found = F.slice(F.sort_array(found, asc=False), 1, 1)
-    # The outer form keeps the optimizer from evaluating the array a second time in
+    line = F.col(text)
+    hits = lines.filter(matches_any(line, rules)).withColumn("_matched", _matched_rules(line, rules))
+    ends = _ends(line, F.col("_matched"), rules)
+    # The outer forms keep the optimizer from evaluating the arrays a second time in
     # an inferred filter.
-    return (
-        lines.filter(matches_any(F.col(text), rules))
-        .select(*lines.columns, F.inline_outer(found))
-        .filter(F.col("rule_id").isNotNull())
-    )
+    if every_rule:
+        rows = hits.select(*lines.columns, F.inline_outer(ends))
+    else:
+        last = F.array(F.array_max(ends)["rule_id"])
+        chosen = F.when(F.size("_matched") > 1, last).otherwise(F.col("_matched"))
+        rows = hits.select(*lines.columns, F.explode_outer(chosen).alias("rule_id"))
+    return rows.filter(F.col("rule_id").isNotNull())

@@ -161,10 +161,11 @@ def gram_encoder(width: int = 128, gram: int = 3) -> Encoder:
     """Encode a snippet by its hashed character n-grams, scaled to length 1."""
     def encode(frame: DataFrame) -> DataFrame:
         text = F.lower(normalise_quotes(F.coalesce(F.col("snippet"), F.lit(""))))
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (gram - 1), F.lit(1))),
-                            lambda i: F.substring(text, i, F.lit(gram)))
-        hashed = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=width).transform(
-            frame.withColumn("_grams", grams))
+        chars = F.col("_chars")
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - gram, F.lit(0))),
+                            lambda i: F.concat_ws("", *[F.get(chars, i + k) for k in range(gram)]))
+        cut = frame.withColumn("_chars", F.split(text, "", -1)).withColumn("_grams", grams)
+        hashed = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=width).transform(cut)
         unit = Normalizer(inputCol="_counts", outputCol="_unit").transform(hashed)
         return unit.select(*frame.columns, vector_to_array("_unit").alias("embedding"))
     return encode

@@ -29,6 +29,20 @@ def dense_positions(frame: DataFrame, keys: Sequence[str], order: str, block: in
             .drop("_range", "_inside", "_shift"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Spread a table just read over the cores, if its files make fewer splits than that.
+
+    A table of many files is left as it is; only an input too small to occupy the
+    cluster, such as one file with a single row group, is dealt out anew.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    # The condition always holds. It is not deterministic, so costly conditions on the
+    # text stay above it instead of moving below the exchange into the few tasks.
+    return table.repartition(cores).filter(F.spark_partition_id() >= 0)
+
+
 def salted_join(large: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column,
                 salts: int = 32, how: str = "inner") -> DataFrame:
     """Equi-join that spreads every key of ``large`` over ``salts`` tasks.

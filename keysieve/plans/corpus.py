@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.operators.skew import dense_positions
+from keysieve.operators import tables
+from keysieve.operators.skew import dense_positions, spread
 from keysieve.plans import scans
 from keysieve.schemas import CATEGORIES, STATES
 from keysieve.sources import commits as C
@@ -54,7 +55,7 @@ def _keys(documents: DataFrame) -> list[Column]:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return documents.select(*_keys(documents), F.col("text").alias("content"))
 
 
@@ -151,12 +152,18 @@ def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_discoveries(spark, sf_dir).withColumn("state", by_remainder(F.col("line_number"), STATES))
 
 
-def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triaged discoveries as a table, for jobs that read it more than once."""
+    return tables.landed(discoveries(spark, sf_dir))
+
+
+def embeddings(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     """Vectors of those discoveries whose document has one."""
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    found = discoveries(spark, sf_dir).withColumn("doc_id", document_number())
-    return found.join(vectors, "doc_id").select("id", "snippet", "embedding", "repo_url")
+    found = discoveries(spark, sf_dir) if found is None else found
+    return (found.withColumn("doc_id", document_number()).join(vectors, "doc_id")
+            .select("id", "snippet", "embedding", "repo_url"))
 
 
 def rule_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from keysieve import schemas
 from keysieve.functions import labels, paths, text, vectors
 from keysieve.operators import lines as L
 from keysieve.operators import matching, models, reports, similarity, tables, triage
+from keysieve.operators.skew import spread
 from keysieve.plans import corpus, oracles, scans
 from keysieve.plans.corpus import CORPUS_RULES, EPOCH, HOST
 from keysieve.session import shared_dir
@@ -156,7 +157,7 @@ def _page_lines(keep: str) -> dict:
 @query("page_matches", "SELECT doc_id, line_number, rule_id FROM page_matches", _page_lines("true"))
 def page_matches(spark, sf_dir):
     """Raw web pages in file mode: lines of any length are scanned."""
-    pages = _side_files(corpus.table(spark, sf_dir, "pages"), HOST + "pages", F.col("page_id"), "html")
+    pages = _side_files(spread(corpus.table(spark, sf_dir, "pages").select("page_id", "html")), HOST + "pages", F.col("page_id"), "html")
     found = matching.match_lines(L.file_lines(pages, rules=CORPUS_RULES), CORPUS_RULES, every_rule=True)
     return found.select("doc_id", "line_number", "rule_id")
 
@@ -164,7 +165,7 @@ def page_matches(spark, sf_dir):
 @query("page_matches", "SELECT doc_id, line_number, rule_id FROM page_matches", _page_lines("length(line) < 500"))
 def page_patch_matches(spark, sf_dir):
     """The same pages added by a patch: rows over 500 characters are not scanned."""
-    pages = _side_files(corpus.table(spark, sf_dir, "pages"), HOST + "pages", F.col("page_id"), "html")
+    pages = _side_files(spread(corpus.table(spark, sf_dir, "pages").select("page_id", "html")), HOST + "pages", F.col("page_id"), "html")
     unified = F.replace(F.replace("content", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     rows = F.transform(F.split(unified, "\n", -1), lambda line, i: F.concat(
         F.lit("@@ -0,0 +"), (i + 1).cast("string"), F.lit(" @@\n+"), line))
@@ -627,7 +628,7 @@ def get_discoveries(spark, sf_dir):
     SELECT {DISCOVERY} FROM disc WHERE state IN ('new', 'fixed') AND contains(snippet, 'icensed')
                                    AND contains(lower(snippet), 'apache')""")
 def filter_discoveries(spark, sf_dir):
-    found = corpus.discoveries(spark, sf_dir)
+    found = corpus.stored_discoveries(spark, sf_dir)
     chosen = [reports.filter_discoveries(found, state=state, where="icensed") for state in ("new", "fixed")]
     return shown(reports.filter_discoveries(chosen[0].unionByName(chosen[1]), where="aPaChe", ignore_case=True))
 
@@ -652,7 +653,7 @@ def category_default(spark, sf_dir):
 @query("disc", """
     SELECT id, CASE WHEN rule_id = 5 THEN 'password' ELSE 'other' END AS kind FROM disc""")
 def password_split(spark, sf_dir):
-    passwords, others = models.password_split(corpus.discoveries(spark, sf_dir), rules_table(spark))
+    passwords, others = models.password_split(corpus.stored_discoveries(spark, sf_dir), rules_table(spark))
     return models.rejoin(passwords.select("id", F.lit("password").alias("kind")),
                          others.select("id", F.lit("other").alias("kind")))
 
@@ -682,7 +683,7 @@ def repo_state_counts(spark, sf_dir):
                             GROUP BY repo_url) c ON r.url = c.repo_url""")
 def repo_overview(spark, sf_dir):
     repos = corpus.repos(spark, sf_dir)
-    found = corpus.discoveries(spark, sf_dir).filter(F.col("rule_id") != 2)
+    found = corpus.stored_discoveries(spark, sf_dir).filter(F.col("rule_id") != 2)
     return reports.repo_overview(repos, found, repos.filter(F.col("last_scan").isNull()))
 
 
@@ -727,7 +728,7 @@ def scan_gate_count(spark, sf_dir):
 
 @query("cat", "SELECT snippet, category, state, file_name, line_number, commit_id, id FROM cat")
 def nested_occurrences(spark, sf_dir):
-    nested = reports.nested_occurrences(reports.with_category(corpus.discoveries(spark, sf_dir), rules_table(spark)))
+    nested = reports.nested_occurrences(reports.with_category(corpus.stored_discoveries(spark, sf_dir), rules_table(spark)))
     return nested.select("snippet", "category", "state", F.inline("occurrences"))
 
 
@@ -736,7 +737,7 @@ def nested_occurrences(spark, sf_dir):
            count(*) AS total, greatest(count(*) - 10, 0) AS more
     FROM (SELECT *, row_number() OVER (PARTITION BY snippet, category, state ORDER BY id) AS place FROM cat) GROUP BY ALL""")
 def occurrence_preview(spark, sf_dir):
-    previews = reports.occurrence_preview(reports.with_category(corpus.discoveries(spark, sf_dir), rules_table(spark)))
+    previews = reports.occurrence_preview(reports.with_category(corpus.stored_discoveries(spark, sf_dir), rules_table(spark)))
     ids = F.transform("occurrences", lambda o: o["id"].cast("string"))
     return previews.select("snippet", "category", "state", F.array_join(ids, ",").alias("shown"), "total", "more")
 
@@ -745,12 +746,12 @@ def occurrence_preview(spark, sf_dir):
     SELECT (SELECT count(*) FROM repos) AS repos, count(DISTINCT (repo_url, file_name)) AS unique_files,
            count(*) AS discoveries FROM disc""")
 def grand_totals(spark, sf_dir):
-    return reports.grand_totals(corpus.repos(spark, sf_dir), corpus.discoveries(spark, sf_dir))
+    return reports.grand_totals(corpus.repos(spark, sf_dir), corpus.stored_discoveries(spark, sf_dir))
 
 
 @query("disc", "SELECT repo_url, id FROM disc")
 def ids_by_repo(spark, sf_dir):
-    return reports.ids_by_repo(corpus.discoveries(spark, sf_dir)).select("repo_url", F.explode("ids").alias("id"))
+    return reports.ids_by_repo(corpus.stored_discoveries(spark, sf_dir)).select("repo_url", F.explode("ids").alias("id"))
 
 
 _GROUPS = {"groups": ("disc", """
@@ -763,17 +764,17 @@ _GROUPS = {"groups": ("disc", """
 
 @query("groups", "SELECT snippet, state, rule_id, occurrences, total FROM groups", _GROUPS)
 def unique_total(spark, sf_dir):
-    return reports.unique_groups(corpus.discoveries(spark, sf_dir))
+    return reports.unique_groups(corpus.stored_discoveries(spark, sf_dir))
 
 
 @query("page", "SELECT snippet, state, rule_id, occurrences, total FROM page", _GROUPS)
 def page_groups(spark, sf_dir):
-    return reports.page_groups(corpus.discoveries(spark, sf_dir), 20, 10, "category", True)
+    return reports.page_groups(corpus.stored_discoveries(spark, sf_dir), 20, 10, "category", True)
 
 
 @query("located", f"SELECT {DISCOVERY} FROM located", _GROUPS)
 def page_occurrences(spark, sf_dir):
-    found = corpus.discoveries(spark, sf_dir)
+    found = corpus.stored_discoveries(spark, sf_dir)
     return shown(reports.page_occurrences(found, reports.page_groups(found, 20, 10, "category", True)))
 
 
@@ -781,7 +782,7 @@ def page_occurrences(spark, sf_dir):
     SELECT d.snippet, r.category, d.state, d.file_name, d.line_number, d.commit_id, d.id
     FROM located d JOIN rules r ON d.rule_id = r.id""", _GROUPS)
 def discoveries_page(spark, sf_dir):
-    page = reports.discoveries_page(corpus.discoveries(spark, sf_dir), rules_table(spark), 20, 10, "category", True)
+    page = reports.discoveries_page(corpus.stored_discoveries(spark, sf_dir), rules_table(spark), 20, 10, "category", True)
     return page.select("snippet", "category", "state", F.inline("occurrences"))
 
 
@@ -853,7 +854,8 @@ def snippet_vectors(spark, sf_dir):
 
 @query("disc,emb", f"SELECT {DISCOVERY} FROM disc WHERE id NOT IN (SELECT id FROM emb)")
 def missing_embeddings(spark, sf_dir):
-    return shown(models.without_embedding(corpus.discoveries(spark, sf_dir), corpus.embeddings(spark, sf_dir)))
+    found = corpus.stored_discoveries(spark, sf_dir)
+    return shown(models.without_embedding(found, corpus.embeddings(spark, sf_dir, found)))
 
 
 # ---- similarity -----------------------------------------------------------------
@@ -889,7 +891,8 @@ def mean_pool(spark, sf_dir):
 
 @query("emb", f"SELECT min(id) AS id, round(arg_min(list_sum(embedding), id), 6) AS total FROM emb WHERE snippet = '{TARGET}'")
 def embedding_by_snippet(spark, sf_dir):
-    first = similarity.embedding_by_snippet(corpus.embeddings(spark, sf_dir), TARGET)
+    found = corpus.stored_discoveries(spark, sf_dir)
+    first = similarity.embedding_by_snippet(corpus.embeddings(spark, sf_dir, found), TARGET)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return first.select("id", F.round(total, 6).alias("total"))
 
@@ -905,7 +908,8 @@ _SIMILAR = {
 
 @query("alike", "SELECT id, round(similarity, 6) AS similarity FROM alike", _SIMILAR)
 def similar_to_target(spark, sf_dir):
-    return (similarity.similar_to_target(corpus.embeddings(spark, sf_dir), TARGET, REPO, SIMILAR)
+    found = corpus.stored_discoveries(spark, sf_dir)
+    return (similarity.similar_to_target(corpus.embeddings(spark, sf_dir, found), TARGET, REPO, SIMILAR)
             .select("id", rounded("similarity")))
 
 
@@ -913,8 +917,8 @@ def similar_to_target(spark, sf_dir):
     SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM alike) THEN 'addressing' ELSE state END AS state)
     FROM (SELECT {DISCOVERY} FROM disc)""", _SIMILAR)
 def update_similar(spark, sf_dir):
-    found = corpus.discoveries(spark, sf_dir)
-    return shown(triage.update_similar(found, corpus.embeddings(spark, sf_dir), TARGET, "addressing", REPO,
+    found = corpus.stored_discoveries(spark, sf_dir)
+    return shown(triage.update_similar(found, corpus.embeddings(spark, sf_dir, found), TARGET, "addressing", REPO,
                                        threshold=SIMILAR))
 
 
@@ -936,7 +940,8 @@ def _requests(embeddings: DataFrame) -> DataFrame:
 
 @query("close", "SELECT request_id, repo_url, id, round(similarity, 6) AS similarity FROM close", _REQUESTED)
 def similarity_pairs(spark, sf_dir):
-    stored = corpus.embeddings(spark, sf_dir)
+    found = corpus.stored_discoveries(spark, sf_dir)
+    stored = corpus.embeddings(spark, sf_dir, found)
     return (similarity.similar_to_requests(stored, _requests(stored), SIMILAR)
             .select("request_id", "repo_url", "id", rounded("similarity")))
 
@@ -945,9 +950,10 @@ def similarity_pairs(spark, sf_dir):
     SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM close) THEN 'fixed' ELSE state END AS state)
     FROM (SELECT {DISCOVERY} FROM disc)""", _REQUESTED)
 def update_similar_batch(spark, sf_dir):
-    stored = corpus.embeddings(spark, sf_dir)
+    found = corpus.stored_discoveries(spark, sf_dir)
+    stored = corpus.embeddings(spark, sf_dir, found)
     requests = _requests(stored).withColumn("state", F.lit("fixed"))
-    return shown(triage.update_similar_batch(corpus.discoveries(spark, sf_dir), stored, requests, SIMILAR))
+    return shown(triage.update_similar_batch(found, stored, requests, SIMILAR))
 
 
 # ---- state changes --------------------------------------------------------------
@@ -955,7 +961,7 @@ def update_similar_batch(spark, sf_dir):
 @query("disc", f"""
     SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 'fixed' ELSE state END AS state) FROM (SELECT {DISCOVERY} FROM disc)""")
 def update_by_ids(spark, sf_dir):
-    found = corpus.discoveries(spark, sf_dir)
+    found = corpus.stored_discoveries(spark, sf_dir)
     return shown(triage.update_discoveries(found, found.filter(F.col("id") % 3 == 0).select("id"), "fixed"))
 
 
@@ -979,8 +985,9 @@ def delete_discoveries(spark, sf_dir):
     WHERE repo_url IN (SELECT url FROM repos WHERE last_scan IS NOT NULL) GROUP BY ALL""")
 def delete_repo_cascade(spark, sf_dir):
     """Drop every repository that was never scanned."""
+    found = corpus.stored_discoveries(spark, sf_dir)
     repos = corpus.repos(spark, sf_dir)
-    kept = triage.delete_repo(repos, corpus.discoveries(spark, sf_dir), corpus.embeddings(spark, sf_dir),
+    kept = triage.delete_repo(repos, found, corpus.embeddings(spark, sf_dir, found),
                               repos.filter(F.col("last_scan").isNull()).select("url"))
     counted = [frame.groupBy(F.lit(name).alias("kept"), F.col(url).alias("repo_url")).agg(F.count("*").alias("rows"))
                for frame, name, url in zip(kept, ("repos", "discoveries", "embeddings"), ("url", "repo_url", "repo_url"))]

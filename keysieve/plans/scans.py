@@ -76,13 +76,17 @@ def scan_history(patches: DataFrame, commits: DataFrame, rules: Sequence[Rule],
         listed = commits.withColumn("_since", F.lit(since).cast("bigint"))
         if since:
             likely = likely.filter(F.col("committed_date") > since)
-    pairs = history_pairs(listed, F.col("_since"), max_depth)
-    chosen = P.patch_rows(likely).join(pairs.select(*C.PAIR), C.PAIR, "left_semi")
+    wanted = history_pairs(listed, F.col("_since"), max_depth).select(*C.PAIR)
     if isinstance(since, DataFrame) or since == 0:
         first = listed.filter(F.col("_since") == 0)
         roots = C.root_commits(first if max_depth is None else C.newest_commits(first, max_depth))
-        chosen = chosen.unionByName(P.root_patches(likely).join(roots, ["repo_url", "commit_id"], "left_semi"))
-    return scan_patches(chosen, rules, **shape)
+        wanted = wanted.unionByName(roots.withColumn("parent_id", F.lit(None).cast("string")))
+    # One pass over the patches: a first commit's patch is a pair without a parent.
+    no_parent = F.coalesce("parent_id", F.lit("")).alias("_parent")
+    keys = wanted.select("repo_url", "commit_id", no_parent)
+    chosen = (P.history_patches(likely).withColumn("_parent", no_parent)
+              .join(keys, ["repo_url", "commit_id", "_parent"], "left_semi"))
+    return scan_patches(chosen.select("repo_url", "commit_id", "file_name", "patch"), rules, **shape)
 
 
 def scan_snapshot(files: DataFrame, refs: DataFrame, requests: DataFrame, rules: Sequence[Rule],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve import schemas
@@ -15,10 +15,13 @@ def text_patches(patches: DataFrame) -> DataFrame:
     return named.filter(~F.col("patch").startswith("Binary files"))
 
 
+def _between_commits() -> Column:
+    return F.col("parent_id").isNotNull() & F.col("change_type").isin("A", "M")
+
+
 def patch_rows(patches: DataFrame) -> DataFrame:
     """Patches between two commits: added and modified files only."""
-    return text_patches(patches.filter(
-        F.col("parent_id").isNotNull() & F.col("change_type").isin("A", "M")))
+    return text_patches(patches.filter(_between_commits()))
 
 
 def root_patches(patches: DataFrame) -> DataFrame:
@@ -26,6 +29,11 @@ def root_patches(patches: DataFrame) -> DataFrame:
     return text_patches(patches.filter(F.col("parent_id").isNull()))
 
 
+def history_patches(patches: DataFrame) -> DataFrame:
+    """Both kinds in one pass."""
+    return text_patches(patches.filter(F.col("parent_id").isNull() | _between_commits()))
+
+
 def read_pull_requests(spark: SparkSession, path: str) -> DataFrame:
     """Commit documents of pull requests, as JSON lines."""
     return spark.read.schema(schemas.PR_COMMITS).json(path)
