@@ -58,18 +58,14 @@ def with_parts(frame: DataFrame, keys: Sequence[str], spread: str, part_rows: in
     """Add ``part``: 0 for groups of up to ``part_rows`` rows, several values for larger
     ones, so that (keys, part) can be collected into an array of bounded size.
 
-    Only the keys of oversized groups are joined back.
+    Only the hashes of oversized groups are joined back, salted, since it is their
+    rows that would otherwise meet in one task. Two groups that share a hash are
+    counted together, which can only split them further.
     """
-    hashed = F.xxhash64(*keys)
-    sizes = frame.groupBy(*keys).agg(F.count("*").alias("_size"))
-    oversized = (sizes.filter(F.col("_size") > part_rows)
-                 .select(hashed.alias("_group"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                         F.ceil(F.col("_size") / part_rows).cast("int").alias("_parts")))
-    left = frame.withColumn("_group", hashed)
-    same = left["_group"] == oversized["_group"]
-    for i, key in enumerate(keys):
-        same = same & left[key].eqNullSafe(oversized[f"_k{i}"])
-    joined = left.join(oversized, same, "left")
+    hashed = frame.withColumn("_group", F.xxhash64(*keys))
+    oversized = (hashed.groupBy("_group").agg(F.count("*").alias("_size")).filter(F.col("_size") > part_rows)
+                 .select("_group", F.ceil(F.col("_size") / part_rows).cast("int").alias("_parts")))
+    joined = salted_join(hashed, oversized, ["_group"], F.col(spread), how="left")
     part = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"))
-    return joined.select(*[left[c] for c in frame.columns], part.alias("part"))
+        F.pmod(F.xxhash64(F.col(spread), F.lit("part")), F.col("_parts")).cast("int"))
+    return joined.select(*frame.columns, part.alias("part"))

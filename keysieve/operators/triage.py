@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keysieve.operators.similarity import THRESHOLD, similar_to_requests, similar_to_target
 from keysieve.schemas import STATES, require_state
+from keysieve.sources.repos import without_repos
 
 # An id list up to this length is a literal of the plan; a longer one comes as a frame.
 MAX_LITERAL_IDS = 1000
@@ -100,10 +101,8 @@ def delete_discoveries(discoveries: DataFrame, repo_url: str) -> DataFrame:
 def delete_repo(repos: DataFrame, discoveries: DataFrame, embeddings: DataFrame,
                 urls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drop repositories (``url``) together with their discoveries and embeddings."""
-    owned = urls.select(F.col("url").alias("repo_url"))
-    return (repos.join(urls, "url", "left_anti"),
-            discoveries.join(owned, "repo_url", "left_anti"),
-            embeddings.join(owned, "repo_url", "left_anti"))
+    return (without_repos(repos, urls, "url", "url"), without_repos(discoveries, urls, "id"),
+            without_repos(embeddings, urls, "id"))
 
 
 def delete_rules(rules: DataFrame, discoveries: DataFrame, ids: Sequence[int]) -> tuple[DataFrame, DataFrame]:

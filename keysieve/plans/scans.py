@@ -2,7 +2,7 @@
 
 A job covers every repository in its input at once; ``repo_url`` is a plain column.
 Lines are numbered and matched inside the input row, so a scan shuffles nothing but
-commit metadata and the few patches that can hold a match.
+commit metadata and matches.
 """
 
 from __future__ import annotations
@@ -12,17 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.functions import paths
 from keysieve.functions.text import strip
 from keysieve.operators import models as M
 from keysieve.operators.lines import decode_utf8, file_lines, patch_lines
-from keysieve.operators.matching import match_lines, may_match
+from keysieve.operators.matching import match_lines
+from keysieve.operators.skew import salted_join
 from keysieve.operators.tables import discovery_id
 from keysieve.schemas import DISCOVERIES
 from keysieve.sources import commits as C
 from keysieve.sources import files as S
 from keysieve.sources import patches as P
-from keysieve.sources.repos import repos_of
+from keysieve.sources.repos import of_commits, of_repos, repos_of, wiki_repos
 from keysieve.sources.rules import Rule
 
 _KEY = ["repo_url", "commit_id", "file_name"]
@@ -64,37 +64,49 @@ def scan_history(patches: DataFrame, commits: DataFrame, rules: Sequence[Rule],
     repos table (url, last_scan) with a time per repository.
 
     A first scan (no time, or 0) also scans the oldest listed commit of every branch
-    against the empty tree. Patches that cannot match are dropped before the patch
-    text meets the commit pairs, and patches no newer than ``since`` at the source.
+    against the empty tree.
+
+    Patches are matched before they meet the commit pairs: the join moves the matches,
+    a small part of the patch text, and a commit that holds most of them is salted.
     """
-    likely = patches.filter(may_match(F.col("patch"), rules))
+    listed_patches = P.history_patches(patches)
     if isinstance(since, DataFrame):
         times = since.select(F.col("url").alias("repo_url"), F.coalesce("last_scan", F.lit(0)).alias("_since"))
-        listed = (commits.join(times, "repo_url", "left")
+        listed = (salted_join(commits, times, ["repo_url"], F.col("commit_id"), how="left")
                   .withColumn("_since", F.coalesce("_since", F.lit(0).cast("bigint"))))
     else:
         listed = commits.withColumn("_since", F.lit(since).cast("bigint"))
         if since:
-            likely = likely.filter(F.col("committed_date") > since)
+            listed_patches = listed_patches.filter(F.col("committed_date") > since)
     wanted = history_pairs(listed, F.col("_since"), max_depth).select(*C.PAIR)
     if isinstance(since, DataFrame) or since == 0:
         first = listed.filter(F.col("_since") == 0)
         roots = C.root_commits(first if max_depth is None else C.newest_commits(first, max_depth))
         wanted = wanted.unionByName(roots.withColumn("parent_id", F.lit(None).cast("string")))
-    # One pass over the patches: a first commit's patch is a pair without a parent.
+    return to_discoveries(_in_pairs(listed_patches, wanted, rules), **shape)
+
+
+def _in_pairs(patches: DataFrame, pairs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Matches in the patches of the given pairs; a first commit has no parent."""
     no_parent = F.coalesce("parent_id", F.lit("")).alias("_parent")
-    keys = wanted.select("repo_url", "commit_id", no_parent)
-    chosen = (P.history_patches(likely).withColumn("_parent", no_parent)
-              .join(keys, ["repo_url", "commit_id", "_parent"], "left_semi"))
-    return scan_patches(chosen.select("repo_url", "commit_id", "file_name", "patch"), rules, **shape)
+    rows = patches.select("repo_url", "commit_id", no_parent, "file_name", "patch")
+    matches = match_lines(patch_lines(rows, "patch", rules), rules)
+    return salted_join(matches, pairs.select("repo_url", "commit_id", no_parent),
+                       ["repo_url", "commit_id", "_parent"], F.struct("file_name", "line_number"), 8, "left_semi")
 
 
 def scan_snapshot(files: DataFrame, refs: DataFrame, requests: DataFrame, rules: Sequence[Rule],
                   max_depth: int = -1, ignore_list: Sequence[str] = (), content: str = "content",
                   **shape) -> DataFrame:
-    """Scan all files of the requested branches or commits."""
-    likely = files.filter(may_match(F.col(content), rules))
-    return scan_files(S.snapshot_files(likely, refs, requests, max_depth, ignore_list), rules, content, **shape)
+    """Scan all files of the requested branches or commits.
+
+    As with histories, the matches are joined with the requests, not the contents; a
+    few requested commits also prune the files that are read.
+    """
+    wanted = C.resolve_refs(requests, refs).select("repo_url", "commit_id").distinct()
+    chosen = of_commits(S.prune(files, max_depth, ignore_list), wanted)
+    matches = match_lines(file_lines(chosen, content, rules), rules)
+    return to_discoveries(S.in_snapshots(matches, wanted), **shape)
 
 
 def scan_snapshot_delta(patches: DataFrame, commits: DataFrame, repos: DataFrame, refs: DataFrame,
@@ -102,8 +114,8 @@ def scan_snapshot_delta(patches: DataFrame, commits: DataFrame, repos: DataFrame
     """Scan what changed between the last scanned commit and the requested one."""
     delta = C.snapshot_delta(commits, repos, C.resolve_refs(requests, refs))
     wanted = delta.select("repo_url", "commit_id", F.col("commit_from").alias("parent_id")).distinct()
-    likely = P.patch_rows(patches.filter(may_match(F.col("patch"), rules)))
-    return scan_patches(likely.join(wanted, C.PAIR, "left_semi"), rules, **shape)
+    chosen = of_commits(P.patch_rows(patches), wanted)
+    return to_discoveries(_in_pairs(chosen, wanted, rules), **shape)
 
 
 def scan_path(spark: SparkSession, root: str, rules: Sequence[Rule], max_depth: int = -1,
@@ -126,17 +138,16 @@ def scan_pull_requests(pr_commits: DataFrame, rules: Sequence[Rule], repo_url: s
 def scan_user(patches: DataFrame, commits: DataFrame, repos_meta: DataFrame, owner: str,
               rules: Sequence[Rule], forks: bool = False, **options) -> DataFrame:
     """Scan the history of all repositories of a user or organisation."""
-    urls = repos_of(repos_meta, owner, forks).select(F.col("url").alias("repo_url"))
-    return scan_history(patches.join(urls, "repo_url", "left_semi"),
-                        commits.join(urls, "repo_url", "left_semi"), rules, **options)
+    urls = repos_of(repos_meta, owner, forks).select("url")
+    return scan_history(of_repos(patches, urls, "commit_id"), of_repos(commits, urls, "commit_id"), rules, **options)
 
 
 def scan_wiki(patches: DataFrame, commits: DataFrame, repos: DataFrame, rules: Sequence[Rule],
               **shape) -> DataFrame:
     """Scan the wiki repositories of the given repositories, always from the start."""
-    urls = repos.select(paths.wiki_url(F.col("url")).alias("repo_url"))
-    return scan_history(patches.join(urls, "repo_url", "left_semi"),
-                        commits.join(urls, "repo_url", "left_semi"), rules, since=0, **shape)
+    urls = wiki_repos(repos.select("url"))
+    return scan_history(of_repos(patches, urls, "commit_id"), of_repos(commits, urls, "commit_id"), rules,
+                        since=0, **shape)
 
 
 def scan_staged(name_status: DataFrame, diffs: DataFrame, rules: Sequence[Rule],

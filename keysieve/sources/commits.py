@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from keysieve.operators.skew import salted_join
+
 BRANCH = ["repo_url", "branch"]
 PAIR = ["repo_url", "commit_id", "parent_id"]
 BLOCK = 50_000
@@ -49,7 +51,7 @@ def commits_since(pairs: DataFrame, since: int | Column = 0) -> DataFrame:
     bound = since if isinstance(since, Column) else F.lit(since)
     stops = (pairs.filter(F.col("committed_date") <= bound)
              .groupBy(*BRANCH).agg(F.min("pos").alias("_stop")))
-    return (pairs.join(stops, BRANCH, "left")
+    return (salted_join(pairs, stops, BRANCH, F.col("pos"), how="left")
             .filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
             .drop("_stop"))
 
@@ -97,7 +99,7 @@ def commit_timestamps(requests: DataFrame, refs: DataFrame, commits: DataFrame)
 def last_commit_before(commits: DataFrame, repos: DataFrame) -> DataFrame:
     """Per repository the newest commit dated at or before its ``last_scan``."""
     known = repos.select(F.col("url").alias("repo_url"), "last_scan").filter(F.col("last_scan") > 0)
-    return (commits.join(known, "repo_url").filter(F.col("committed_date") <= F.col("last_scan"))
+    return (salted_join(commits, known, ["repo_url"], F.col("commit_id")).filter(F.col("committed_date") <= F.col("last_scan"))
             .groupBy("repo_url").agg(F.max_by("commit_id", F.struct("committed_date", "commit_id")).alias("commit_from")))
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.functions import paths
+from keysieve.operators.skew import salted_join, spread
 from keysieve.sources.commits import resolve_refs
+from keysieve.sources.repos import of_commits
 
 
 def _without_scheme(path: str) -> str:
@@ -33,7 +35,7 @@ def read_tree(spark: SparkSession, root: str, max_depth: int = -1, ignore_list:
     inside = F.substring(path, F.lit(len(base) + 2), F.lit(2147483647))
     name = F.when(path == base, F.element_at(F.split(path, "/"), -1)).otherwise(inside)
     return (
-        found.select(F.lit(repo_url or root).alias("repo_url"), F.lit("").alias("commit_id"),
+        spread(found).select(F.lit(repo_url or root).alias("repo_url"), F.lit("").alias("commit_id"),
                      name.alias("file_name"), "content")
         .filter(paths.keep_path(F.col("file_name"), max_depth, ignore_list))
     )
@@ -45,10 +47,11 @@ def prune(files: DataFrame, max_depth: int = -1, ignore_list: Sequence[str] = ()
 
 def snapshot_files(files: DataFrame, refs: DataFrame, requests: DataFrame, max_depth: int = -1,
                    ignore_list: Sequence[str] = ()) -> DataFrame:
-    """The files of every requested (repo_url, name), a branch or commit.
-
-    The requests decide which file contents travel on; the contents themselves are
-    pruned by path before the join.
-    """
+    """The files of every requested (repo_url, name), a branch or commit."""
     wanted = resolve_refs(requests, refs).select("repo_url", "commit_id").distinct()
-    return prune(files, max_depth, ignore_list).join(wanted, ["repo_url", "commit_id"], "left_semi")
+    return in_snapshots(of_commits(prune(files, max_depth, ignore_list), wanted), wanted)
+
+
+def in_snapshots(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted (repo_url, commit_id); one commit may hold most rows."""
+    return salted_join(rows, wanted, ["repo_url", "commit_id"], F.col("file_name"), how="left_semi").select(*rows.columns)

@@ -16,7 +16,7 @@ from keysieve.operators import reports, similarity, tables, triage
 from keysieve.plans import scans
 from keysieve.sources import commits as C
 from keysieve.sources import rules as R
-from keysieve.sources.repos import repos_of, wiki_repos
+from keysieve.sources.repos import of_repos, repos_of, wiki_repos, without_repos
 
 
 class Workspace:
@@ -215,8 +215,7 @@ class Workspace:
         classified = M.run_models(found, models, self.get_rules()).drop("flagged_by")
         fresh = tables.landed(classified)
         if force:
-            urls = scanned.select(F.col("url").alias("repo_url"))
-            drop = lambda rows: rows.join(urls, "repo_url", "left_anti").select(*rows.columns)
+            drop = lambda rows: without_repos(rows, scanned, "id")
             self._change(drop, name="embeddings", schema=schemas.EMBEDDINGS)
             self._change(drop)
         tables.append_new(fresh, self._path("discoveries"))
@@ -241,16 +240,15 @@ class Workspace:
 
     def scan_user(self, patches: DataFrame, commits: DataFrame, repos_meta: DataFrame, owner: str,
                   forks: bool = False, **options) -> DataFrame:
-        urls = repos_of(repos_meta, owner, forks).select(F.col("url").alias("repo_url"))
-        return self.scan(patches.join(urls, "repo_url", "left_semi"),
-                         commits.join(urls, "repo_url", "left_semi"), **options)
+        urls = repos_of(repos_meta, owner, forks).select("url")
+        return self.scan(of_repos(patches, urls, "commit_id"), of_repos(commits, urls, "commit_id"), **options)
 
     def scan_wiki(self, patches: DataFrame, commits: DataFrame, repos: DataFrame,
                   category: str | None = None, models: Sequence[str] = ()) -> DataFrame:
         """Scan the wikis of repositories, always from the start."""
-        urls = wiki_repos(repos).select(F.col("url").alias("repo_url"))
-        chosen = commits.join(urls, "repo_url", "left_semi")
-        found = scans.scan_history(patches.join(urls, "repo_url", "left_semi"), chosen,
+        urls = wiki_repos(repos.select("url"))
+        chosen = of_repos(commits, urls, "commit_id")
+        found = scans.scan_history(of_repos(patches, urls, "commit_id"), chosen,
                                    R.scan_rules(self.get_rules(category)))
         return self._store(found, self._scanned_now(chosen), models, True, False, None)
 
