@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from keysieve.functions import paths
 from keysieve.functions.text import normalise_quotes
-from keysieve.operators.skew import salted_join
+from keysieve.operators.skew import lookup_join, salted_join
 from keysieve.sources.rules import Rule
 
 logger = logging.getLogger(__name__)
@@ -111,8 +111,8 @@ def run_models(discoveries: DataFrame, models: Sequence[str], rules: Sequence[Ru
 def password_split(discoveries: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Discoveries of password rules, and all others."""
     passwords = rules.filter(F.col("category") == "password").select(F.col("id").alias("rule_id"))
-    return (discoveries.join(passwords, "rule_id", "left_semi"),
-            discoveries.join(passwords, "rule_id", "left_anti"))
+    return tuple(lookup_join(discoveries, passwords, "rule_id", F.col("id"), how).select(*discoveries.columns)
+                 for how in ("left_semi", "left_anti"))
 
 
 def rejoin(passwords: DataFrame, others: DataFrame) -> DataFrame:

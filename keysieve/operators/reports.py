@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from keysieve.functions.labels import RULE_DELETED, state_rank
 from keysieve.functions.text import finding_text
-from keysieve.operators.skew import with_parts
+from keysieve.operators.skew import lookup_join, with_parts
 from keysieve.schemas import STATES
 
 UNIQUE = ["snippet", "state", "rule_id"]
@@ -34,16 +34,17 @@ def filter_discoveries(discoveries: DataFrame, repo_url: str | None = None, file
 
 
 def with_rules(discoveries: DataFrame, rules: DataFrame) -> DataFrame:
-    details = rules.select(F.col("id").alias("_rule"), F.col("regex").alias("rule_regex"),
+    details = rules.select(F.col("id").alias("rule_id"), F.col("regex").alias("rule_regex"),
                            F.col("category").alias("rule_category"),
                            F.col("description").alias("rule_description"))
-    return discoveries.join(details, F.col("rule_id") == F.col("_rule"), "left").drop("_rule")
+    return (lookup_join(discoveries, details, "rule_id", F.col("id"))
+            .select(*discoveries.columns, "rule_regex", "rule_category", "rule_description"))
 
 
 def with_category(discoveries: DataFrame, rules: DataFrame) -> DataFrame:
-    categories = rules.select(F.col("id").alias("_rule"), "category")
-    joined = discoveries.join(categories, F.col("rule_id") == F.col("_rule"), "left").drop("_rule")
-    return joined.withColumn("category", F.coalesce("category", F.lit(RULE_DELETED)))
+    categories = rules.select(F.col("id").alias("rule_id"), "category")
+    return (lookup_join(discoveries, categories, "rule_id", F.col("id"))
+            .select(*discoveries.columns, F.coalesce("category", F.lit(RULE_DELETED)).alias("category")))
 
 
 def _in_state(state: str) -> Column:

@@ -54,6 +54,21 @@ def salted_join(large: DataFrame, small: DataFrame, keys: Sequence[str], spread:
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def is_small(frame: DataFrame, rows: int = 5000, characters: int = 8_000_000) -> bool:
+    """Whether a frame is proven to fit a broadcast; looks at no more than ``rows`` + 1 rows."""
+    widths = frame.select(F.length(F.to_json(F.struct("*"))).alias("n")).limit(rows + 1)
+    count, total = widths.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return count <= rows and total <= characters
+
+
+def lookup_join(large: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
+    """Join with a lookup table of few, often used keys: broadcast if it is proven to be
+    small, salted otherwise."""
+    if is_small(small):
+        return large.join(F.broadcast(small), key, how)
+    return salted_join(large, small, [key], spread, how=how)
+
+
 def with_parts(frame: DataFrame, keys: Sequence[str], spread: str, part_rows: int) -> DataFrame:
     """Add ``part``: 0 for groups of up to ``part_rows`` rows, several values for larger
     ones, so that (keys, part) can be collected into an array of bounded size.

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.operators.similarity import THRESHOLD, similar_to_requests, similar_to_target
+from keysieve.operators.skew import lookup_join
 from keysieve.schemas import STATES, require_state
 from keysieve.sources.repos import without_repos
 
@@ -114,9 +115,9 @@ def delete_rules(rules: DataFrame, discoveries: DataFrame, ids: Sequence[int]) -
 
 def null_missing_rules(discoveries: DataFrame, rules: DataFrame) -> DataFrame:
     """Forget rule ids that are not in the catalogue any more."""
-    known = rules.select(F.col("id").alias("_known"))
-    joined = discoveries.join(known, F.col("rule_id") == F.col("_known"), "left")
-    return joined.withColumn("rule_id", F.col("_known")).select(*discoveries.columns)
+    known = rules.select(F.col("id").alias("rule_id"), F.lit(True).alias("_known"))
+    joined = lookup_join(discoveries, known, "rule_id", F.col("id"))
+    return joined.withColumn("rule_id", F.when(F.col("_known"), F.col("rule_id"))).select(*discoveries.columns)
 
 
 def delete_embeddings(embeddings: DataFrame, ids: Sequence[int] | None = None,

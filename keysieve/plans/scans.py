@@ -52,7 +52,7 @@ def history_pairs(commits: DataFrame, since: int | Column = 0, max_depth: int |
                   scanned: DataFrame | None = None) -> DataFrame:
     """The commit pairs a history scan looks at, each once across branches."""
     listed = commits if max_depth is None else C.newest_commits(commits, max_depth)
-    pairs = C.commits_since(C.commit_pairs(listed), since)
+    pairs = C.pairs_since(listed, since)
     if scanned is not None:
         pairs = C.new_pairs_only(pairs, scanned)
     return C.unique_pairs(pairs)

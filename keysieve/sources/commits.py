@@ -42,18 +42,29 @@ def newest_commits(commits: DataFrame, max_depth: int) -> DataFrame:
     return commits.filter(F.col("pos") < max_depth)
 
 
+def _with_stop(commits: DataFrame, since: int | Column) -> DataFrame:
+    """Add ``_stop``, the first position of a branch whose commit is not newer than
+    ``since``; null where there is none. A stop is one minimum per branch."""
+    bound = since if isinstance(since, Column) else F.lit(since)
+    stops = (commits.filter(F.col("committed_date") <= bound)
+             .groupBy(*BRANCH).agg(F.min("pos").alias("_stop")))
+    return salted_join(commits, stops, BRANCH, F.col("pos"), how="left")
+
+
 def commits_since(pairs: DataFrame, since: int | Column = 0) -> DataFrame:
     """Pairs ahead of the first one whose commit is not newer than ``since``.
 
-    This is a stop, not a filter: commit dates need not fall along a branch. The stop
-    is one minimum per branch; a branch without one keeps all its pairs.
+    This is a stop, not a filter: commit dates need not fall along a branch.
     """
-    bound = since if isinstance(since, Column) else F.lit(since)
-    stops = (pairs.filter(F.col("committed_date") <= bound)
-             .groupBy(*BRANCH).agg(F.min("pos").alias("_stop")))
-    return (salted_join(pairs, stops, BRANCH, F.col("pos"), how="left")
-            .filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
-            .drop("_stop"))
+    ahead = F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))
+    return _with_stop(pairs, since).filter(ahead).select(*pairs.columns)
+
+
+def pairs_since(commits: DataFrame, since: int | Column = 0) -> DataFrame:
+    """The same pairs straight from the commits: each branch is cut behind its stop, which
+    is the parent of the last pair, before neighbours are looked up."""
+    kept = F.col("_stop").isNull() | (F.col("pos") <= F.col("_stop"))
+    return commit_pairs(_with_stop(commits, since).filter(kept).select(*commits.columns))
 
 
 def unique_pairs(pairs: DataFrame) -> DataFrame:

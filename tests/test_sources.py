@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keysieve import DEFAULT_RULES, scan_path
 from keysieve.functions import paths
-from keysieve.operators.skew import dense_positions, salted_join, with_parts
+from keysieve.operators.skew import dense_positions, is_small, lookup_join, salted_join, with_parts
 from keysieve.sources import commits as C
 from keysieve.sources.files import read_tree
 
@@ -99,6 +99,7 @@ def test_stop_is_not_a_filter_and_pairs_are_unique(spark):
     pairs = C.commit_pairs(commits)
     kept = C.commits_since(pairs, 10).collect()
     assert sorted((r.branch, r.commit_id) for r in kept) == [("b1", "e"), ("b2", "c"), ("b2", "x")]
+    assert sorted(C.pairs_since(commits, 10).collect()) == sorted(kept)
     unique = C.unique_pairs(pairs).collect()
     assert sorted((r.branch, r.commit_id, r.parent_id) for r in unique) == [
         ("b1", "c", "a"), ("b1", "d", "c"), ("b1", "e", "d"), ("b2", "x", "c")]
@@ -129,3 +130,12 @@ def test_salted_join_and_parts_keep_every_row(spark):
     assert sum(r["count"] for r in parts) == 302
     assert len([r for r in parts if r.k == "hot"]) == 6
     assert [r.part for r in parts if r.k is None or r.k == "b"] == [0, 0]
+
+
+def test_lookup_join_checks_the_size(spark, monkeypatch):
+    large = spark.createDataFrame([(1, i) for i in range(50)] + [(9, 99)], "k int, id int")
+    small = spark.createDataFrame([(i, "v") for i in range(5)], "k int, v string")
+    assert is_small(small) and not is_small(small, rows=4) and not is_small(small, characters=10)
+    expected = sorted(lookup_join(large, small, "k", F.col("id")).collect(), key=str)
+    monkeypatch.setattr("keysieve.operators.skew.is_small", lambda frame: False)
+    assert sorted(lookup_join(large, small, "k", F.col("id")).select("k", "id", "v").collect(), key=str) == expected
