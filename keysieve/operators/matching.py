@@ -12,18 +12,23 @@ import re
 import warnings
 from collections.abc import Callable, Sequence
 from functools import reduce
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.sources.rules import Rule
 
-# Caseless with Unicode folding and Unicode character classes.
-FLAGS = "(?iuU)"
+try:
+    from re import _parser
+except ImportError:
+    import sre_parse as _parser
+
+# Caseless with Unicode folding and Unicode character classes; only a line feed ends a line.
+FLAGS = "(?iduU)"
 # Literals at least this long are rare enough to decide on their own.
 TELLING = 3
 
+_NAMED = re.compile(r"\(\?<[A-Za-z]")
 _NOT_LOCAL = re.compile(
     r"\(\?(?!:)"              # lookaround, atomic group, inline flag, named group
     r"|[*+?}]\+"              # possessive quantifier
@@ -38,6 +43,33 @@ _QUANTIFIER = re.compile(r"(?:(?:[*+?]|\{\d+(?:,\d*)?\})[+?]?)?")
 _NO_CHARACTER = re.compile(r"[(^$|]|\\[bBAZzGRXkQE1-9]")
 
 
+_CLASS = re.compile(r"\\.|\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]\\])*\]", re.DOTALL)
+_CLASS_PART = re.compile(r"\[:(\^?)(\w+):\]|\\.|.", re.DOTALL)
+
+
+def java_dialect(regex: str) -> str:
+    """A rule as Java reads it: inside a class, Java would take ``[`` and ``&&`` for set
+    operations and does not know ``[:alpha:]``; named groups are written differently."""
+    def part(match: re.Match) -> str:
+        text = match.group()
+        if match.group(2):
+            return ("\\P" if match.group(1) else "\\p") + "{" + match.group(2).capitalize() + "}"
+        return "\\" + text if text in ("[", "]", "&") else text
+
+    def char_class(match: re.Match) -> str:
+        text = match.group()
+        if text[0] == "\\":
+            return text
+        start = "[^" if text[1] == "^" else "["
+        return start + _CLASS_PART.sub(part, text[len(start):-1]) + "]"
+
+    return _CLASS.sub(char_class, regex).replace("(?P<", "(?<")
+
+
+def _java_rules(rules: Sequence[Rule]) -> list[Rule]:
+    return [rule._replace(regex=java_dialect(rule.regex)) for rule in rules]
+
+
 def java_pattern(regex: str) -> str:
     return f"{FLAGS}(?:{regex})"
 
@@ -149,9 +181,9 @@ def required_literals(regex: str) -> list[str]:
     """Lowercase texts of which every match contains one; empty if none are known."""
     try:
         with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            texts = _literals_of(_parser.parse(regex))
-    except (re.error, OverflowError, RecursionError):
+            warnings.simplefilter("error")
+            texts = _literals_of(_parser.parse(regex.replace("(?<", "(?P<") if _NAMED.search(regex) else regex))
+    except (re.error, OverflowError, RecursionError, Warning):
         return []
     return sorted(t for t in texts or () if not any(o != t and o in t for o in texts))
 
@@ -178,6 +210,8 @@ def matches_any(text: Column, rules: Sequence[Rule]) -> Column:
     A rule is only run on texts that hold a literal it requires: looking for a
     literal is several times cheaper than running the pattern.
     """
+    rules = _java_rules(rules)
+
     def test(lowered: Column) -> Column:
         tests = []
         for rule in rules:
@@ -199,7 +233,7 @@ def may_match(text: Column, rules: Sequence[Rule]) -> Column:
     """
     literals: set[str] = set()
     patterns = []
-    for rule in rules:
+    for rule in _java_rules(rules):
         required = required_literals(rule.regex)
         if required and min(map(len, required)) >= TELLING:
             literals.update(required)
@@ -207,6 +241,7 @@ def may_match(text: Column, rules: Sequence[Rule]) -> Column:
             return F.lit(True)
         else:
             patterns.append((required, java_pattern(existence_pattern(_without_anchors(rule.regex)))))
+
     def test(lowered: Column) -> Column:
         tests = [_holds_literal(lowered, sorted(literals))] if literals else []
         for required, pattern in patterns:
@@ -245,6 +280,7 @@ def match_lines(lines: DataFrame, rules: Sequence[Rule], text: str = "match_text
     choice is made inside the row, so no shuffle is involved.
     """
     line = F.col(text)
+    rules = _java_rules(rules)
     hits = lines.filter(matches_any(line, rules)).withColumn("_matched", _matched_rules(line, rules))
     ends = _ends(line, F.col("_matched"), rules)
     # The outer forms keep the optimizer from evaluating the arrays a second time in

@@ -155,8 +155,8 @@ def scan_staged(name_status: DataFrame, diffs: DataFrame, rules: Sequence[Rule],
     """What a commit gate reports: findings in the added lines of staged files that no
     model takes for a false positive. Keys: repo_url, commit_id, file_name.
 
-    A password model sees password discoveries whatever the path model said of them;
-    all others are reported without regard to their state.
+    Discoveries of password rules are reported while they are ``new``, all others
+    whatever their state.
     """
     staged = diffs.join(P.staged_files(name_status).select(*_KEY), _KEY, "left_semi")
     lines = (P.added_lines(staged)

@@ -34,11 +34,12 @@ def read_tree(spark: SparkSession, root: str, max_depth: int = -1, ignore_list:
     path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*(?=/))?", "")
     inside = F.substring(path, F.lit(len(base) + 2), F.lit(2147483647))
     name = F.when(path == base, F.element_at(F.split(path, "/"), -1)).otherwise(inside)
-    return (
-        spread(found).select(F.lit(repo_url or root).alias("repo_url"), F.lit("").alias("commit_id"),
+    kept = (
+        found.select(F.lit(repo_url or root).alias("repo_url"), F.lit("").alias("commit_id"),
                      name.alias("file_name"), "content")
         .filter(paths.keep_path(F.col("file_name"), max_depth, ignore_list))
     )
+    return spread(kept)
 
 
 def prune(files: DataFrame, max_depth: int = -1, ignore_list: Sequence[str] = ()) -> DataFrame:

@@ -89,6 +89,15 @@ def test_gates_agree_with_plain_patterns(spark):
     assert any(r.plain for r in rows) and not all(r.may for r in rows)
 
 
+def test_rule_dialect(spark):
+    from keysieve.operators.matching import java_dialect
+    assert java_dialect(r"[^[]+x[]&&a]\[b[[:alpha:]_][^[:^digit:]]") == r"[^\[]+x[\]\&\&a]\[b[\p{Alpha}_][^\P{Digit}]"
+    rules = [Rule(1, r"a[[&]b", "other"), Rule(2, r"(?P<q>c)d", "other"), Rule(3, r"k[[:digit:]]+$", "other"),
+             Rule(4, r"[a-z&&[^m]]q", "other")]
+    texts = ["A&b", "a[b", "cd", "k12", "k12\n", "k12\r", "ab", "m]q", "zq"]
+    assert matched(spark, texts, rules) == [(0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (7, 4)]
+
+
 def test_may_match_sees_lines_inside_texts(spark):
     rules = [Rule(1, "^begin\\d+$", "other"), Rule(2, "[0-9]{4}$", "other")]
     frame = spark.createDataFrame([("x\nbegin1\ny",), ("a 1234\nb",), ("x",)], "t string")
