@@ -14,6 +14,10 @@ from keysieve import schemas
 MAX_SCAN_RULES = 5000
 
 
+class NoRulesError(ValueError):
+    """A scan was asked for with an empty catalogue."""
+
+
 class Rule(NamedTuple):
     id: int
     regex: str
@@ -110,7 +114,7 @@ def scan_rules(rules: DataFrame | Iterable[Rule], category: str | None = None) -
     else:
         chosen = [rule for rule in rules if category is None or rule.category == category]
     if not chosen:
-        raise ValueError("No rules found")
+        raise NoRulesError("No rules found")
     if len(chosen) > MAX_SCAN_RULES:
         raise ValueError(f"a scan takes at most {MAX_SCAN_RULES} rules, split the catalogue")
     return chosen

@@ -43,7 +43,7 @@ class Workspace:
     def get_rules(self, category: str | None = None) -> list[R.Rule]:
         try:
             return R.scan_rules(self._table("rules", schemas.RULES), category)
-        except ValueError:
+        except R.NoRulesError:
             return []
 
     def get_rule(self, rule_id: int) -> R.Rule | None:
@@ -69,8 +69,7 @@ class Workspace:
 
     def delete_rule(self, rule_id: int) -> None:
         self._write_rules([rule for rule in self.get_rules() if rule.id != rule_id])
-        forget = lambda rows: rows.withColumn("rule_id", F.when(F.col("rule_id") != rule_id, F.col("rule_id")))
-        self._change(lambda rows: forget(rows))
+        self._change(lambda rows: rows.withColumn("rule_id", F.when(F.col("rule_id") != rule_id, F.col("rule_id"))))
 
     # repositories
 
@@ -81,13 +80,10 @@ class Workspace:
         return latest.filter(~F.col("e.deleted")).select("url", F.col("e.last_scan").alias("last_scan"))
 
     def _scans(self) -> DataFrame:
-        schema = "url string, last_scan bigint, deleted boolean, at bigint"
-        try:
-            return self.spark.read.parquet(self._path("scans")).select("url", "last_scan", "deleted", "at")
-        except Exception as error:
-            if getattr(error, "getCondition", lambda: None)() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return self.spark.createDataFrame([], schema)
+        stored = tables.read(self.spark, self._path("scans"))
+        if stored is None:
+            return self.spark.createDataFrame([], "url string, last_scan bigint, deleted boolean, at bigint")
+        return stored
 
     def _log_scans(self, repos: DataFrame, deleted: bool = False) -> None:
         """Append (url, last_scan) to the scan log."""
