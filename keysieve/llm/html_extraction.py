@@ -140,7 +140,7 @@ def main_text(html: str | None, radius: int = 1) -> str:
     Each block is a line with the ratio of its text length to the tags met in it. Lines whose smoothed ratio reaches the
     threshold (the standard deviation of the ratios, at most their mean) cluster into content regions. Between the first
     and the last region only lines that are mostly links are left out, so short paragraphs stay. A marked article
-    (article, main) is one region from its first line to its last; the rest of such a page isn't looked at.
+    (article, main) is one region from its first line to its last; the rest of such a page isn't looked at. A page of links alone is "".
     """
     if not html:
         return ""
@@ -153,7 +153,10 @@ def main_text(html: str | None, radius: int = 1) -> str:
         return ""
     ratios = np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines])
     smooth = smoothed(ratios, radius)
-    content = smooth >= min(smooth.std(), smooth.mean())
+    # Next to a long paragraph a line of links has a high ratio, too; only an article may have it as content.
+    content = (smooth >= min(smooth.std(), smooth.mean())) & np.array([marked or not b[3] for b in lines])
+    if not (marked or content.any()):
+        return ""
     at = np.flatnonzero(content)
     first, last = (0, len(lines) - 1) if marked else (at[0], at[-1])
     return "\n".join(b[0] for i, b in enumerate(lines) if first <= i <= last and (content[i] or not b[3]))
