@@ -75,7 +75,8 @@ def is_remote(url: Column) -> Column:
 
 
 def owner(url: Column) -> Column:
-    return F.element_at(F.split(url, "/"), -2)
+    """The last part of a url but one; null for a url of one part."""
+    return F.try_element_at(F.split(url, "/"), F.lit(-2))
 
 
 def repo_name(url: Column) -> Column:

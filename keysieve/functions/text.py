@@ -24,11 +24,12 @@ def is_scannable_row(row: Column, max_length: int = MAX_ROW_LENGTH) -> Column:
 
 
 def is_hunk_header(row: Column) -> Column:
-    return row.startswith("@@") & row.rlike(HUNK_HEADER)
+    """A header whose line number is no 32-bit integer is an ordinary row."""
+    return row.startswith("@@") & row.rlike(HUNK_HEADER) & hunk_first_line(row).isNotNull()
 
 
 def hunk_first_line(row: Column) -> Column:
-    return F.regexp_extract(row, HUNK_HEADER, 2).cast("int")
+    return F.regexp_extract(row, HUNK_HEADER, 2).try_cast("int")
 
 
 def patch_row_snippet(row: Column) -> Column:
@@ -41,6 +42,7 @@ def normalise_quotes(snippet: Column) -> Column:
     return F.translate(snippet, "'", '"')
 
 
+# Fixed value: the wording of a finding in a report.
 def finding_text(file_name: Column, snippet: Column, line_number: Column) -> Column:
     return F.concat(
         F.lit("file: "), file_name, F.lit("\nsecret: "), snippet,

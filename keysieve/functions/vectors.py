@@ -21,8 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def mean_pool(vectors: Column) -> Column:
-    """Mean of the token vectors of one text (array<array<double>>)."""
-    first = F.element_at(vectors, 1)
+    """Mean of the token vectors of one text (array<array<double>>); null for a text without tokens."""
+    first = F.get(vectors, F.lit(0))
     summed = F.aggregate(vectors, F.transform(first, lambda _: F.lit(0.0)),
                          lambda total, v: F.zip_with(total, v, lambda x, y: x + y))
     return F.transform(summed, lambda x: x / F.size(vectors))

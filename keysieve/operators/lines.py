@@ -25,21 +25,22 @@ def file_lines(files: DataFrame, content: str = "content", rules: Sequence[Rule]
     if it has one. ``snippet`` is what a discovery reports: the stripped line. With
     ``rules`` given, files and lines that cannot match are left out early.
     """
-    if rules:
-        files = files.filter(may_match(F.col(content), rules))
     keep = [c for c in files.columns if c != content]
     unified = F.replace(F.replace(F.col(content), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    pieces = (files.select(*keep, F.split(unified, "\n", -1).alias("_pieces"))
+    texts = files.select(*keep, unified.alias("_text"))
+    if rules:
+        texts = texts.filter(may_match(F.col("_text"), rules))
+    pieces = (texts.select(*keep, F.split("_text", "\n", -1).alias("_pieces"))
               .select(*keep, "_pieces", F.size("_pieces").alias("_n")))
     rows = pieces.select(*keep, "_n", F.posexplode_outer("_pieces").alias("_pos", "_line"))
     ended = F.col("_pos") < F.col("_n") - 1
     present = ended | (F.col("_line") != "")
+    whole = F.when(ended, F.concat("_line", F.lit("\n"))).otherwise(F.col("_line"))
     if rules:
-        present = present & may_match(F.col("_line"), rules)
+        present = present & may_match(whole, rules)     # a rule may need the newline
     return (
         rows.filter(present)
-        .select(*keep, (F.col("_pos") + 1).alias("line_number"),
-                F.when(ended, F.concat("_line", F.lit("\n"))).otherwise(F.col("_line")).alias("match_text"),
+        .select(*keep, (F.col("_pos") + 1).alias("line_number"), whole.alias("match_text"),
                 X.strip(F.col("_line")).alias("snippet"))
     )
 

@@ -74,6 +74,9 @@ def java_pattern(regex: str) -> str:
     return f"{FLAGS}(?:{regex})"
 
 
+_LONG_ESCAPE = re.compile(r"\\[pPxuckNQEgG0-9]")
+
+
 def _atoms(regex: str) -> list[tuple[str, str]]:
     """The top level of a pattern as (atom, quantifier) pairs; a group or class is one
     atom."""
@@ -118,7 +121,12 @@ def _shortened(atoms: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 
 def existence_pattern(regex: str) -> str:
-    """A pattern that is found in the same texts, but need not match as much of them."""
+    """A pattern that is found in the same texts, but need not match as much of them.
+
+    A pattern with an escape of more than one character stays as it is.
+    """
+    if _LONG_ESCAPE.search(regex):
+        return regex
     atoms = _atoms(regex)
     if any(atom == "|" for atom, _ in atoms) or "".join(a + q for a, q in atoms) != regex:
         return regex
@@ -127,7 +135,7 @@ def existence_pattern(regex: str) -> str:
 
 
 def _without_anchors(regex: str) -> str:
-    """The pattern with its ``^`` and ``$`` assertions taken out."""
+    """The pattern with its ``^`` and ``$`` assertions taken out; the callers keep patterns with long escapes away."""
     out = []
     for atom, quantifier in _atoms(regex):
         if atom.startswith("(?:"):
@@ -237,7 +245,7 @@ def may_match(text: Column, rules: Sequence[Rule]) -> Column:
         required = required_literals(rule.regex)
         if required and min(map(len, required)) >= TELLING:
             literals.update(required)
-        elif _NOT_LOCAL.search(rule.regex):
+        elif _NOT_LOCAL.search(rule.regex) or _LONG_ESCAPE.search(rule.regex):
             return F.lit(True)
         else:
             patterns.append((required, java_pattern(existence_pattern(_without_anchors(rule.regex)))))

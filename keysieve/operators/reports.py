@@ -16,7 +16,8 @@ from keysieve.schemas import STATES
 UNIQUE = ["snippet", "state", "rule_id"]
 NEST = ["snippet", "category", "state"]
 PART_ROWS = 10_000
-MAX_PAGE = 1000
+# Pages up to this many groups are broadcast as keys; larger ones are joined as Spark sees fit.
+SMALL_PAGE = 1000
 
 
 def filter_discoveries(discoveries: DataFrame, repo_url: str | None = None, file_name: str | None = None,
@@ -158,8 +159,8 @@ def page_groups(discoveries: DataFrame, limit: int | None = None, offset: int =
     """One page of unique groups, ordered by category, snippet or state."""
     if order_by not in ("category", "snippet", "state"):
         raise ValueError(f"cannot order by {order_by!r}")
-    if limit is not None and not 0 < limit <= MAX_PAGE:
-        raise ValueError(f"a page holds 1 to {MAX_PAGE} groups")
+    if limit is not None and limit < 1:
+        raise ValueError("a page holds at least one group")
     key = "rule_id" if order_by == "category" else order_by
     # Nulls sort lowest, as in the stores this replaces.
     order = [F.desc_nulls_last(key) if descending else F.asc_nulls_first(key)]
@@ -170,13 +171,13 @@ def page_groups(discoveries: DataFrame, limit: int | None = None, offset: int =
     return page if limit is None else page.limit(limit)
 
 
-def page_occurrences(discoveries: DataFrame, page: DataFrame, bounded: bool = True,
+def page_occurrences(discoveries: DataFrame, page: DataFrame, bounded: bool = False,
                      repo_url: str | None = None, file_name: str | None = None,
                      state: str | None = None) -> DataFrame:
     """All occurrences of a page's (snippet, state) pairs.
 
-    A page that was limited holds at most ``MAX_PAGE`` groups. Its keys are reduced to
-    fixed-width digests, so the broadcast stays far below a megabyte.
+    ``bounded`` says that the page was limited to at most ``SMALL_PAGE`` groups. Its keys
+    are fixed-width digests, so their broadcast stays far below a megabyte.
     """
     digest = F.sha2(F.coalesce("snippet", F.lit("")), 256).alias("_digest")
     keys = page.select(digest, F.col("state").alias("_state")).distinct()
@@ -196,7 +197,7 @@ def discoveries_page(discoveries: DataFrame, rules: DataFrame, limit: int, offse
     The text filter selects groups; the occurrences follow from (snippet, state).
     """
     page = page_groups(discoveries, limit, offset, order_by, descending, where=where, **conditions)
-    occurrences = page_occurrences(discoveries, page, True, **conditions)
+    occurrences = page_occurrences(discoveries, page, limit <= SMALL_PAGE, **conditions)
     return nested_occurrences(with_category(occurrences, rules))
 
 

@@ -39,7 +39,8 @@ def append(frame: DataFrame, path: str) -> None:
 
 
 def append_new(frame: DataFrame, path: str) -> None:
-    """Append the rows whose id is not stored yet; repeating a job adds nothing."""
+    """Append the rows whose id is not stored yet, each id once; repeating a job adds nothing."""
+    frame = frame.dropDuplicates(["id"])
     stored = read(frame.sparkSession, path)
     if stored is not None:
         frame = frame.join(stored.select("id"), "id", "left_anti").select(*frame.columns)

@@ -96,7 +96,7 @@ def update_similar_batch(discoveries: DataFrame, embeddings: DataFrame, requests
 
 
 def delete_discoveries(discoveries: DataFrame, repo_url: str) -> DataFrame:
-    return discoveries.filter(F.col("repo_url") != repo_url)
+    return discoveries.filter(~F.col("repo_url").eqNullSafe(F.lit(repo_url)))
 
 
 def delete_repo(repos: DataFrame, discoveries: DataFrame, embeddings: DataFrame,
@@ -123,8 +123,8 @@ def null_missing_rules(discoveries: DataFrame, rules: DataFrame) -> DataFrame:
 def delete_embeddings(embeddings: DataFrame, ids: Sequence[int] | None = None,
                       repo_url: str | None = None) -> DataFrame:
     if repo_url is not None:
-        return embeddings.filter(F.col("repo_url") != repo_url)
-    return embeddings.filter(~F.col("id").isin(list(ids or [])))
+        return embeddings.filter(~F.col("repo_url").eqNullSafe(F.lit(repo_url)))
+    return embeddings.filter(F.col("id").isNull() | ~F.col("id").isin(list(ids or [])))
 
 
 def upsert_repos(repos: DataFrame, updates: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from keysieve.functions.text import strip
 from keysieve.operators import models as M
 from keysieve.operators.lines import decode_utf8, file_lines, patch_lines
 from keysieve.operators.matching import match_lines
-from keysieve.operators.skew import salted_join
+from keysieve.operators.skew import is_small, salted_join
 from keysieve.operators.tables import discovery_id
 from keysieve.schemas import DISCOVERIES
 from keysieve.sources import commits as C
@@ -77,7 +77,8 @@ def scan_history(patches: DataFrame, commits: DataFrame, rules: Sequence[Rule],
     else:
         listed = commits.withColumn("_since", F.lit(since).cast("bigint"))
         if since:
-            listed_patches = listed_patches.filter(F.col("committed_date") > since)
+            date = F.col("committed_date")
+            listed_patches = listed_patches.filter(date.isNull() | (date > since))
     wanted = history_pairs(listed, F.col("_since"), max_depth).select(*C.PAIR)
     if isinstance(since, DataFrame) or since == 0:
         first = listed.filter(F.col("_since") == 0)
@@ -87,11 +88,19 @@ def scan_history(patches: DataFrame, commits: DataFrame, rules: Sequence[Rule],
 
 
 def _in_pairs(patches: DataFrame, pairs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Matches in the patches of the given pairs; a first commit has no parent."""
+    """Matches in the patches of the given pairs; a first commit has no parent.
+
+    Few enough pairs are sent to the patches, so only wanted ones are split and matched. Otherwise the matches go to the
+    pairs, not the patch text.
+    """
     no_parent = F.coalesce("parent_id", F.lit("")).alias("_parent")
     rows = patches.select("repo_url", "commit_id", no_parent, "file_name", "patch")
+    wanted = pairs.select("repo_url", "commit_id", no_parent)
+    if is_small(wanted, 100_000, 32_000_000):
+        few = rows.join(F.broadcast(wanted), ["repo_url", "commit_id", "_parent"], "left_semi")
+        return match_lines(patch_lines(few, "patch", rules), rules)
     matches = match_lines(patch_lines(rows, "patch", rules), rules)
-    return salted_join(matches, pairs.select("repo_url", "commit_id", no_parent),
+    return salted_join(matches, wanted,
                        ["repo_url", "commit_id", "_parent"], F.struct("file_name", "line_number"), 8, "left_semi")
 
 

@@ -13,7 +13,7 @@ MAX_LITERALS = 1000
 
 
 def _literals(values: DataFrame, column: str) -> list | None:
-    rows = values.select(column).distinct().limit(MAX_LITERALS + 1).collect()
+    rows = values.select(column).dropna().distinct().limit(MAX_LITERALS + 1).collect()
     return None if len(rows) > MAX_LITERALS else [row[0] for row in rows]
 
 
@@ -26,16 +26,16 @@ def of_repos(frame: DataFrame, urls: DataFrame, spread: str, column: str = "repo
     listed = _literals(urls, "url")
     if listed is not None:
         return frame.filter(F.col(column).isin(listed))
-    keys = urls.select(F.col("url").alias(column)).distinct()
+    keys = urls.select(F.col("url").alias(column)).dropna().distinct()
     return salted_join(frame, keys, [column], F.col(spread), how="left_semi").select(*frame.columns)
 
 
 def without_repos(frame: DataFrame, urls: DataFrame, spread: str, column: str = "repo_url") -> DataFrame:
-    """All rows but those of the listed repositories."""
+    """All rows but those of the listed repositories. A null url, on either side, is no repository."""
     listed = _literals(urls, "url")
     if listed is not None:
-        return frame.filter(~F.col(column).isin(listed))
-    keys = urls.select(F.col("url").alias(column)).distinct()
+        return frame.filter(F.col(column).isNull() | ~F.col(column).isin(listed))
+    keys = urls.select(F.col("url").alias(column)).dropna().distinct()
     return salted_join(frame, keys, [column], F.col(spread), how="left_anti").select(*frame.columns)
 
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from keysieve import schemas
 
-# Rules become literals of the scan plan, so a scan takes a bounded catalogue.
-MAX_SCAN_RULES = 5000
 
 
 class NoRulesError(ValueError):
@@ -106,15 +104,14 @@ def export_rules(rules: DataFrame) -> DataFrame:
 
 
 def scan_rules(rules: DataFrame | Iterable[Rule], category: str | None = None) -> list[Rule]:
-    """The bounded list of rules a scan is planned with; empty is an error."""
+    """The rules a scan is planned with, however many; empty is an error. Users write the catalogue, so it is a list of
+    patterns, not data that grows with the corpus."""
     if isinstance(rules, DataFrame):
         rows = (rules_by_category(rules, category).select("id", "regex", "category", "description")
-                .orderBy("id").limit(MAX_SCAN_RULES + 1).collect())
+                .orderBy("id").collect())
         chosen = [Rule(*row) for row in rows]
     else:
         chosen = [rule for rule in rules if category is None or rule.category == category]
     if not chosen:
-        raise NoRulesError("No rules found")
-    if len(chosen) > MAX_SCAN_RULES:
-        raise ValueError(f"a scan takes at most {MAX_SCAN_RULES} rules, split the catalogue")
+        raise NoRulesError("the catalogue has no rule for this scan")
     return chosen

@@ -24,15 +24,21 @@ def scan_patch_stream(spark: SparkSession, landed: str, target: str, progress: s
     running.awaitTermination()
 
 
-def unique_pair_stream(spark: SparkSession, landed: str, target: str, progress: str,
-                       delay: str = "30 days") -> None:
-    """Let every commit pair through once within ``delay`` of its first arrival.
-
-    The watermark bounds the state: pairs older than the delay are forgotten.
-    """
-    arriving = spark.readStream.schema(PAIRS).parquet(landed)
-    seen = arriving.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(PAIR)
-    running = (seen.writeStream.format("parquet").option("path", target)
+def pair_batch(batch: DataFrame, number: int, target: str) -> None:
+    """Store the pairs of one micro-batch that no other batch has stored. A batch that is run again writes the same folder."""
+    pairs = batch.groupBy(*PAIR).agg(F.min("seen_at").alias("seen_at"))
+    if number:
+        schema = T.StructType([*PAIRS.fields, T.StructField("batch", T.LongType())])
+        earlier = batch.sparkSession.read.schema(schema).parquet(target).filter(F.col("batch") < number)
+        known = [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in PAIR]
+        pairs = pairs.alias("p").join(earlier.alias("e"), known, "left_anti")
+    pairs.select(*PAIRS.fieldNames()).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+
+def unique_pair_stream(spark: SparkSession, landed: str, target: str, progress: str, files: int = 1000) -> None:
+    """Let every commit pair through once, however late it arrives; ``files`` bounds a micro-batch."""
+    arriving = spark.readStream.schema(PAIRS).option("maxFilesPerTrigger", files).parquet(landed)
+    running = (arriving.writeStream.foreachBatch(lambda batch, number: pair_batch(batch, number, target))
                .option("checkpointLocation", progress).trigger(availableNow=True).start())
     running.awaitTermination()
 

@@ -75,7 +75,8 @@ def test_page(spark):
     with pytest.raises(ValueError):
         reports.page_groups(found, order_by="id")
     with pytest.raises(ValueError):
-        reports.page_groups(found, limit=10_000)
+        reports.page_groups(found, 0)
+    assert reports.page_groups(found, 5000).count() == len(groups)
 
 
 def test_report_text(spark):
