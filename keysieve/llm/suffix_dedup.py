@@ -29,7 +29,7 @@ class Repeats:
 
     length: int = 200
     gram: int = 32
-    group: int = 1000
+    group: int = 10_000
 
     def __post_init__(self) -> None:
         if not self.gram <= self.length < 4096:
