@@ -16,9 +16,10 @@ from keysieve.session import shared_dir
 BUCKETS = 64
 
 
-def discovery_id(repo_url: str = "repo_url") -> Column:
-    """A repeatable id: scanning the same line again yields the same id."""
-    return F.xxhash64(repo_url, "commit_id", "file_name", "line_number", "rule_id")
+def discovery_id(*more: str) -> Column:
+    """A repeatable id: scanning the same line again yields the same id. ``more`` columns tell apart what the place in the
+    repository doesn't, as the parent a commit was compared with."""
+    return F.xxhash64("repo_url", "commit_id", "file_name", "line_number", "rule_id", *more)
 
 
 def bucket(url: str = "repo_url") -> Column:
@@ -72,16 +73,44 @@ def read(spark: SparkSession, path: str, repo_url: str | None = None) -> DataFra
 
 
 def replace(frame: DataFrame, path: str) -> None:
-    """Replace a whole bucketed table by ``frame``, which may be derived from it.
+    """Replace a whole bucketed table by ``frame``, which may be derived from it."""
+    _swap(frame, path, None)
 
-    The new rows are first written next to the scratch data, so the table is not
-    touched before they are complete, and never read while it is rewritten.
+
+def swap_repos(fresh: DataFrame, path: str, repos: DataFrame, without: Callable[[DataFrame], DataFrame]) -> None:
+    """Put ``fresh``, each id once, in the place of all rows of the listed repositories (``url``).
+
+    ``without`` takes the rows of those repositories out. Only the buckets of ``repos`` and ``fresh`` are rewritten.
+    """
+    fresh = fresh.dropDuplicates(["id"])
+    if read(fresh.sparkSession, path) is None:
+        append(fresh, path)
+        return
+    places = repos.select(bucket("url").alias("n")).union(fresh.select(bucket().alias("n"))).distinct()
+    numbers = [row.n for row in places.collect()]
+    stored = fresh.sparkSession.read.parquet(path).filter(F.col("repo_bucket").isin(numbers))
+    kept = without(stored.select(*fresh.columns))
+    _swap(kept.unionByName(fresh.join(kept.select("id"), "id", "left_anti").select(*fresh.columns)), path, numbers)
+
+
+def _swap(frame: DataFrame, path: str, numbers: list[int] | None) -> None:
+    """Replace the numbered buckets of a table, or all of them, by ``frame``, which may be derived from them.
+
+    The new rows are complete in the scratch folder first. One job then puts them in the place of the old ones, which
+    go when it commits: a failure before that leaves the table as it was. Buckets without a row left are emptied last.
     """
     spark = frame.sparkSession
     staging = shared_dir(spark, "staging")
+    if numbers is None:
+        numbers = [row[0] for row in spark.read.parquet(path).select("repo_bucket").distinct().collect()]
     _bucketed(frame).write.partitionBy("repo_bucket").parquet(staging)
     staged = spark.read.schema(_staged_schema(frame)).parquet(staging)
-    staged.write.mode("overwrite").partitionBy("repo_bucket").parquet(path)
+    filled = {row[0] for row in staged.select("repo_bucket").distinct().collect()}
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("repo_bucket").parquet(path))
+    nothing = spark.createDataFrame([], frame.schema)
+    for number in sorted(set(numbers) - filled):
+        nothing.write.mode("overwrite").parquet(f"{path}/repo_bucket={number}")
 
 
 def rewrite_bucket(spark: SparkSession, path: str, number: int,

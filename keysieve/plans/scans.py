@@ -84,7 +84,12 @@ def scan_history(patches: DataFrame, commits: DataFrame, rules: Sequence[Rule],
         first = listed.filter(F.col("_since") == 0)
         roots = C.root_commits(first if max_depth is None else C.newest_commits(first, max_depth))
         wanted = wanted.unionByName(roots.withColumn("parent_id", F.lit(None).cast("string")))
-    return to_discoveries(_in_pairs(listed_patches, wanted, rules), **shape)
+    return to_discoveries(_in_pairs(listed_patches, wanted, rules), **_by_parent(shape))
+
+
+def _by_parent(shape: dict) -> dict:
+    """A commit with two parents is compared with both, so its discoveries have an id for each."""
+    return {"ids": discovery_id("_parent"), **shape}
 
 
 def _in_pairs(patches: DataFrame, pairs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -124,7 +129,7 @@ def scan_snapshot_delta(patches: DataFrame, commits: DataFrame, repos: DataFrame
     delta = C.snapshot_delta(commits, repos, C.resolve_refs(requests, refs))
     wanted = delta.select("repo_url", "commit_id", F.col("commit_from").alias("parent_id")).distinct()
     chosen = of_commits(P.patch_rows(patches), wanted)
-    return to_discoveries(_in_pairs(chosen, wanted, rules), **shape)
+    return to_discoveries(_in_pairs(chosen, wanted, rules), **_by_parent(shape))
 
 
 def scan_path(spark: SparkSession, root: str, rules: Sequence[Rule], max_depth: int = -1,

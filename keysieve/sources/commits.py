@@ -114,6 +114,21 @@ def last_commit_before(commits: DataFrame, repos: DataFrame) -> DataFrame:
             .groupBy("repo_url").agg(F.max_by("commit_id", F.struct("committed_date", "commit_id")).alias("commit_from")))
 
 
+def unknown_snapshots(resolved: DataFrame, *known: DataFrame) -> DataFrame:
+    """The resolved requests whose commit is in none of the ``known`` tables (repo_url, commit_id)."""
+    left = resolved
+    for frame in known:
+        left = left.join(frame.select("repo_url", "commit_id").distinct(), ["repo_url", "commit_id"], "left_anti")
+    return left
+
+
+def landed_deltas(delta: DataFrame, patches: DataFrame) -> DataFrame:
+    """The (repo_url, commit_id) of a delta that needs no other scan: its patch is landed, or nothing has changed."""
+    pairs = delta.select("repo_url", "commit_id", F.col("commit_from").alias("parent_id"))
+    landed = pairs.join(patches.select(*PAIR).distinct(), PAIR, "left_semi")
+    return pairs.filter(F.col("commit_id") == F.col("parent_id")).unionByName(landed).select("repo_url", "commit_id").distinct()
+
+
 def snapshot_delta(commits: DataFrame, repos: DataFrame, targets: DataFrame) -> DataFrame:
     """(repo_url, commit_from, commit_id): what a repeated snapshot scan has to diff.
 

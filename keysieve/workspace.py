@@ -16,7 +16,7 @@ from keysieve.operators import reports, similarity, tables, triage
 from keysieve.plans import scans
 from keysieve.sources import commits as C
 from keysieve.sources import rules as R
-from keysieve.sources.repos import of_repos, repos_of, wiki_repos, without_repos
+from keysieve.sources.repos import of_commits, of_repos, repos_of, wiki_repos, without_repos
 
 
 class Workspace:
@@ -211,10 +211,13 @@ class Workspace:
         classified = M.run_models(found, models, self.get_rules()).drop("flagged_by")
         fresh = tables.landed(classified)
         if force:
-            drop = lambda rows: without_repos(rows, scanned, "id")
-            self._change(drop, name="embeddings", schema=schemas.EMBEDDINGS)
-            self._change(drop)
-        tables.append_new(fresh, self._path("discoveries"))
+            without = lambda rows: without_repos(rows, scanned, "id")
+            tables.swap_repos(fresh, self._path("discoveries"), scanned, without)
+            if tables.read(self.spark, self._path("embeddings")) is not None:
+                none = self.spark.createDataFrame([], schemas.EMBEDDINGS)
+                tables.swap_repos(none, self._path("embeddings"), scanned, without)
+        else:
+            tables.append_new(fresh, self._path("discoveries"))
         left = fresh.filter(F.col("state") != "false_positive")
         if similar:
             tables.append_new(M.embed_discoveries(fresh, encoder), self._path("embeddings"))
@@ -255,19 +258,23 @@ class Workspace:
                       encoder: M.Encoder | None = None) -> DataFrame:
         """Scan the requested (repo_url, name) snapshots.
 
-        A repository that was scanned before is scanned by the patches since then, if
-        patches are given. ``last_scan`` becomes the time of the scanned commit.
+        A repository that was scanned before is scanned by the patch from the commit of that
+        time to the requested one; where that patch isn't landed, whole. ``last_scan`` becomes
+        the time of the scanned commit. A request for an unknown commit raises ValueError.
         """
         rules = R.scan_rules(self.get_rules(category))
+        resolved = C.resolve_refs(requests, refs)
+        unknown = C.unknown_snapshots(resolved, commits, of_commits(files, resolved)).select("repo_url", "name").limit(10).collect()
+        if unknown:
+            raise ValueError("unknown snapshots: " + ", ".join(f"{row.repo_url} {row.name}" for row in unknown))
         dates = C.commit_timestamps(requests, refs, commits).select(
             F.col("repo_url").alias("url"), F.col("committed_date").alias("last_scan"))
         whole = requests
         parts = []
         if not force and patches is not None:
             known = self.get_repos().filter(F.col("last_scan") > 0)
-            resolved = C.resolve_refs(requests, refs)
-            delta = C.snapshot_delta(commits, known, resolved)
-            whole = requests.join(delta.select("repo_url").distinct(), "repo_url", "left_anti")
+            ready = C.landed_deltas(C.snapshot_delta(commits, known, resolved), patches)
+            whole = resolved.join(ready, ["repo_url", "commit_id"], "left_anti").select(*requests.columns)
             parts.append(scans.scan_snapshot_delta(patches, commits, known, refs, requests, rules))
         parts.append(scans.scan_snapshot(files, refs, whole, rules, max_depth, ignore_list))
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -162,3 +162,49 @@ def test_replayed_batch_is_stored_once(spark, history, tmp_path):
     jobs.store_batch(found.limit(0), 1, store)
     assert jobs.stored_discoveries(spark, store).count() == 4
     assert jobs.stored_scan_times(spark, store).count() == 1
+
+
+def test_discoveries_of_two_parents_have_their_own_ids(spark, history):
+    patches, commits = history
+    other = spark.createDataFrame([(URL, "alt", 0, "c4", 400), (URL, "alt", 1, "c3", 300)], COMMITS)
+    same = patches.filter("commit_id = 'c4' and change_type = 'A'").withColumn("b_path", F.lit("same.py"))
+    rows = scan_history(same, commits.unionByName(other), DEFAULT_RULES).collect()
+    assert len(rows) == 2 and len({r.id for r in rows}) == 2
+
+
+def test_snapshot_without_a_landed_delta_is_scanned_whole(spark, history, workspace):
+    patches, commits = history
+    refs = spark.createDataFrame([(URL, "refs/heads/main", "c3")], REFS)
+    files = spark.createDataFrame([(URL, "c1", "a.py", "pwd 1\n"), (URL, "c3", "a.py", "pwd 1\npwd 2\n")],
+                                  "repo_url string, commit_id string, file_name string, content string")
+    ask = lambda name: spark.createDataFrame([(URL, name)], "repo_url string, name string")
+    with pytest.raises(ValueError, match="no-such-branch"):
+        workspace.scan_snapshot(files, refs, commits, ask("no-such-branch"))
+    assert workspace.get_repos().isEmpty()
+    assert workspace.scan_snapshot(files, refs, commits, ask("c1")).count() == 1
+    # Patches lead from c1 to c2 and from c2 to c3, none from c1 to c3.
+    assert workspace.scan_snapshot(files, refs, commits, ask("main"), patches=patches).count() == 2
+    assert workspace.scan_snapshot(files, refs, commits, ask("main"), patches=patches).isEmpty()
+
+
+def test_forced_scans_replace_only_their_repositories(spark, history, workspace, monkeypatch):
+    patches, commits = history
+    other = [f.withColumn("repo_url", F.lit("https://h/o/other")) for f in history]
+    workspace.scan(*other, similarity=True)
+    workspace.scan(patches, commits, similarity=True)
+    workspace.update_discovery_group("fixed", "https://h/o/other")
+    workspace.update_discovery_group("fixed", URL)
+    states = lambda url: [r.state for r in workspace.get_discoveries(url).collect()]
+    before = workspace.get_repos().collect()
+
+    def failing(*args):
+        raise RuntimeError("no log")
+    with monkeypatch.context() as patched:
+        patched.setattr(workspace, "_log_scans", failing)
+        with pytest.raises(RuntimeError):
+            workspace.scan(patches, commits, force=True)
+    assert workspace.get_repos().collect() == before and states(URL) == ["new"] * 4
+    # Nothing is found any more: the repository's bucket is emptied, the other one stays.
+    assert workspace.scan(patches.limit(0), commits, force=True).isEmpty()
+    assert states(URL) == [] and states("https://h/o/other") == ["fixed"] * 4
+    assert workspace.get_embeddings("https://h/o/other").count() == 4 and workspace.get_embeddings(URL).isEmpty()
