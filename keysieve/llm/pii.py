@@ -8,6 +8,7 @@ expressions within a row: no text is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysieve.llm.common import landed, text_or_empty
+from keysieve.llm.common import fresh, landed, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -57,21 +58,32 @@ def _may_hold(text: Column) -> Column:
     return text.rlike(r"[@0-9:]|(?i)[ (\[]at[ )\]]")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` and the lambdas in it use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _matches(text: Column, pattern: str, kind: str, wide: bool) -> Column:
     """Every match with place, value and what stands around it; places count code points from 0."""
-    parts = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(parts, hits, lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b")))
-    begin = F.aggregate(
-        F.slice(pairs, F.lit(1), F.size(hits)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, x: F.struct((s["at"] + x["a"] + x["b"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["a"])).alias("all")),
-        lambda s: s["all"])
-    return F.transform(hits, lambda hit, i: F.struct(
-        F.get(begin, i).alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
-        (F.get(begin, i) + F.length(hit)).alias("end"), F.lit(kind).alias("kind"), F.lit(wide).alias("wide"),
-        hit.alias("value"), F.substring(F.get(parts, i), -24, 24).alias("left"),
-        F.substring(F.get(parts, i + 1), 1, 4).alias("right")))
+    cut = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+
+    def place(c: Column) -> Column:
+        pairs = F.zip_with(c["parts"], c["hits"], lambda a, b: F.struct(F.length(a).alias("a"), F.length(b).alias("b")))
+        begin = F.aggregate(
+            F.slice(pairs, F.lit(1), F.size(c["hits"])),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda s, x: F.struct((s["at"] + x["a"] + x["b"]).alias("at"), F.concat(s["all"], F.array(s["at"] + x["a"])).alias("all")),
+            lambda s: s["all"])
+        return F.struct(c["parts"].alias("parts"), c["hits"].alias("hits"), begin.alias("begin"))
+
+    def spans(c: Column) -> Column:
+        return F.transform(c["hits"], lambda hit, i: F.struct(
+            F.get(c["begin"], i).alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
+            (F.get(c["begin"], i) + F.length(hit)).alias("end"), F.lit(kind).alias("kind"), F.lit(wide).alias("wide"),
+            hit.alias("value"), F.substring(F.get(c["parts"], i), -24, 24).alias("left"),
+            F.substring(F.get(c["parts"], i + 1), 1, 4).alias("right")))
+
+    return _let(_let(cut, place), spans)
 
 
 def _digits(value: Column) -> Column:
@@ -95,7 +107,7 @@ def _valid(kind: str, value: Column) -> Column:
     digits = _digits(value)
     n = F.length(digits)
     if kind == "card":
-        return F.when((n >= 14) & (n <= 19), _luhn(digits)).otherwise(False)
+        return _let(digits, lambda d: F.when((F.length(d) >= 14) & (F.length(d) <= 19), _luhn(d)).otherwise(False))
     if kind == "phone":
         return (n >= 10) & (n <= 15)
     if kind == "ip":
@@ -104,20 +116,27 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """The valid matches of the base patterns, by start and then kind."""
-    def of(kind: str) -> Column:
-        return F.when(_needs(text, kind), F.filter(_matches(text, BASE[kind], kind, False), lambda s: _valid(kind, s["value"])))
-
+def _found(text: Column, patterns: dict[str, str]) -> Column:
+    """All matches of the patterns, valid or not."""
+    wide = patterns is WIDE
     empty = F.filter(_matches(F.lit(""), BASE["ip"], "ip", False), lambda s: F.lit(False))
-    return F.array_sort(F.concat(*[F.coalesce(of(k), empty) for k in KINDS]))
+    return F.concat(*[F.coalesce(F.when(_needs(text, k, wide), _matches(text, patterns[k], k, wide)), empty) for k in KINDS])
 
 
-def proposed_spans(text: Column) -> Column:
-    """Everything the generators propose, valid or not."""
-    empty = F.filter(_matches(F.lit(""), BASE["ip"], "ip", False), lambda s: F.lit(False))
-    found = [F.coalesce(F.when(_needs(text, k, p is WIDE), _matches(text, p[k], k, p is WIDE)), empty) for p in (BASE, WIDE) for k in KINDS]
-    return F.array_sort(F.concat(*found))
+def base_of(found: Column) -> Column:
+    """The valid ones of the matches of the base patterns, by start and then kind."""
+    def valid(s: Column) -> Column:
+        checks = F.lit(False)
+        for i, k in enumerate(KINDS):
+            checks = F.when(s["rank"] == i, _valid(k, s["value"])).otherwise(checks)
+        return checks
+
+    return F.array_sort(F.filter(found, valid))
+
+
+def base_spans(text: Column) -> Column:
+    """The valid matches of the base patterns, by start and then kind."""
+    return base_of(_found(text, BASE))
 
 
 def _overlap(spans: Column, s: Column) -> Column:
@@ -160,7 +179,8 @@ def fit_trees(docs: DataFrame, text: str = "text", how: Trees = Trees()) -> Tree
     """
     body = text_or_empty(text)
     spans = (docs.select(body.alias("_t")).filter(_may_hold(F.col("_t")))
-             .select(base_spans(F.col("_t")).alias("_b"), proposed_spans(F.col("_t")).alias("_p"))
+             .select(_found(F.col("_t"), BASE).alias("_f"), _found(F.col("_t"), WIDE).alias("_w"))
+             .select(base_of(F.col("_f")).alias("_b"), F.concat("_f", "_w").alias("_p"))
              .select("_b", F.explode("_p").alias("s")))
     named = [c.alias(n) for c, n in zip(_features(F.col("s")), FEATURES)]
     rows = spans.select(*named, _overlap(F.col("_b"), F.col("s")).cast("double").alias("label"))
@@ -212,17 +232,23 @@ def find_pii(docs: DataFrame, text: str = "text", trees: Trees | None = None) ->
     trees = trees or fit_trees(docs, text)
     own = [c for c in docs.columns if c not in ("base", "spans")]
     short = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))
-    rows = docs.select(*own, F.transform(base_spans(text_or_empty(text)), short).alias("base"))
     if trees.model is None:
+        rows = docs.select(*own, F.transform(base_spans(text_or_empty(text)), short).alias("base"))
         return rows.withColumn("spans", F.col("base"))
 
     def accepted(s: Column) -> Column:
-        return tree_score(trees.model, dict(zip(FEATURES, _features(s)))) >= trees.threshold
+        features = F.struct(*[c.alias(n) for c, n in zip(_features(s), FEATURES)])
+        return _let(features, lambda f: tree_score(trees.model, {n: f[n] for n in FEATURES})) >= trees.threshold
 
-    fits = _may_hold(text_or_empty(text))
-    free = F.filter(proposed_spans(text_or_empty(text)), lambda s: ~_overlap(F.col("base"), s))
-    more = F.when(fits, F.transform(F.filter(free, accepted), short))
-    return rows.withColumn("spans", F.coalesce(F.array_sort(F.array_distinct(F.concat(F.col("base"), more))), F.col("base")))
+    body = text_or_empty(text)
+    found, wide = fresh("_found", own), fresh("_wide", own)
+    rows = (docs.select(*own, _found(body, BASE).alias(found), F.when(_may_hold(body), _found(body, WIDE)).alias(wide))
+            .select(*own, F.transform(base_of(F.col(found)), short).alias("base"),
+                    F.concat(F.col(found), F.col(wide)).alias(wide)))
+    free = F.filter(F.col(wide), lambda s: ~_overlap(F.col("base"), s))
+    more = F.transform(F.filter(free, accepted), short)
+    spans = F.coalesce(F.array_sort(F.array_distinct(F.concat(F.col("base"), more))), F.col("base"))
+    return rows.select(*own, "base", spans.alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
