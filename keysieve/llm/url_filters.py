@@ -2,7 +2,7 @@
 
 Both models are variable-order Markov models with smoothing, one of accepted and one of rejected urls. The longest
 context that was seen often enough predicts a character, shorter ones smooth it. Everything is DataFrame operations:
-grams are counted with partial aggregates, and urls are scored by one probe for each order and position.
+grams are counted with partial aggregates, the models hold every gram, and each distinct gram of the urls is looked up once.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysieve.llm.common import landed
+from keysieve.operators.skew import lookup_join
 
 ORDER = 5           # characters of context at most
-BUCKETS = 1 << 16   # grams of an order share so many counters, which bounds the models to broadcast: 6 x 65,536 rows
 START, END = "\u0002", "\u0003"
 Rule = tuple[str, str]   # (verdict, "host/path")
 
@@ -62,16 +62,12 @@ def _gram(text: Column, position: Column, order: int) -> Column:
     return F.substring(text, position + (ORDER - order), F.lit(order + 1))
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
-
-
 def _positions(text: Column) -> Column:
     return F.explode(F.sequence(F.lit(1), F.length(text) - ORDER)).alias("_at")
 
 
 def fit_models(known: DataFrame, url: str, accepted: Column, least: int = 2) -> list[DataFrame]:
-    """For each order a table (bucket, ratio): the log-likelihood ratio of the last character of a gram.
+    """For each order a table (gram, ratio) of all grams seen: the log-likelihood ratio of the last character.
 
     p(character | context) = (n(gram) + c * p(character | shorter context)) / (n(context) + c), with c the number of
     different characters seen after the context, so much seen contexts trust themselves. Grams seen fewer than ``least``
@@ -82,8 +78,7 @@ def fit_models(known: DataFrame, url: str, accepted: Column, least: int = 2) ->
         F.struct(F.lit(k).alias("k"), _gram(F.col("_t"), F.col("_at"), k).alias("gram")) for k in range(ORDER + 1)])).alias("g"))
     counts = landed(grams.select("_a", "g.k", "g.gram").groupBy("k", "gram").agg(
         F.sum(F.col("_a").cast("double")).alias("acc"), F.sum((1 - F.col("_a")).cast("double")).alias("rej"))
-        .withColumn("context", F.expr("substring(gram, 1, k)"))
-        .withColumn("bucket", _bucket(F.col("gram"))), "grams")
+        .withColumn("context", F.expr("substring(gram, 1, k)")), "grams")
     models: list[DataFrame] = []
     for k in range(ORDER + 1):
         rows = counts.filter(F.col("k") == k)
@@ -98,22 +93,34 @@ def fit_models(known: DataFrame, url: str, accepted: Column, least: int = 2) ->
             rows = rows.withColumns({"q_acc": F.lit(1 / 128), "q_rej": F.lit(1 / 128)})
         smooth = {f"p_{s}": (F.col(s) + (F.col(f"c_{s}") + 1) * F.col(f"q_{s}")) / (F.col(f"n_{s}") + F.col(f"c_{s}") + 1)
                   for s in ("acc", "rej")}
-        models.append(landed(rows.withColumns(smooth).select("gram", "bucket", "acc", "rej", "p_acc", "p_rej"), f"order{k}"))
+        models.append(landed(rows.withColumns(smooth).select("gram", "acc", "rej", "p_acc", "p_rej"), f"order{k}"))
     ratio = F.log("p_acc") - F.log("p_rej")
     weight = F.col("acc") + F.col("rej")
-    return [m.filter(weight >= (least if k else 1)).groupBy("bucket").agg((F.sum(ratio * weight) / F.sum(weight)).alias("ratio"))
-            for k, m in enumerate(models)]
+    return [m.filter(weight >= (least if k else 1)).select("gram", ratio.alias("ratio")) for k, m in enumerate(models)]
+
+
+def gram_ratios(grams: DataFrame, models: Sequence[DataFrame]) -> DataFrame:
+    """(gram, ratio) of the distinct longest ``grams``: the ratio of the longest end of each that its model knows.
+
+    Goes up from single characters. A gram is in its model once, and as many grams share an end as there are characters,
+    so no join has a hot key.
+    """
+    ends = [grams.select(F.expr(f"substring(gram, {ORDER - k + 1})").alias("gram")).distinct() for k in range(ORDER)] + [grams]
+    known = ends[0].join(models[0], "gram", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    for k in range(1, ORDER + 1):
+        shorter = known.select(F.col("gram").alias("_short"), F.col("ratio").alias("_less"))
+        known = (ends[k].join(models[k], "gram", "left").withColumn("_short", F.expr("substring(gram, 2)")).join(shorter, "_short")
+                 .select("gram", F.coalesce("ratio", "_less").alias("ratio")))
+    return known
 
 
 def score_urls(urls: DataFrame, url: str, models: Sequence[DataFrame]) -> DataFrame:
-    """(url, score): the ratio of every distinct url, per character. The models are broadcast, BUCKETS rows each at most."""
+    """(url, score): the ratio of every distinct url, per character. Ratios are broadcast only if they are proven to be few."""
     text = urls.select(F.col(url).alias("url")).distinct().withColumn("_t", _characters("url"))
-    rows = text.select("url", "_t", F.length("_t").alias("_n"), _positions(F.col("_t")))
-    for k in range(ORDER, -1, -1):
-        probe = F.broadcast(models[k].select(F.col("bucket").alias(f"_b{k}"), F.col("ratio").alias(f"_r{k}")))
-        rows = rows.withColumn(f"_b{k}", _bucket(_gram(F.col("_t"), F.col("_at"), k))).join(probe, f"_b{k}", "left")
-    best = F.coalesce(*[F.col(f"_r{k}") for k in range(ORDER, -1, -1)], F.lit(0.0))
-    return rows.groupBy("url").agg((F.sum(best) / F.count("*")).alias("score"))
+    rows = text.select("url", "_t", _positions(F.col("_t"))).select("url", _gram(F.col("_t"), F.col("_at"), ORDER).alias("gram"))
+    ratios = landed(gram_ratios(landed(rows.select("gram").distinct(), "urlgrams"), models), "gramratios")
+    scored = lookup_join(rows, ratios, "gram", F.col("url"), "inner")
+    return scored.groupBy("url").agg((F.sum("ratio") / F.count("*")).alias("score"))
 
 
 def calibrated_threshold(scored: DataFrame, bins: int = 400, width: float = 4.0) -> float:

@@ -148,3 +148,37 @@ def test_url_models_tell_what_the_rules_taught(spark):
     assert got[900]["verdict"] == got[903]["verdict"] == "allow" and got[901]["verdict"] == "block"
     assert got[902]["host"] == "" and got[902]["verdict"] in ("allow", "block")
     assert url_filters.judge_urls(pages.limit(0), RULES).count() == 0
+
+
+def test_url_scores_against_brute_force_on_many_grams(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(12))
+    rows = [(f"http://h{i % 9}.org/{word()}/{word()}" + ("/win" if i % 2 else ""), i % 2 == 0) for i in range(3000)]
+    marked = lambda u: "\2" * 5 + "".join("0" if c.isdigit() else c for c in u.split("://")[1]) + "\3"
+    grams = lambda u, k: [marked(u)[i - k:i + 1] for i in range(5, len(marked(u)))]
+    chance, ratios = {}, []
+    for k in range(6):
+        counts = {}
+        for u, ok in rows:
+            for g in grams(u, k):
+                counts.setdefault(g, [0, 0])[not ok] += 1
+        seen = {}
+        for g, n in counts.items():
+            of = seen.setdefault(g[:-1], [0, 0, 0, 0])
+            for s in (0, 1):
+                of[s] += n[s]
+                of[2 + s] += n[s] > 0
+        chance = {g: [(n[s] + (seen[g[:-1]][2 + s] + 1) * (chance[g[1:]][s] if k else 1 / 128))
+                      / (seen[g[:-1]][s] + seen[g[:-1]][2 + s] + 1) for s in (0, 1)] for g, n in counts.items()}
+        ratios.append({g: np.log(p[0] / p[1]) for g, p in chance.items() if sum(counts[g]) >= (2 if k else 1)})
+    assert len(counts) > 65_536
+
+    def score(u):
+        ends = [next((r[g[5 - k:]] for k, r in reversed(list(enumerate(ratios))) if g[5 - k:] in r), 0.0) for g in grams(u, 5)]
+        return np.mean(ends)
+
+    models = url_filters.fit_models(spark.createDataFrame(rows, "url string, ok boolean"), "url", F.col("ok"))
+    others = [f"http://h{i % 9}.org/{word()}/q~" for i in range(400)]
+    got = url_filters.score_urls(spark.createDataFrame([(u,) for u in others + [rows[0][0], rows[1][0]]], "url string"), "url", models)
+    got = {r["url"]: r["score"] for r in got.collect()}
+    assert len(got) == 402 and max(abs(got[u] - score(u)) for u in got) < 1e-9
