@@ -1,8 +1,8 @@
 """Personal data: generators propose spans, boosted trees judge the ones that no exact rule settles.
 
 Base spans come from fixed patterns and checks and always stay. Wider generators propose more spans, which may overlap.
-Boosted trees over format and context features learn from the base spans what personal data looks like and a threshold,
-calibrated on documents kept aside, selects the spans to add. Scanning, features, trees and redaction are all column
+Boosted trees over format and context features learn from the base spans what personal data looks like, seeing neither which
+pattern proposed a span nor how it was spelled. A threshold, calibrated on rows kept aside, selects the spans to add. Scanning, features, trees and redaction are all column
 expressions within a row: no text is shuffled.
 """
 
@@ -43,8 +43,7 @@ CUES = {
     "network": r"(?i)(\bip\b|host|server|address|ping)",
     "code": r"(?i)(order|invoice|version|release|isbn|issn|serial|build|page|\bid\b|sha|key|token)",
 }
-FEATURES = ("kind", "wide", "digits", "letters", "length", "groups", "longest", "dots", "marks", "plus", "valid",
-            "glued", *CUES)
+FEATURES = ("kind", "digits", "letters", "length", "groups", "longest", "dots", "marks", "valid", "glued", "prose", *CUES)
 
 
 def _needs(text: Column, kind: str, wide: bool = False) -> Column:
@@ -143,19 +142,57 @@ def _overlap(spans: Column, s: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
 
+def _plain(s: Column) -> Column:
+    """The value in the form that the base patterns know, so that a spelling gives no proposal away."""
+    at = F.regexp_replace(s["value"], r"(?i)\x20?[\[(]at[\])]\x20?|\x20at\x20", "@")
+    email = F.regexp_replace(at, r"(?i)\x20?[\[(]dot[\])]\x20?|\x20dot\x20", ".")
+    ip = F.translate(F.regexp_replace(s["value"], "[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}", "00"), ":", ".")
+    return (F.when(s["wide"] & (s["rank"] == KINDS.index("email")), email)
+            .when(s["wide"] & (s["rank"] == KINDS.index("ip")), ip).otherwise(s["value"]))
+
+
+def _passes(s: Column) -> Column:
+    """Whether a proposal passes the check of its kind in its plain form."""
+    checks = F.lit(False)
+    for i, k in enumerate(KINDS):
+        checks = F.when(s["rank"] == i, _valid(k, _plain(s))).otherwise(checks)
+    return checks
+
+
+def _glued(s: Column) -> Column:
+    joined = r"[\p{L}0-9_=/]"
+    return F.substring(s["left"], -1, 1).rlike(joined).cast("int") + F.substring(s["right"], 1, 1).rlike(joined).cast("int")
+
+
+def _prose(s: Column) -> Column:
+    """Whether an address is a word, "at" and a host name, as in "look at host.org"."""
+    return (s["wide"] & (s["rank"] == KINDS.index("email"))
+            & ~s["value"].rlike(r"(?i)[\[(]at[\])]|[\[(]dot[\])]|\x20dot\x20"))
+
+
+def _label(s: Column, passes: Column, overlaps: Column) -> Column:
+    """1 for personal data, 0 for what is none, null if the base patterns can't tell.
+
+    A match that passes its check and overlaps a base span is personal data. None is what overlaps no base span and fails
+    its check, is part of a longer token, or stands in a code or order context or in prose without any other cue. All
+    other proposals are what the trees are to judge, so nothing is learned from them.
+    """
+    cue = {n: s["left"].rlike(p) for n, p in CUES.items()}
+    odd = ((cue["code"] & ~(cue["contact"] | cue["money"] | cue["network"])) | (_glued(s) > 0) | (_prose(s) & ~cue["contact"]))
+    return F.when(overlaps, F.when(passes, 1.0)).when(~passes | odd, 0.0)
+
+
 def _features(s: Column) -> list[Column]:
     """Numbers with few values each: what the span looks like and which words stand before it."""
-    value, digits = s["value"], _digits(s["value"])
+    value = _plain(s)
+    digits = _digits(value)
     least = lambda c, most: F.least(c, F.lit(most)).cast("int")
     runs = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))
-    checks = [F.when(s["rank"] == i, _valid(k, value).cast("int")) for i, k in enumerate(KINDS)]
-    glued = F.substring(s["left"], -1, 1).rlike(r"[\p{L}0-9_=/]").cast("int") + F.substring(s["right"], 1, 1).rlike(r"[\p{L}0-9_=/]").cast("int")
-    return [s["rank"], s["wide"].cast("int"), least(F.length(digits), 24),
+    return [s["rank"], least(F.length(digits), 24),
             least(F.length(F.regexp_replace(value, r"[^A-Za-z]", "")) / 4, 10), least(F.length(value) / 4, 12),
             least(F.size(runs), 8), least(F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)), 20),
             least(F.length(F.regexp_replace(value, r"[^.]", "")), 4), least(F.length(F.regexp_replace(value, r"[^ ()\-]", "")), 6),
-            (value.startswith("+") | s["left"].rlike(r"\+[0-9]{0,3} ?$")).cast("int"), F.coalesce(*checks), glued,
-            *[s["left"].rlike(p).cast("int") for p in CUES.values()]]
+            _passes(s).cast("int"), _glued(s), _prose(s).cast("int"), *[s["left"].rlike(p).cast("int") for p in CUES.values()]]
 
 
 @dataclass(frozen=True)
@@ -172,7 +209,7 @@ class Trees:
 
 
 def fit_trees(docs: DataFrame, text: str = "text", how: Trees = Trees()) -> Trees:
-    """Learn from all documents: proposals that overlap a base span are personal data, the others are not.
+    """Learn from the proposals of all documents that base spans, checks and contexts settle (see ``_label``).
 
     Equal feature rows are counted together. A quarter of them is kept aside to find the least threshold with the wanted
     precision. Without both classes nothing is learned and nothing will be added.
@@ -183,7 +220,9 @@ def fit_trees(docs: DataFrame, text: str = "text", how: Trees = Trees()) -> Tree
              .select(base_of(F.col("_f")).alias("_b"), F.concat("_f", "_w").alias("_p"))
              .select("_b", F.explode("_p").alias("s")))
     named = [c.alias(n) for c, n in zip(_features(F.col("s")), FEATURES)]
-    rows = spans.select(*named, _overlap(F.col("_b"), F.col("s")).cast("double").alias("label"))
+    label = _label(F.col("s"), F.col("valid") == 1, F.col("_over"))
+    rows = (spans.select("s", *named, _overlap(F.col("_b"), F.col("s")).alias("_over"))
+            .select(*FEATURES, label.alias("label")).filter(F.col("label").isNotNull()))
     counted = rows.groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight"))
     counted = landed(counted.orderBy(F.desc("weight"), F.xxhash64(*FEATURES)).limit(how.rows), "spans")
     classes = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -224,8 +263,8 @@ def tree_score(model: GBTClassificationModel, features: dict[str, Column]) -> Co
 def find_pii(docs: DataFrame, text: str = "text", trees: Trees | None = None) -> DataFrame:
     """Add ``base`` and ``spans``, arrays of (start, rank, end, kind), to every row.
 
-    ``spans`` holds the base spans and the proposals that the trees accept and that overlap no base span; accepted
-    proposals may overlap each other. Places are code points, ends are exclusive. Null and empty texts have none.
+    ``spans`` holds the base spans and the wide proposals that the trees accept and that overlap no base span; accepted
+    proposals may overlap each other. Other matches of the base patterns failed their check. Places are code points, ends are exclusive. Null and empty texts have none.
     Repeated rows are searched each. Columns named base or spans are replaced. ``trees`` are learned from the rows
     themselves if not given.
     """
@@ -243,8 +282,7 @@ def find_pii(docs: DataFrame, text: str = "text", trees: Trees | None = None) ->
     body = text_or_empty(text)
     found, wide = fresh("_found", own), fresh("_wide", own)
     rows = (docs.select(*own, _found(body, BASE).alias(found), F.when(_may_hold(body), _found(body, WIDE)).alias(wide))
-            .select(*own, F.transform(base_of(F.col(found)), short).alias("base"),
-                    F.concat(F.col(found), F.col(wide)).alias(wide)))
+            .select(*own, F.transform(base_of(F.col(found)), short).alias("base"), F.col(wide)))
     free = F.filter(F.col(wide), lambda s: ~_overlap(F.col("base"), s))
     more = F.transform(F.filter(free, accepted), short)
     spans = F.coalesce(F.array_sort(F.array_distinct(F.concat(F.col("base"), more))), F.col("base"))

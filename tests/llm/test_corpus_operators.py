@@ -63,6 +63,29 @@ def test_trees_add_spans_and_redaction_keeps_the_rest(spark):
     assert pii.redact(text, trees=trees).first()["text"] == "ü mail <EMAIL>, <PHONE>!"
 
 
+def test_trees_add_spelled_out_and_hexadecimal_addresses_and_numbers_without_plus(spark):
+    rng = random.Random(7)
+    n = lambda a, b: rng.randint(a, b)
+    rows = []
+    for i in range(600):
+        name = "abcdefghijkl"[:n(2, 12)]
+        rows.append(f"{rng.choice(['write', 'ask', 'mail', 'see'])} {name}@{name}{'.co' * n(0, 1)}.org or "
+                    f"{rng.choice(['call', 'dial', 'phone'])} +{n(1, 99)} {n(20, 999)} {n(200, 999)}-{n(1000, 9999)}, "
+                    f"{rng.choice(['host', 'ping', 'at'])} {n(1, 255)}.{n(0, 255)}.{n(0, 255)}.{n(0, 255)}")
+        rows.append(f"{rng.choice(['order', 'invoice', 'serial', 'build'])} {n(100, 999)}-{n(100, 999)}-{n(1000, 9999)}, "
+                    f"version {n(1, 9)}.{n(0, 9)}.{n(256, 999)}.{n(0, 99)}, {n(10 ** 7, 10 ** 9)} rows, dated {n(1990, 2030)}-{n(10, 12)}-{n(10, 28)}")
+        rows.append(f"we look at page{n(1, 9)}.org")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    trees = pii.fit_trees(docs)
+    wanted = {"mail jane [at] host dot org now": "jane [at] host dot org", "host 2001:db8:0:0:0:ff00:42:8329 is up": "2001:db8:0:0:0:ff00:42:8329",
+              "call (017) 555-7713 today": "(017) 555-7713", "order 617-555-7713 came": None, "dated 2024-10-15 here": None,
+              "we look at page7.org": None}
+    asked = spark.createDataFrame([(t,) for t in wanted], "text string")
+    for r in pii.find_pii(asked, trees=trees).collect():
+        assert not r["base"]
+        assert [r["text"][x["start"]:x["end"]] for x in r["spans"]] == ([wanted[r["text"]]] if wanted[r["text"]] else [])
+
+
 def brute_align(item, words):
     table = np.zeros((len(item) + 1, len(words) + 1), dtype=int)
     for i, a in enumerate(item):
