@@ -15,7 +15,7 @@ BLOCKS = frozenset("""address article aside blockquote body center dd details di
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre
 section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("""applet aside audio button canvas datalist dialog footer form frameset head header iframe input
+SKIPPED = frozenset("""applet aside audio button canvas datalist dialog footer frameset head header iframe input
 label map math menu nav noembed noframes noscript object script select style svg template textarea title video""".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("body head html option optgroup title".split())
 BOILERPLATE = re.compile(
@@ -25,28 +25,46 @@ BOILERPLATE = re.compile(
     r"toolbar|widget)(?:$|[\s_-])", re.IGNORECASE)
 # Words in the class or id of an article element that make it a comment or an advert, whatever else it is called.
 NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|promo\w*|related|replies|sponsor\w*)(?:$|[\s_-])", re.IGNORECASE)
+# Words that name what their element holds; the other boilerplate words also name layouts that wrap a whole page.
+NEVER = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|captcha|comments?|consent|cookies?|disqus|disclaimer|footer|gdpr|newsletter|"
+    r"notices?|notification|outbrain|pagination|pager|promo\w*|related|replies|respond|signup|sponsor\w*|taboola)(?:$|[\s_-])",
+    re.IGNORECASE)
+# Classes that say what a page or article has, and the header of an article: no boilerplate.
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|with|without)[_-]\S*|(?:article|entry|post|story)[_-]+header(?=\s|$))", re.IGNORECASE)
+CONTROLS = frozenset("button datalist input label select textarea".split())
+CONTROL_CHARS = 40      # a control that shows counts as so much text of its form
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 SPACE = re.compile(r"\s+")
 
 
+class _Wrapper:
+    """An element that is left out unless its text shows that it holds the content."""
+
+    def __init__(self, form: bool, never: bool, comments: bool) -> None:
+        self.form, self.never, self.comments = form, never, comments
+        self.text = self.controls = 0
+
+
 class _Blocks(HTMLParser):
     """Collects the blocks of a page in order, each with its text, the tags met in it and where it stands."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []   # (tag, skipped from here on, inside an article from here on)
+        # (tag, skipped, inside an article, wrappers, how many of them were open around the outermost article) from here on
+        self.open: list[tuple[str, bool, bool, tuple[_Wrapper, ...], int]] = []
+        self.found: list[tuple[list, int, bool]] = []   # (parts, number of tags, in an article)
         self.blocks: list[tuple[str, int, bool, bool]] = []   # (text, number of tags, in an article, mostly links)
-        self.parts: list[str] = []
-        self.tags = self.linked = 0
+        self.parts: list[tuple[str, bool, tuple[_Wrapper, ...], int]] = []   # (text, in a link, wrappers, those around the article)
+        self.tags = self.total = 0
 
-    def state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def state(self) -> tuple[bool, bool, tuple[_Wrapper, ...], int]:
+        return self.open[-1][1:] if self.open else (False, False, (), 0)
 
     def flush(self) -> None:
         if self.parts or self.tags:
-            text = SPACE.sub(" ", "".join(self.parts)).strip()
-            self.blocks.append((text, self.tags, self.state()[1], 2 * self.linked > len(text)))
-            self.parts, self.tags, self.linked = [], 0, 0
+            self.found.append((self.parts, self.tags, self.state()[1]))
+            self.parts, self.tags = [], 0
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag in ENDS_PARAGRAPH:
@@ -54,16 +72,23 @@ class _Blocks(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", False, (), 0))
         self.tags += 1
+        if tag in CONTROLS and tag != "label" and (dict(attrs).get("type") or "").lower() != "hidden":
+            self._count_controls(CONTROL_CHARS)
         if tag in VOID:
             return
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_same(tag)
-        skipped, article = self.state()
+        skipped, article, wrappers, around = self.state()
         main = tag in ("article", "main") or dict(attrs).get("role") in ("main", "article")
-        skipped = skipped or (tag in SKIPPED and not (tag == "header" and article)) or self._boilerplate(tag, attrs, main and not article)
-        self.open.append((tag, skipped, article or main))
+        skipped = skipped or (tag in SKIPPED and not (tag == "header" and article)) or self._hidden(tag, attrs)
+        if not skipped:
+            wrapper = self._wrapper(tag, attrs, main and not article)
+            wrappers += (wrapper,) if wrapper else ()
+            if main and not article and not any(w.comments for w in wrappers):
+                around = len(wrappers)
+        self.open.append((tag, skipped, article or main, wrappers, around))
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -84,19 +109,52 @@ class _Blocks(HTMLParser):
                 break
 
     def handle_data(self, data) -> None:
-        if not self.state()[0]:
-            self.parts.append(data)
-            if any(tag == "a" for tag, _, _ in self.open):
-                self.linked += len(data)
+        skipped, _, wrappers, around = self.state()
+        if skipped:
+            if any(w.form for w in wrappers) and any(o[0] in CONTROLS for o in self.open):
+                self._count_controls(len(data.strip()))
+            return
+        self.parts.append((data, any(o[0] == "a" for o in self.open), wrappers, around))
+        size = len(data.strip())
+        self.total += size
+        for w in wrappers:
+            w.text += size
+
+    def _count_controls(self, size) -> None:
+        for w in self.state()[2]:
+            w.controls += size
 
-    def _boilerplate(self, tag, attrs, main) -> bool:
+    def _hidden(self, tag, attrs) -> bool:
         if tag in ("html", "body"):
             return False
         found = dict(attrs)
-        if found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
-            return True
+        return found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+
+    def _wrapper(self, tag, attrs, main) -> _Wrapper | None:
+        if tag in ("html", "body"):
+            return None
+        found = dict(attrs)
+        names = [MODIFIER.sub("", found.get(k) or "") for k in ("class", "id")]
         pattern = NOT_ARTICLE if main else BOILERPLATE
-        return any(pattern.search(found.get(k) or "") for k in ("class", "id"))
+        if any(pattern.search(n) for n in names):
+            return _Wrapper(False, any(NEVER.search(n) for n in names), any(NOT_ARTICLE.search(n) for n in names))
+        return _Wrapper(True, False, False) if tag == "form" else None
+
+    def _holds_content(self, w: _Wrapper) -> bool:
+        """A form does if it has more text than controls, any other wrapper if it has most of the page's text."""
+        return w.text > w.controls if w.form else not w.never and 2 * w.text > self.total
+
+    def _settle(self) -> None:
+        """Leave out what stands in wrappers. If that takes every article, articles reopen the wrappers around them."""
+        holds = {w: self._holds_content(w) for parts, _, _ in self.found for p in parts for w in p[2]}
+        for reopen in (False, True):
+            self.blocks = []
+            for parts, tags, article in self.found:
+                kept = [p for p in parts if all(holds[w] for w in p[2][p[3] if reopen else 0:])]
+                text = SPACE.sub(" ", "".join(p[0] for p in kept)).strip()
+                self.blocks.append((text, tags, article, 2 * sum(len(p[0]) for p in kept if p[1]) > len(text)))
+            if any(b[0] and b[2] for b in self.blocks) or not any(p[3] for parts, _, _ in self.found for p in parts):
+                return
 
     def _end_paragraph(self) -> None:
         """A block start ends an open paragraph, with the inline elements left open in it."""
@@ -121,6 +179,7 @@ class _Blocks(HTMLParser):
     def close(self) -> None:
         super().close()
         self.flush()
+        self._settle()
 
 
 def smoothed(values: np.ndarray, radius: int) -> np.ndarray:
@@ -140,7 +199,9 @@ def main_text(html: str | None, radius: int = 1) -> str:
     Each block is a line with the ratio of its text length to the tags met in it. Lines whose smoothed ratio reaches the
     threshold (the standard deviation of the ratios, at most their mean) cluster into content regions. Between the first
     and the last region only lines that are mostly links are left out, so short paragraphs stay. A marked article
-    (article, main) is one region from its first line to its last; the rest of such a page isn't looked at. A page of links alone is "".
+    (article, main) is one region from its first line to its last, with its lines of links; the rest of such a page isn't looked at.
+    A page of links alone is "". Elements with boilerplate names and forms are left out unless they hold the content (see
+    ``_Blocks._holds_content``) or the only article.
     """
     if not html:
         return ""
@@ -159,7 +220,7 @@ def main_text(html: str | None, radius: int = 1) -> str:
         return ""
     at = np.flatnonzero(content)
     first, last = (0, len(lines) - 1) if marked else (at[0], at[-1])
-    return "\n".join(b[0] for i, b in enumerate(lines) if first <= i <= last and (content[i] or not b[3]))
+    return "\n".join(b[0] for i, b in enumerate(lines) if first <= i <= last and (marked or content[i] or not b[3]))
 
 
 def _main_text(pages: pd.Series) -> pd.Series:

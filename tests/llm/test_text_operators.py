@@ -123,6 +123,25 @@ def test_main_text_of_pages(spark):
     assert main_text(plain) == "\n".join([long.strip(), "Yes.", long.strip()])
 
 
+def test_wrappers_of_the_content_are_kept():
+    long = ("A long sentence of the article that goes on and on, as articles do. " * 4).strip()
+    body = f"<h1>Title</h1><p>{long}</p><p>Yes.</p>"
+    side = "<div class='sidebar'><p>Most read today</p></div><div id=comments><article><p>Great post!</p></article></div>"
+    for name in ("site has-sidebar", "content no-sidebar", "page with-menu", "elementor-widget-text-editor", "widget"):
+        assert main_text(f"<body><div class='{name}'><article>{body}</article></div>{side}") == f"Title\n{long}\nYes."
+        assert main_text(f"<body><div class='{name}'><p>{long}</p><p>{long}</p></div>{side}") == f"{long}\n{long}"
+    more = f"<div><p>{long * 9}</p></div>"
+    assert main_text(f"<body>{more}<div class='banner'><article>{body}</article></div>") == f"Title\n{long}\nYes."
+    assert main_text(f"<body><article><div class='article-header'><h1>Title</h1></div><p>{long}</p></article>") == f"Title\n{long}"
+    page = f"<form><input type=hidden><div><input><button>Search</button></div><p>{long}</p><p>{long}</p></form>"
+    assert main_text(f"<body>{page}") == f"{long}\n{long}"
+    assert main_text(f"<body><p>{long}</p><form>Your mail <input><button>Send</button></form><p>{long}</p>") == f"{long}\n{long}"
+    links = "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"
+    assert main_text(f"<body><article><p>{long}</p>{links}</article>") == f"{long}\nOne\nTwo"
+    teaser = "<div class='sidebar'><article><p>Teaser</p></article></div>"
+    assert main_text(f"<body><article>{body}</article>{teaser}") == f"Title\n{long}\nYes."
+
+
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
 
 
