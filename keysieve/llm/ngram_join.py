@@ -1,9 +1,10 @@
-"""Near-duplicate texts: a MinHash LSH forest over word n-grams proposes, exact Jaccard similarity decides.
+"""Near-duplicate texts: banded MinHash LSH over word n-grams proposes, exact Jaccard similarity decides.
 
-Equal texts are one class from the start. Each tree of the forest is a prefix trie over its own run of MinHash values;
-texts that share a long enough prefix in some tree are candidates. The prefix is shortened from the whole run until a
-pair at the very threshold is expected to meet with the target recall. Candidates that hang together are compared
-exactly, all with all, in blocks of bounded size.
+Equal texts are one class from the start. Each tree is a band: the hash of one prefix of its own run of MinHash values;
+texts that share it in some tree are candidates. There are no tries and nothing is shortened by what was found: the
+length is the longest with which a pair at the very threshold meets with the target recall, the same for all trees and
+inputs, so a pair may be missed (see ``Forest.depth``). Candidates that hang together are compared exactly, all with all,
+in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def signature(grams: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.n
 
 
 def prefixes(texts: pd.Series, forest: Forest) -> pd.Series:
-    """For each text one hash per tree of the prefix to match; null for a text without words."""
+    """For each text one hash per tree of its band, the prefix of fixed length; null for a text without words."""
     depth = forest.depth()
     rng = np.random.default_rng(forest.seed)
     factors = rng.integers(0, 2 ** 63, (forest.trees, forest.longest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
