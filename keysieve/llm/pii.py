@@ -197,7 +197,7 @@ def _features(s: Column) -> list[Column]:
 
 @dataclass(frozen=True)
 class Trees:
-    """``rows`` bounds the different feature rows to learn from (weighted by how often each occurs)."""
+    """``rows`` bounds the different feature rows to learn from (weighted by how often each occurs), not those kept aside."""
 
     rows: int = 20_000
     trees: int = 10
@@ -224,13 +224,14 @@ def fit_trees(docs: DataFrame, text: str = "text", how: Trees = Trees()) -> Tree
     rows = (spans.select("s", *named, _overlap(F.col("_b"), F.col("s")).alias("_over"))
             .select(*FEATURES, label.alias("label")).filter(F.col("label").isNotNull()))
     counted = rows.groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight"))
-    counted = landed(counted.orderBy(F.desc("weight"), F.xxhash64(*FEATURES)).limit(how.rows), "spans")
+    counted = landed(counted, "spans")
     classes = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if min(classes.get(0.0, 0), classes.get(1.0, 0)) < 4:
         return Trees(how.rows, how.trees, how.depth, how.precision, how.seed)
     aside = F.pmod(F.xxhash64(*FEATURES, F.lit(how.seed)), F.lit(4)) == 0
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    learn = vectors.transform(counted.filter(~aside).coalesce(2))
+    most = counted.filter(~aside).orderBy(F.desc("weight"), F.xxhash64(*FEATURES)).limit(how.rows)
+    learn = vectors.transform(landed(most, "learn").coalesce(2))
     if learn.select("label").distinct().count() < 2:
         return Trees(how.rows, how.trees, how.depth, how.precision, how.seed)
     model = GBTClassifier(maxIter=how.trees, maxDepth=how.depth, weightCol="weight", seed=how.seed).fit(learn)

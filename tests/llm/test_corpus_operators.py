@@ -86,6 +86,19 @@ def test_trees_add_spelled_out_and_hexadecimal_addresses_and_numbers_without_plu
         assert [r["text"][x["start"]:x["end"]] for x in r["spans"]] == ([wanted[r["text"]]] if wanted[r["text"]] else [])
 
 
+def test_the_threshold_counts_rare_forms_too(spark):
+    rng = random.Random(12)
+    rows = [f"call +{'1' * (i % 3 + 1)} {'617'[:i % 2 + 2]} {'5' * (i % 4 + 3)} 0053{'.' * (i % 2)}" for i in range(24) for _ in range(20)]
+    rows += [f"mail {'abcdefghijklmnopqrstuvwxyz'[:i + 1]}@{'x' * (i % 5 + 1)}.org" for i in range(24) for _ in range(20)]
+    rows += [f"{'1' * (i + 2)} rows" for i in range(10) for _ in range(20)]
+    for _ in range(400):      # numbers that pass the check, in order contexts: rare forms without personal data
+        parts = ["7" * rng.randint(2, 4) for _ in range(rng.randint(3, 5))]
+        rows.append("order " + "".join(p + rng.choice("-. ") for p in parts[:-1]) + parts[-1] + ";")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    trees = pii.fit_trees(docs, how=pii.Trees(rows=40))
+    assert trees.model is not None and trees.threshold == 1.0
+
+
 def brute_align(item, words):
     table = np.zeros((len(item) + 1, len(words) + 1), dtype=int)
     for i, a in enumerate(item):
