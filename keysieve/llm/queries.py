@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysieve.llm import decontamination, html_extraction, language_id, ngram_join, packing, pii
-from keysieve.llm import quality_classifier, quality_rules, suffix_dedup, url_filters
+from keysieve.llm import quality_classifier, quality_rules, sharding, suffix_dedup, url_filters, whitening
 from keysieve.llm.common import id_remainder
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
@@ -86,9 +86,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    explained = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return (whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+            .select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"),
+                    F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened",
+                    F.get(explained, F.col("at")).alias("explained"),
+                    F.lit(model.identity_error).cast("double").alias("identity_error")))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shuffled = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), shards=8, seed=13)
+    body = F.coalesce("text", F.lit(""))
+    return shuffled.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"),
+                           F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                           F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_classifier, op2_url_filters, op3_pii, op4_language_id, op5_quality_rules, op6_packing,
-    op7_decontamination, op8_suffix_dedup, op9_ngram_join, op10_html_extraction)}
+    op7_decontamination, op8_suffix_dedup, op9_ngram_join, op10_html_extraction, op11_embedding_whitening, op13_sharding)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
