@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.llm import decontamination, html_extraction, language_id, ngram_join, packing, pii
+from keysieve.llm import conversation_repair, decontamination, html_extraction, language_id, ngram_join, packing, pii
 from keysieve.llm import quality_classifier, quality_rules, sharding, suffix_dedup, url_filters, whitening
 from keysieve.llm.common import id_remainder
 
@@ -97,6 +97,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(model.identity_error).cast("double").alias("identity_error")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(conversation_repair.damage(rows), rows.select("conv_id"))
+    return repaired.withColumnRenamed("conv", "conv_id")
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), shards=8, seed=13)
     body = F.coalesce("text", F.lit(""))
@@ -107,7 +113,8 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_classifier, op2_url_filters, op3_pii, op4_language_id, op5_quality_rules, op6_packing,
-    op7_decontamination, op8_suffix_dedup, op9_ngram_join, op10_html_extraction, op11_embedding_whitening, op13_sharding)}
+    op7_decontamination, op8_suffix_dedup, op9_ngram_join, op10_html_extraction, op11_embedding_whitening,
+    op12_conversation_repair, op13_sharding)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -157,4 +164,63 @@ k AS (SELECT node, min(root) AS class_id FROM walk GROUP BY node),
 links AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
 SELECT d.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies::BIGINT AS n_copies, d.doc_id = class_id AS representative
 FROM d JOIN c ON c.body = d.body JOIN k ON k.node = c.rep LEFT JOIN links ON links.a = c.rep""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS key
+  FROM conversations),
+drawn AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(key, lambda crc, b: list_reduce(
+           range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, b)), 4294967295::BIGINT), 4294967295) % 20 AS draw
+  FROM raw),
+rows_ AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+         CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE draw <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_)),
+faults AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+inserts(q, r, extra, letters, lines) AS (VALUES
+  (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']),
+  (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+  (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+kept(initial, q, r) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edits AS (
+  SELECT conv_id, i, q, 'D' AS letter, 2 AS cost, q AS r, []::VARCHAR[] AS lines FROM faults, (VALUES (0), (1), (2), (3)) states(q)
+  UNION ALL
+  SELECT conv_id, i, q, 'R', CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END, CASE WHEN q = 2 THEN 3 ELSE 2 END,
+         [CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END || ':' || text]
+  FROM faults, (VALUES (0), (1), (2), (3)) states(q) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT conv_id, i, q, 'K', CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, r, [role || ':' || text]
+  FROM faults JOIN kept USING (initial) WHERE fault NOT IN ('blank', 'duplicate')),
+paths AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM conversations
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, e.r, p.cost + n.extra + e.cost AS c, p.audit || n.letters || e.letter AS a, p.lines || n.lines || e.lines
+  FROM paths p JOIN inserts n ON n.q = p.q
+  JOIN edits e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i + 1 AND e.q = n.r
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id, e.r ORDER BY p.cost + n.extra + e.cost, p.audit || n.letters || e.letter) = 1),
+sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+ends AS (
+  SELECT p.conv_id, p.cost + n.extra AS cost, p.audit || n.letters AS audit, p.lines || n.lines AS lines, s.gaps, s.blank,
+         s.duplicate, s.truncated, s.illegal
+  FROM paths p LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM p.conv_id JOIN inserts n ON n.q = p.q AND n.r IN (0, 3)
+  WHERE p.i = coalesce(s.n, 0)
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + n.extra, p.audit || n.letters) = 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit,
+       sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM ends""",
 }
