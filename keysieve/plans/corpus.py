@@ -59,6 +59,33 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(*_keys(documents), F.col("text").alias("content"))
 
 
+def edited(content: Column, doc_id: Column) -> Column:
+    """The text with every ninth line gone, every ninth replaced and a line put in behind every fourteenth."""
+    def lines(line: Column, i: Column) -> Column:
+        mark = F.concat(doc_id.cast("string"), F.lit("."), (i + 1).cast("string"))
+        fresh = F.when(i % 2 == 0, F.concat(F.lit("mail m"), mark, F.lit("@h.org"))).otherwise(F.concat(F.lit("line "), mark))
+        return (F.when(i % 9 == 3, F.array().cast("array<string>")).when(i % 9 == 6, F.array(fresh))
+                .when(i % 14 == 2, F.array(line, fresh)).otherwise(F.array(line)))
+    return F.array_join(F.flatten(F.transform(F.split(content, "\n", -1), lines)), "\n")
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of every repository, ``old`` and ``new``: files are edited, and some unchanged, added or deleted."""
+    doc = F.col("doc_id")
+    text = F.when(doc % 5 == 0, F.col("content")).otherwise(edited(F.col("content"), doc))
+    sides = F.array_compact(F.array(
+        F.when(doc % 11 != 0, F.struct(F.lit("old").alias("side"), F.col("content").alias("text"))),
+        F.when(doc % 13 != 0, F.struct(F.lit("new").alias("side"), text.alias("text")))))
+    return (files(spark, sf_dir).select("doc_id", "repo_url", "file_name", F.inline(sides))
+            .select("repo_url", F.md5(F.concat("repo_url", "side")).alias("commit_id"), "file_name", F.col("text").alias("content")))
+
+
+def snapshot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "documents").select(F.concat(F.lit(HOST), "source").alias("repo_url")).distinct()
+    side = lambda name: F.md5(F.concat("repo_url", F.lit(name)))
+    return urls.select("repo_url", side("old").alias("commit_from"), side("new").alias("commit_id"))
+
+
 def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return documents.select(*_keys(documents))

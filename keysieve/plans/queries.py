@@ -24,6 +24,7 @@ from keysieve.sources import files as S
 from keysieve.sources import patches as P
 from keysieve.sources import repos as R
 from keysieve.sources import rules as rule_source
+from keysieve.sources import snapshots
 from keysieve.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,6 +361,54 @@ def snapshot_delta(spark, sf_dir):
     return C.snapshot_delta(commits, scanned, heads)
 
 
+_DIFF = {
+    "new_pieces": ("files", """
+        SELECT doc_id, repo_url, file_name, flatten(list_transform(string_split(content, chr(10)), lambda x, k: CASE
+                 WHEN doc_id % 5 = 0 OR NOT ((k - 1) % 9 IN (3, 6) OR (k - 1) % 14 = 2) THEN [{'line': x, 'fresh': doc_id % 11 = 0}]
+                 WHEN (k - 1) % 9 = 3 THEN []
+                 ELSE (CASE WHEN (k - 1) % 9 = 6 THEN [] ELSE [{'line': x, 'fresh': doc_id % 11 = 0}] END)
+                      || [{'line': CASE WHEN k % 2 = 1 THEN 'mail m' || doc_id || '.' || k || '@h.org' ELSE 'line ' || doc_id || '.' || k END,
+                           'fresh': true}] END)) AS p
+        FROM files WHERE doc_id % 13 <> 0"""),
+    "new_lines": ("new_pieces", """
+        SELECT doc_id, repo_url, md5(repo_url || 'old') AS commit_from, md5(repo_url || 'new') AS commit_id, file_name,
+               k::INTEGER AS line_number, p[k].line AS line
+        FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM new_pieces)
+        WHERE p[k].fresh AND NOT (k = len(p) AND p[k].line = '')"""),
+}
+
+
+def _snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.snapshot_diff(corpus.snapshot_files(spark, sf_dir), corpus.snapshot_pairs(spark, sf_dir))
+
+
+@query("new_lines", "SELECT repo_url, commit_from, commit_id, file_name, line_number, line FROM new_lines", _DIFF)
+def snapshot_diff_lines(spark, sf_dir):
+    """Two snapshots of every repository, of which no patch is landed: the lines the later one adds."""
+    return snapshots.added_lines(_snapshot_diff(spark, sf_dir))
+
+
+_DIFF |= {
+    "new_trimmed": ("new_lines", f"""
+        SELECT *, CASE WHEN {oracles._strip('line')} <> '' THEN {oracles._strip('line')} ELSE '+' || line END AS snippet
+        FROM new_lines WHERE length(line) < 500"""),
+    "new_texts": ("new_trimmed", "SELECT *, snippet AS match_text FROM new_trimmed"),
+    "new_matches": ("new_texts", oracles._matches("new_texts", "doc_id, repo_url, commit_id, file_name, line_number, snippet")),
+    "new_found": ("new_matches", f"""
+        SELECT doc_id * 10000000 + line_number * 100 + rule_id AS id, file_name, commit_id, line_number, snippet, repo_url,
+               rule_id, 'new' AS state, {EPOCH} + doc_id * 60 AS ts
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_number ORDER BY match_end DESC, rule_id DESC) AS place
+              FROM new_matches) WHERE place = 1"""),
+}
+
+
+@query("new_found", f"SELECT {DISCOVERY} FROM new_found", _DIFF)
+def snapshot_diff_scan(spark, sf_dir):
+    """The same two snapshots scanned for what changed between them."""
+    return shown(scans.scan_snapshot_diff(corpus.snapshot_files(spark, sf_dir), corpus.snapshot_pairs(spark, sf_dir),
+                                          CORPUS_RULES, **corpus.shape()))
+
+
 _STAGED = {
     "staged": ("doc_patches", """
         SELECT * FROM doc_patches WHERE doc_id % 6 NOT IN (1, 2)"""),

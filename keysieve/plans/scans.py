@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keysieve.functions.text import strip
+from keysieve.functions.text import is_scannable_row, patch_row_snippet, strip
 from keysieve.operators import models as M
 from keysieve.operators.lines import decode_utf8, file_lines, patch_lines
 from keysieve.operators.matching import match_lines
@@ -22,6 +22,7 @@ from keysieve.schemas import DISCOVERIES
 from keysieve.sources import commits as C
 from keysieve.sources import files as S
 from keysieve.sources import patches as P
+from keysieve.sources import snapshots as D
 from keysieve.sources.repos import of_commits, of_repos, repos_of, wiki_repos
 from keysieve.sources.rules import Rule
 
@@ -132,6 +133,24 @@ def scan_snapshot_delta(patches: DataFrame, commits: DataFrame, repos: DataFrame
     return to_discoveries(_in_pairs(chosen, wanted, rules), **_by_parent(shape))
 
 
+def scan_snapshot_diff(files: DataFrame, pairs: DataFrame, rules: Sequence[Rule], max_depth: int = -1,
+                       ignore_list: Sequence[str] = (), content: str = "content", ignore_space: bool = True, **shape) -> DataFrame:
+    """Scan the lines that differ between the commits of pairs (repo_url, commit_from, commit_id), whose files are all in
+    ``files``: no patch has to be there.
+
+    As in patches, lines over 500 characters with their sign are not scanned and others are trimmed; their numbers are
+    those of the new file.
+    """
+    wanted = pairs.select("repo_url", F.explode(F.array("commit_from", "commit_id")).alias("commit_id")).distinct()
+    chosen = of_commits(S.prune(files, max_depth, ignore_list), wanted)
+    diff = D.snapshot_diff(chosen, pairs, content, ignore_space).filter(F.col("change_type") != "D")
+    row = F.concat(F.lit("+"), F.col("line"))
+    lines = (D.added_lines(diff).filter(is_scannable_row(row))
+             .withColumn("snippet", patch_row_snippet(row)).withColumn("match_text", F.col("snippet"))
+             .withColumn("_parent", F.col("commit_from")))
+    return to_discoveries(match_lines(lines, rules), **_by_parent(shape))
+
+
 def scan_path(spark: SparkSession, root: str, rules: Sequence[Rule], max_depth: int = -1,
               ignore_list: Sequence[str] = (), **shape) -> DataFrame:
     """Scan a folder or a single file; files that are not UTF-8 are skipped whole."""

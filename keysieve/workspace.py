@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -258,9 +259,11 @@ class Workspace:
                       encoder: M.Encoder | None = None) -> DataFrame:
         """Scan the requested (repo_url, name) snapshots.
 
-        A repository that was scanned before is scanned by the patch from the commit of that
-        time to the requested one; where that patch isn't landed, whole. ``last_scan`` becomes
-        the time of the scanned commit. A request for an unknown commit raises ValueError.
+        Of a repository that was scanned before, only what changed since the commit of that time is
+        scanned: by the patch between the two commits if it is landed, else by comparing their files.
+        If the files of the earlier commit aren't there either, the snapshot is scanned whole.
+        ``last_scan`` becomes the time of the scanned commit. A request for an unknown commit raises
+        ValueError.
         """
         rules = R.scan_rules(self.get_rules(category))
         resolved = C.resolve_refs(requests, refs)
@@ -271,13 +274,21 @@ class Workspace:
             F.col("repo_url").alias("url"), F.col("committed_date").alias("last_scan"))
         whole = requests
         parts = []
-        if not force and patches is not None:
+        if not force:
             known = self.get_repos().filter(F.col("last_scan") > 0)
-            ready = C.landed_deltas(C.snapshot_delta(commits, known, resolved), patches)
-            whole = resolved.join(ready, ["repo_url", "commit_id"], "left_anti").select(*requests.columns)
-            parts.append(scans.scan_snapshot_delta(patches, commits, known, refs, requests, rules))
+            delta = tables.landed(C.snapshot_delta(commits, known, resolved).distinct())
+            ready = C.landed_deltas(delta, self.spark.createDataFrame([], schemas.PATCHES) if patches is None else patches)
+            held = of_commits(files, delta.select("repo_url", F.col("commit_from").alias("commit_id")))
+            compared = (delta.join(ready, ["repo_url", "commit_id"], "left_anti")
+                        .join(held.select("repo_url", F.col("commit_id").alias("commit_from")).distinct(),
+                              ["repo_url", "commit_from"], "left_semi"))
+            done = ready.unionByName(compared.select("repo_url", "commit_id")).distinct()
+            whole = resolved.join(done, ["repo_url", "commit_id"], "left_anti").select(*requests.columns)
+            if patches is not None:
+                parts.append(scans.scan_snapshot_delta(patches, commits, known, refs, requests, rules))
+            parts.append(scans.scan_snapshot_diff(files, compared, rules, max_depth, ignore_list))
         parts.append(scans.scan_snapshot(files, refs, whole, rules, max_depth, ignore_list))
-        found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        found = reduce(DataFrame.unionByName, parts)
         return self._store(found, dates, models, force, similarity, encoder)
 
     def _known(self, repo_url: str) -> bool:

@@ -183,8 +183,24 @@ def test_snapshot_without_a_landed_delta_is_scanned_whole(spark, history, worksp
     assert workspace.get_repos().isEmpty()
     assert workspace.scan_snapshot(files, refs, commits, ask("c1")).count() == 1
     # Patches lead from c1 to c2 and from c2 to c3, none from c1 to c3.
-    assert workspace.scan_snapshot(files, refs, commits, ask("main"), patches=patches).count() == 2
-    assert workspace.scan_snapshot(files, refs, commits, ask("main"), patches=patches).isEmpty()
+    alone = files.filter("commit_id = 'c3'")
+    assert workspace.scan_snapshot(alone, refs, commits, ask("main"), patches=patches).count() == 2
+    assert workspace.scan_snapshot(alone, refs, commits, ask("main"), patches=patches).isEmpty()
+
+
+@pytest.mark.parametrize("with_patches", [True, False])
+def test_snapshot_is_compared_with_the_files_of_the_last_scan(spark, history, workspace, with_patches):
+    patches, commits = history
+    refs = spark.createDataFrame([(URL, "refs/heads/main", "c3")], REFS)
+    files = spark.createDataFrame([(URL, "c1", "a.py", "pwd 1\n"), (URL, "c3", "a.py", "x\npwd 1\npwd 2\n"), (URL, "c3", "skip.md", "pwd 3")],
+                                  "repo_url string, commit_id string, file_name string, content string")
+    ask = lambda name: spark.createDataFrame([(URL, name)], "repo_url string, name string")
+    given = patches if with_patches else None
+    assert workspace.scan_snapshot(files, refs, commits, ask("c1"), patches=given).count() == 1
+    found = workspace.scan_snapshot(files, refs, commits, ask("main"), patches=given, ignore_list=["*.md"]).collect()
+    assert [(r.line_number, r.snippet, r.commit_id) for r in found] == [(3, "pwd 2", "c3")]
+    assert workspace.scan_snapshot(files, refs, commits, ask("main"), patches=given).isEmpty()
+    assert workspace.get_discoveries_count(URL) == 2 and workspace.get_repos().first().last_scan == 300
 
 
 def test_forced_scans_replace_only_their_repositories(spark, history, workspace, monkeypatch):
