@@ -6,6 +6,9 @@ is a file that one commit adds. All other tables follow from that.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from keysieve.plans import scans
 from keysieve.schemas import CATEGORIES, STATES
 from keysieve.sources import commits as C
 from keysieve.sources.rules import Rule
+from keysieve.sources.trees import open_root
 
 HOST = "https://git.example/"
 EPOCH = 1704067200
@@ -59,6 +63,21 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(*_keys(documents), F.col("text").alias("content"))
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write every (file_name, content) as a file below ``root``, a folder that all executors share."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, base = open_root(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{base}/{row['file_name']}"
+                target.create_dir(path.rsplit("/", 1)[0])
+                with target.open_output_stream(path) as stream:
+                    stream.write((row["content"] or "").encode())
+        yield from ()
+
+    files.select("file_name", "content").mapInArrow(write, "done boolean").write.format("noop").mode("overwrite").save()
+
+
 def edited(content: Column, doc_id: Column) -> Column:
     """The text with every ninth line gone, every ninth replaced and a line put in behind every fourteenth."""
     def lines(line: Column, i: Column) -> Column:

@@ -185,18 +185,22 @@ def conversation_matches(spark, sf_dir):
 
 # ---- sources --------------------------------------------------------------------
 
-@query("found", """
-    SELECT regexp_extract(file_name, '^([^/]+)', 1) AS folder, rule_id, count(*) AS discoveries
-    FROM found WHERE NOT starts_with(file_name, 'tests/') GROUP BY ALL""")
+_TREE = {"tree_found": ("found", """
+    SELECT CASE doc_id % 4 WHEN 0 THEN '.config/' WHEN 1 THEN '_x/' ELSE '' END || file_name AS file_name,
+           line_number, rule_id, snippet FROM found""")}
+
+
+@query("tree_found", """
+    SELECT file_name, line_number, rule_id, snippet FROM tree_found WHERE NOT starts_with(file_name, 'tests/')""", _TREE)
 def file_tree_lines(spark, sf_dir):
-    """Land the documents as a tree of text files and scan that tree, one folder ignored."""
+    """Land every document as a file, some below dot and underscore folders, and scan the tree with one folder ignored.
+    Pieces are so small that longer files are read in dozens of them."""
     root = shared_dir(spark, "tree")
-    folder = F.regexp_extract("file_name", "^([^/]+)", 1)
-    (corpus.files(spark, sf_dir).select(folder.alias("folder"), "content")
-     .write.partitionBy("folder").option("maxRecordsPerFile", 500).text(root))
-    found = scans.scan_path(spark, root, CORPUS_RULES, ignore_list=["_SUCCESS", "folder=tests"])
-    return (found.groupBy(F.regexp_extract("file_name", "^folder=([^/]+)", 1).alias("folder"), "rule_id")
-            .agg(F.count("*").alias("discoveries")))
+    folder = F.when(F.col("doc_id") % 4 == 0, ".config/").when(F.col("doc_id") % 4 == 1, "_x/").otherwise("")
+    files = corpus.files(spark, sf_dir).select(F.concat(folder, "file_name").alias("file_name"), "content")
+    corpus.write_tree(files, root)
+    found = scans.scan_path(spark, root, CORPUS_RULES, ignore_list=["tests"], piece_bytes=1000)
+    return found.select("file_name", "line_number", "rule_id", "snippet")
 
 
 @query("files", """

@@ -17,12 +17,13 @@ from keysieve.operators import models as M
 from keysieve.operators.lines import decode_utf8, file_lines, patch_lines
 from keysieve.operators.matching import match_lines
 from keysieve.operators.skew import is_small, salted_join
-from keysieve.operators.tables import discovery_id
+from keysieve.operators.tables import discovery_id, landed
 from keysieve.schemas import DISCOVERIES
 from keysieve.sources import commits as C
 from keysieve.sources import files as S
 from keysieve.sources import patches as P
 from keysieve.sources import snapshots as D
+from keysieve.sources import trees
 from keysieve.sources.repos import of_commits, of_repos, repos_of, wiki_repos
 from keysieve.sources.rules import Rule
 
@@ -152,10 +153,18 @@ def scan_snapshot_diff(files: DataFrame, pairs: DataFrame, rules: Sequence[Rule]
 
 
 def scan_path(spark: SparkSession, root: str, rules: Sequence[Rule], max_depth: int = -1,
-              ignore_list: Sequence[str] = (), **shape) -> DataFrame:
-    """Scan a folder or a single file; files that are not UTF-8 are skipped whole."""
-    files = decode_utf8(S.read_tree(spark, root, max_depth, ignore_list))
-    return scan_files(files, rules, **shape)
+              ignore_list: Sequence[str] = (), piece_bytes: int = trees.PIECE_BYTES, **shape) -> DataFrame:
+    """Scan a folder or a single file; files that are not UTF-8 are skipped whole.
+
+    Files of more than ``piece_bytes`` are read in pieces, by several tasks.
+    """
+    if not trees.can_open(root):
+        return scan_files(decode_utf8(S.read_tree(spark, root, max_depth, ignore_list)), rules, **shape)
+    cut = trees.pieces(landed(trees.list_tree(spark, root, max_depth, ignore_list)), piece_bytes)
+    texts = trees.read_pieces(cut, root).filter(F.col("content").isNotNull()).withColumns(
+        {"repo_url": F.lit(root), "commit_id": F.lit("")})
+    found = match_lines(file_lines(texts, rules=rules), rules)
+    return to_discoveries(trees.numbered(found, trees.lines_before(cut, root)), **shape)
 
 
 def scan_pull_requests(pr_commits: DataFrame, rules: Sequence[Rule], repo_url: str | None = None,
