@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keysieve import schemas
 from keysieve.functions import labels, paths, text, vectors
 from keysieve.operators import lines as L
-from keysieve.operators import matching, models, reports, similarity, tables, triage
+from keysieve.operators import matching, models, reports, rule_index, similarity, tables, triage
 from keysieve.operators.skew import spread
 from keysieve.plans import corpus, oracles, scans
 from keysieve.plans.corpus import CORPUS_RULES, EPOCH, HOST
@@ -135,6 +135,35 @@ def scan_one_per_line(spark, sf_dir):
     return shown(corpus.new_discoveries(spark, sf_dir))
 
 
+_MANY = {
+    "picked": ("", """
+        SELECT row_number() OVER (ORDER BY md5(w), w)::INTEGER AS k, w
+        FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS w FROM documents) QUALIFY k <= 5000"""),
+    "rule_words": ("picked", """
+        SELECT a.k AS rule_id, a.w FROM picked a
+        UNION ALL SELECT a.k, b.w FROM picked a JOIN picked b ON b.k = a.k + 1 WHERE a.k % 3 = 1"""),
+    "tokens": ("lines", r"""
+        SELECT DISTINCT doc_id, line_number, unnest(regexp_split_to_array(lower(match_text), '[^\pL\pM\pN_]+')) AS w FROM lines"""),
+}
+
+
+def many_rules(spark: SparkSession, sf_dir: str, count: int = 5000) -> list[rule_source.Rule]:
+    """A catalogue made from words of the documents; every third rule is for two of them."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0)
+    rows = (corpus.table(spark, sf_dir, "documents").select(F.explode(words).alias("w")).distinct()
+            .orderBy(F.md5("w"), "w").limit(count).collect())
+    texts = [row.w for row in rows]
+    both = [f"(?:{w}|{v})" if k % 3 == 1 and v else w for k, (w, v) in enumerate(zip(texts, [*texts[1:], ""]), 1)]
+    return [rule_source.Rule(k, rf"\b{w}\b", "other", "") for k, w in enumerate(both, 1)]
+
+
+@query("tokens,rule_words", "SELECT DISTINCT doc_id, line_number, rule_id FROM tokens JOIN rule_words USING (w)", _MANY)
+def scan_many_rules(spark, sf_dir):
+    """All lines against a catalogue of 5000 rules (the catalogue is what is bounded, not the lines)."""
+    lines = L.file_lines(corpus.files(spark, sf_dir)).select("doc_id", "line_number", "match_text")
+    return rule_index.match_many(lines, many_rules(spark, sf_dir)).select("doc_id", "line_number", "rule_id")
+
+
 def _side_files(frame: DataFrame, host: str, key: Column, content: str) -> DataFrame:
     number = key.cast("string")
     return frame.select(key.alias("doc_id"), F.lit(host).alias("repo_url"), F.md5(number).alias("commit_id"),
