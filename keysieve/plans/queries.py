@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import SparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from keysieve.sources import repos as R
 from keysieve.sources import rules as rule_source
 from keysieve.sources import snapshots
 from keysieve.streaming import jobs as streams
+from keysieve.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1004,6 +1006,22 @@ def update_similar(spark, sf_dir):
                                        threshold=SIMILAR))
 
 
+@query("disc,alike", f"""
+    SELECT * REPLACE (CASE WHEN repo_url = '{REPO}' AND snippet = '{TARGET}' OR id IN (SELECT id FROM alike)
+                           THEN 'not_relevant' ELSE state END AS state)
+    FROM (SELECT {DISCOVERY} FROM disc)""", _SIMILAR)
+def update_group_and_similar(spark, sf_dir):
+    """The group of a snippet and all that is similar to it, in one change of a store."""
+    ws = Workspace(spark, shared_dir(spark, "store"))
+    found = corpus.stored_discoveries(spark, sf_dir)
+    batch = ws.store.new_batch()
+    ws.store.put("embeddings", corpus.embeddings(spark, sf_dir, found), batch)
+    ws.store.commit(batch, ["embeddings"])
+    ws.add_discoveries(found)
+    ws.update_group_and_similar(TARGET, "not_relevant", REPO, threshold=SIMILAR)
+    return shown(ws.get_discoveries())
+
+
 _REQUESTED = {
     "asked": ("emb", """
         SELECT min(id) AS request_id, repo_url, arg_min(snippet, id) AS snippet FROM emb GROUP BY repo_url"""),
@@ -1138,12 +1156,65 @@ def export_csv(spark, sf_dir):
 def forced_rescan(spark, sf_dir):
     """Rescan one repository of a triaged store from the start: its triage is gone, all
     other repositories keep theirs."""
-    path = shared_dir(spark, "discoveries")
-    tables.append(corpus.discoveries(spark, sf_dir), path)
-    fresh = corpus.new_discoveries(spark, sf_dir).filter(F.col("repo_url") == REPO)
-    tables.rewrite_bucket(spark, path, tables.bucket_of(spark, REPO),
-                          lambda rows: triage.delete_discoveries(rows, REPO).unionByName(fresh))
-    return shown(tables.read(spark, path))
+    ws = Workspace(spark, shared_dir(spark, "store"))
+    ws.store_scan(corpus.discoveries(spark, sf_dir), corpus.repos(spark, sf_dir))
+    one = spark.createDataFrame([(REPO, 5)], "url string, last_scan bigint")
+    ws.store_scan(corpus.new_discoveries(spark, sf_dir).filter(F.col("repo_url") == REPO), one, force=True)
+    return shown(ws.get_discoveries())
+
+
+@query("repos,disc", f"""
+    SELECT r.url, r.last_scan, count(d.id) AS discoveries FROM repos r LEFT JOIN disc d ON d.repo_url = r.url
+    WHERE r.url <> '{REPO}' GROUP BY ALL""")
+def scan_atomicity(spark, sf_dir):
+    """Scans that fail: a first one leaves no repository and no discovery, a forced one leaves what was there."""
+    ws = Workspace(spark, shared_dir(spark, "store"))
+    found, repos = tables.landed(corpus.discoveries(spark, sf_dir)), corpus.repos(spark, sf_dir)
+    broken = found.withColumn("snippet", F.when(F.pmod("id", F.lit(7)) >= 0, F.raise_error(F.lit("the scan fails"))))
+    is_one = F.col("repo_url") == REPO
+
+    def fails(rows: DataFrame, scanned: DataFrame, **options) -> None:
+        try:
+            ws.store_scan(rows, scanned, **options)
+        except SparkException:
+            return
+        raise AssertionError("the scan should have failed")
+
+    fails(broken, repos)
+    ws.store_scan(found.filter(~is_one), repos.filter(F.col("url") != REPO))
+    fails(broken.filter(is_one), repos.filter(F.col("url") == REPO))
+    fails(broken, repos, force=True)
+    counts = ws.get_discoveries().groupBy(F.col("repo_url").alias("url")).agg(F.count("*").alias("discoveries"))
+    return ws.get_repos().join(counts, "url", "left").select("url", "last_scan", F.coalesce("discoveries", F.lit(0)).alias("discoveries"))
+
+
+_CHANGED = {
+    "rounds": ("disc", """
+        SELECT id, n, CASE n WHEN 1 THEN 'addressing' WHEN 2 THEN 'fixed' ELSE 'not_relevant' END AS state
+        FROM disc, (VALUES (1), (2), (3)) AS r(n) WHERE id % (n + 1) = 0"""),
+    "latest": ("rounds", "SELECT id, arg_max(state, n) AS state FROM rounds GROUP BY id"),
+}
+
+
+def _three_rounds(spark: SparkSession, sf_dir: str, ws: Workspace) -> DataFrame:
+    """Store the discoveries and change the state of every second, then every third, then every fourth id."""
+    found = tables.landed(corpus.discoveries(spark, sf_dir))
+    ws.store_scan(found, corpus.repos(spark, sf_dir))
+    for n, state in enumerate(("addressing", "fixed", "not_relevant"), 1):
+        ws.update_discoveries(found.filter(F.pmod("id", F.lit(n + 1)) == 0).select("id"), state)
+    return found
+
+
+@query("disc,latest", f"""
+    SELECT {DISCOVERY.replace("state", "coalesce(l.state, d.state) AS state").replace("id,", "d.id,", 1)}
+    FROM disc d LEFT JOIN latest l ON l.id = d.id""", _CHANGED)
+def state_log_fold(spark, sf_dir):
+    """States after three rounds of changes, of which the last one of every discovery counts; half-way they are folded
+    into the table."""
+    ws = Workspace(spark, shared_dir(spark, "store"))
+    _three_rounds(spark, sf_dir, ws)
+    ws.store.compact()
+    return shown(ws.get_discoveries())
 
 
 # ---- streams --------------------------------------------------------------------

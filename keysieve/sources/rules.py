@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -51,13 +53,26 @@ def parse_rules(entries: Iterable[dict], first_id: int = 1) -> list[Rule]:
 
 
 def read_rules_file(path: str, first_id: int = 1) -> list[Rule]:
-    """Rules from a YAML file with a top-level ``rules`` list."""
-    try:
-        import yaml
-    except ImportError as error:
-        raise RuntimeError("reading YAML rules needs the yaml package") from error
+    """Rules from a JSON or YAML file with a top-level ``rules`` list."""
     with open(path, encoding="utf-8") as handle:
-        return parse_rules(yaml.safe_load(handle)["rules"], first_id)
+        text = handle.read()
+    try:
+        content = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as error:
+            raise RuntimeError("reading YAML rules needs the yaml package") from error
+        content = yaml.safe_load(text)
+    return parse_rules(content["rules"], first_id)
+
+
+def write_rules_file(rules: Iterable[Rule], path: str) -> None:
+    """A rules file without ids, as JSON, which is also YAML. It is complete before it takes the place of an older one."""
+    entries = [{"regex": r.regex, "category": r.category, "description": r.description} for r in rules]
+    with open(f"{path}.new", "w", encoding="utf-8") as handle:
+        json.dump({"rules": entries}, handle, ensure_ascii=False, indent=2)
+    os.replace(f"{path}.new", path)
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:

@@ -4,7 +4,7 @@ scan jobs that fill it and triage that changes it."""
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,36 +14,30 @@ from keysieve import schemas
 from keysieve.functions import paths
 from keysieve.operators import models as M
 from keysieve.operators import reports, similarity, tables, triage
+from keysieve.operators.store import Store
 from keysieve.plans import scans
 from keysieve.sources import commits as C
 from keysieve.sources import rules as R
-from keysieve.sources.repos import of_commits, of_repos, repos_of, wiki_repos, without_repos
+from keysieve.sources.repos import of_commits, of_repos, repos_of, wiki_repos
 
 
 class Workspace:
     """``root`` is a folder every executor can reach.
 
-    Scans work on landed sources and on all repositories in them at once. Discoveries
-    are stored before the scan time that stands for them, so a failed first scan
-    leaves no repository and a failed rescan leaves the old scan time.
+    Scans work on landed sources and on all repositories in them at once. What a job stores counts from its entry in the
+    store's log on, all of it together: a failed first scan leaves no repository, a failed rescan the old discoveries
+    and the old scan time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = root.rstrip("/")
-
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def _table(self, name: str, schema, repo_url: str | None = None) -> DataFrame:
-        stored = tables.read(self.spark, self._path(name), repo_url)
-        return self.spark.createDataFrame([], schema) if stored is None else stored.select(*schema.fieldNames())
+        self.store = Store(spark, root)
 
     # rules
 
     def get_rules(self, category: str | None = None) -> list[R.Rule]:
         try:
-            return R.scan_rules(self._table("rules", schemas.RULES), category)
+            return R.scan_rules(self.store.rules(), category)
         except R.NoRulesError:
             return []
 
@@ -53,8 +47,12 @@ class Workspace:
     def rules(self) -> DataFrame:
         return R.rules_frame(self.spark, self.get_rules())
 
-    def _write_rules(self, rules: Iterable[R.Rule]) -> None:
-        (R.rules_frame(self.spark, rules).coalesce(1).write.mode("overwrite").parquet(self._path("rules")))
+    def _write_rules(self, rules: Iterable[R.Rule], deleted: Sequence[int] = ()) -> None:
+        batch = self.store.new_batch()
+        self.store.put("rules", R.rules_frame(self.spark, rules).coalesce(1), batch)
+        if deleted:
+            self.store.put("deleted_rules", self.spark.createDataFrame([(i,) for i in deleted], "rule_id int"), batch)
+        self.store.commit(batch, ["rules", *["deleted_rules"] * bool(deleted)], ["rules"])
 
     def add_rules(self, entries: Iterable[dict]) -> list[R.Rule]:
         """Add rule entries; a pattern that is known already is left out."""
@@ -68,41 +66,37 @@ class Workspace:
     def add_rules_from_file(self, path: str) -> list[R.Rule]:
         return self.add_rules(rule._asdict() for rule in R.read_rules_file(path))
 
+    def export_rules(self, path: str) -> None:
+        """Write the rules as a file that ``add_rules_from_file`` reads."""
+        R.write_rules_file(self.get_rules(), path)
+
     def delete_rule(self, rule_id: int) -> None:
-        self._write_rules([rule for rule in self.get_rules() if rule.id != rule_id])
-        self._change(lambda rows: rows.withColumn("rule_id", F.when(F.col("rule_id") != rule_id, F.col("rule_id"))))
+        self._write_rules([rule for rule in self.get_rules() if rule.id != rule_id], [rule_id])
 
     # repositories
 
     def get_repos(self) -> DataFrame:
         """The latest scan of every repository; deleted ones are gone."""
-        log = self._scans()
-        latest = log.groupBy("url").agg(F.max_by(F.struct("last_scan", "deleted"), "at").alias("e"))
-        return latest.filter(~F.col("e.deleted")).select("url", F.col("e.last_scan").alias("last_scan"))
-
-    def _scans(self) -> DataFrame:
-        stored = tables.read(self.spark, self._path("scans"))
-        if stored is None:
-            return self.spark.createDataFrame([], "url string, last_scan bigint, deleted boolean, at bigint")
-        return stored
-
-    def _log_scans(self, repos: DataFrame, deleted: bool = False) -> None:
-        """Append (url, last_scan) to the scan log."""
-        (repos.select("url", F.col("last_scan").cast("bigint").alias("last_scan"), F.lit(deleted).alias("deleted"),
-                      F.lit(time.time_ns()).alias("at"))
-         .write.mode("append").parquet(self._path("scans")))
+        return self.store.repos()
+
+    def get_repo(self, repo_url: str) -> DataFrame:
+        return self.get_repos().filter(F.col("url") == repo_url)
+
+    def _clear(self, batch: int, urls: DataFrame, *what: str) -> None:
+        self.store.put("cleared", urls.select("url", F.explode(F.array(*map(F.lit, what))).alias("what")), batch)
 
     def delete_repo(self, repo_url: str) -> None:
-        self.delete_embeddings(repo_url)
-        self.delete_discoveries(repo_url)
-        one = self.spark.createDataFrame([(repo_url, None)], "url string, last_scan bigint")
-        self._log_scans(one, deleted=True)
+        """Delete a repository with its discoveries and embeddings."""
+        batch = self.store.new_batch()
+        one = self.spark.createDataFrame([(repo_url, None, True)], "url string, last_scan bigint, deleted boolean")
+        self._clear(batch, one, "discoveries", "embeddings")
+        self.store.put("scans", one, batch)
+        self.store.commit(batch, ["cleared", "scans"])
 
     # discoveries
 
     def get_discoveries(self, repo_url: str | None = None, with_rules: bool = False, **conditions) -> DataFrame:
-        found = self._table("discoveries", schemas.DISCOVERIES, repo_url)
-        found = reports.filter_discoveries(found, **conditions)
+        found = reports.filter_discoveries(self.store.discoveries(repo_url), **conditions)
         return reports.with_rules(found, self.rules()) if with_rules else found
 
     def get_discovery(self, discovery_id: int) -> DataFrame:
@@ -129,63 +123,78 @@ class Workspace:
         found = self.get_discoveries(repo_url, with_rules)
         tables.export_csv(found.filter(F.col("state").isin(*states)) if states else found, path)
 
-    def _change(self, change: Callable[[DataFrame], DataFrame], repo_url: str | None = None,
-                name: str = "discoveries", schema=schemas.DISCOVERIES) -> None:
-        """Rewrite the bucket of a repository, or the whole table."""
-        path = self._path(name)
-        if tables.read(self.spark, path) is None:
-            return
-        if repo_url is None:
-            tables.replace(change(self._table(name, schema)), path)
-        else:
-            tables.rewrite_bucket(self.spark, path, tables.bucket_of(self.spark, repo_url), change)
+    def add_discoveries(self, found: DataFrame) -> DataFrame:
+        """Store discoveries whose id is not stored yet, each id once; returns the ids (``id``) that were added."""
+        batch = self.store.new_batch()
+        fresh = tables.landed(self._unknown(found, self.store.discoveries()))
+        self.store.put("discoveries", fresh, batch)
+        self.store.commit(batch, ["discoveries"])
+        return fresh.select("id")
 
-    def _repo_of(self, ids: Sequence[int]) -> str | None:
-        """The one repository the ids belong to, or None."""
-        urls = (self.get_discoveries().filter(F.col("id").isin(list(ids))).select("repo_url").distinct()
-                .limit(2).collect())
-        return urls[0][0] if len(urls) == 1 else None
+    @staticmethod
+    def _unknown(rows: DataFrame, stored: DataFrame) -> DataFrame:
+        return rows.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti").select(*rows.columns)
 
-    def update_discovery(self, discovery_id: int, state: str) -> bool:
-        return self.update_discoveries([discovery_id], state)
+    def update_discovery(self, discovery_id: int, state: str, by: str = "") -> bool:
+        return self.update_discoveries([discovery_id], state, by)
 
-    def update_discoveries(self, ids: Sequence[int], state: str) -> bool:
+    def update_discoveries(self, ids: Sequence[int] | DataFrame, state: str, by: str = "") -> bool:
         """Set the state of discoveries; False, and no change, for an unknown state."""
         if state not in schemas.STATES:
             return False
-        repo_url = self._repo_of(ids) if len(ids) <= triage.MAX_LITERAL_IDS else None
-        self._change(lambda rows: triage.update_discoveries(rows, ids, state), repo_url)
+        if not isinstance(ids, DataFrame):
+            ids = self.spark.createDataFrame([(i,) for i in ids], "id bigint")
+        found = self.get_discoveries().filter(F.col("state") != state)
+        self.store.change_states(found.join(ids.select("id").distinct(), "id", "left_semi"), state, by)
         return True
 
     def update_discovery_group(self, state: str, repo_url: str, file_name: str | None = None,
-                               snippet: str | None = None) -> bool:
+                               snippet: str | None = None, by: str = "") -> bool:
         if state not in schemas.STATES:
             return False
-        self._change(lambda rows: triage.update_discovery_group(rows, state, repo_url, file_name, snippet), repo_url)
+        found = self.get_discoveries(repo_url).filter(F.col("state") != state)
+        for column, value in (("file_name", file_name), ("snippet", snippet)):
+            if value is not None:
+                found = found.filter(F.col(column) == value)
+        self.store.change_states(found, state, by)
         return True
 
     def update_similar_snippets(self, snippet: str, state: str, repo_url: str, file_name: str | None = None,
                                 compute_missing_embeddings: bool = False,
                                 threshold: float = similarity.THRESHOLD,
-                                encoder: M.Encoder | None = None) -> int:
+                                encoder: M.Encoder | None = None, by: str = "") -> int:
         """Set the state of similar snippets in a repository; returns how many changed."""
         if compute_missing_embeddings:
             self.add_embeddings(repo_url, encoder)
         ids = triage.similar_discoveries(self.get_discoveries(repo_url), self.get_embeddings(), snippet, state,
                                          repo_url, file_name, threshold)
-        changed = tables.landed(ids)
+        changed = tables.landed(ids.withColumn("repo_url", F.lit(repo_url)))
         count = changed.count()
         if count:
-            self._change(lambda rows: triage.update_discoveries(rows, changed, state), repo_url)
+            self.store.change_states(changed, state, by)
         return count
 
+    def update_group_and_similar(self, snippet: str, state: str, repo_url: str, file_name: str | None = None,
+                                 threshold: float = similarity.THRESHOLD, by: str = "") -> bool:
+        """Set a snippet's group in a file, then everything similar in the repository, as one change."""
+        if state not in schemas.STATES:
+            return False
+        found = self.get_discoveries(repo_url).filter(F.col("state") != state)
+        same = found.filter(F.col("snippet") == snippet)
+        same = same if file_name is None else same.filter(F.col("file_name") == file_name)
+        similar = triage.similar_discoveries(found, self.get_embeddings(), snippet, state, repo_url, threshold=threshold)
+        self.store.change_states(same.select("id").union(similar).distinct().withColumn("repo_url", F.lit(repo_url)), state, by)
+        return True
+
     def delete_discoveries(self, repo_url: str) -> None:
-        self._change(lambda rows: triage.delete_discoveries(rows, repo_url), repo_url)
+        batch = self.store.new_batch()
+        self._clear(batch, self.spark.createDataFrame([(repo_url,)], "url string"), "discoveries")
+        self.store.commit(batch, ["cleared"])
 
     # embeddings
 
     def get_embeddings(self, repo_url: str | None = None) -> DataFrame:
-        return self._table("embeddings", schemas.EMBEDDINGS, repo_url)
+        return self.store.embeddings(repo_url)
 
     def get_embedding(self, discovery_id: int | None = None, snippet: str | None = None) -> DataFrame | None:
         if discovery_id is not None:
@@ -194,36 +203,48 @@ class Workspace:
 
     def add_embeddings(self, repo_url: str, encoder: M.Encoder | None = None) -> None:
         """Embed the discoveries of a repository that have no embedding yet."""
+        batch = self.store.new_batch()
         missing = M.without_embedding(self.get_discoveries(repo_url), self.get_embeddings(repo_url))
-        tables.append_new(M.embed_discoveries(missing, encoder), self._path("embeddings"))
+        self.store.put("embeddings", M.embed_discoveries(missing, encoder), batch)
+        self.store.commit(batch, ["embeddings"])
 
     def delete_embeddings(self, repo_url: str) -> None:
-        self._change(lambda rows: triage.delete_embeddings(rows, repo_url=repo_url), repo_url,
-                     "embeddings", schemas.EMBEDDINGS)
+        batch = self.store.new_batch()
+        self._clear(batch, self.spark.createDataFrame([(repo_url,)], "url string"), "embeddings")
+        self.store.commit(batch, ["cleared"])
+
+    def delete_embedding(self, discovery_id: int) -> None:
+        batch = self.store.new_batch()
+        self.store.put("dropped", self.get_embeddings().filter(F.col("id") == discovery_id), batch)
+        self.store.commit(batch, ["dropped"])
 
     # scans
 
-    def _store(self, found: DataFrame, scanned: DataFrame, models: Sequence[str], force: bool,
-               similar: bool, encoder: M.Encoder | None) -> DataFrame:
-        """Classify and store discoveries, then log the scan of ``scanned`` (url, last_scan).
+    def store_scan(self, found: DataFrame, scanned: DataFrame, models: Sequence[str] = (), force: bool = False,
+                   similar: bool = False, encoder: M.Encoder | None = None) -> DataFrame:
+        """What every scan ends with: classify and store discoveries and the scan of ``scanned`` (url, last_scan), all in one
+        batch. ``force`` takes the place of what is stored of those repositories.
 
         Returns the discoveries left for review, read from a landed copy.
         """
         classified = M.run_models(found, models, self.get_rules()).drop("flagged_by")
         fresh = tables.landed(classified)
+        batch, written = self.store.new_batch(), ["discoveries", "scans"]
         if force:
-            without = lambda rows: without_repos(rows, scanned, "id")
-            tables.swap_repos(fresh, self._path("discoveries"), scanned, without)
-            if tables.read(self.spark, self._path("embeddings")) is not None:
-                none = self.spark.createDataFrame([], schemas.EMBEDDINGS)
-                tables.swap_repos(none, self._path("embeddings"), scanned, without)
+            self._clear(batch, scanned, "discoveries", "embeddings")
+            written.append("cleared")
+            new = fresh.dropDuplicates(["id"])
         else:
-            tables.append_new(fresh, self._path("discoveries"))
-        left = fresh.filter(F.col("state") != "false_positive")
+            new = self._unknown(fresh, self.store.discoveries())
+        self.store.put("discoveries", new, batch)
         if similar:
-            tables.append_new(M.embed_discoveries(fresh, encoder), self._path("embeddings"))
-        self._log_scans(scanned)
-        return left
+            vectors = M.embed_discoveries(fresh, encoder)
+            vectors = vectors.dropDuplicates(["id"]) if force else self._unknown(vectors, self.store.embeddings())
+            self.store.put("embeddings", vectors, batch)
+            written.append("embeddings")
+        self.store.put("scans", scanned.select("url", F.col("last_scan").cast("bigint").alias("last_scan"), F.lit(False).alias("deleted")), batch)
+        self.store.commit(batch, written)
+        return fresh.filter(F.col("state") != "false_positive")
 
     def _scanned_now(self, urls: DataFrame) -> DataFrame:
         return urls.select(F.col("repo_url").alias("url")).distinct().withColumn("last_scan", F.lit(int(time.time())))
@@ -236,7 +257,7 @@ class Workspace:
         patches, commits = [frame.withColumn("repo_url", paths.normalise_url(F.col("repo_url")))
                             for frame in (patches, commits)]
         found = scans.scan_history(patches, commits, rules, 0 if force else self.get_repos(), max_depth)
-        return self._store(found, self._scanned_now(commits), models, force, similarity, encoder)
+        return self.store_scan(found, self._scanned_now(commits), models, force, similarity, encoder)
 
     def scan_user(self, patches: DataFrame, commits: DataFrame, repos_meta: DataFrame, owner: str,
                   forks: bool = False, **options) -> DataFrame:
@@ -250,7 +271,7 @@ class Workspace:
         chosen = of_repos(commits, urls, "commit_id")
         found = scans.scan_history(of_repos(patches, urls, "commit_id"), chosen,
                                    R.scan_rules(self.get_rules(category)))
-        return self._store(found, self._scanned_now(chosen), models, True, False, None)
+        return self.store_scan(found, self._scanned_now(chosen), models, True, False, None)
 
     def scan_snapshot(self, files: DataFrame, refs: DataFrame, commits: DataFrame, requests: DataFrame,
                       patches: DataFrame | None = None, category: str | None = None,
@@ -289,7 +310,7 @@ class Workspace:
             parts.append(scans.scan_snapshot_diff(files, compared, rules, max_depth, ignore_list))
         parts.append(scans.scan_snapshot(files, refs, whole, rules, max_depth, ignore_list))
         found = reduce(DataFrame.unionByName, parts)
-        return self._store(found, dates, models, force, similarity, encoder)
+        return self.store_scan(found, dates, models, force, similarity, encoder)
 
     def _known(self, repo_url: str) -> bool:
         return not self.get_repos().filter(F.col("url") == repo_url).isEmpty()
@@ -303,7 +324,7 @@ class Workspace:
         rules = R.scan_rules(self.get_rules(category))
         found = scans.scan_path(self.spark, path, rules, max_depth, ignore_list)
         one = self.spark.createDataFrame([(path,)], "repo_url string")
-        return self._store(found, self._scanned_now(one), models, force, similarity, encoder)
+        return self.store_scan(found, self._scanned_now(one), models, force, similarity, encoder)
 
     def scan_pull_request(self, pr_commits: DataFrame, repo_url: str, pr_number: int,
                           category: str | None = None, models: Sequence[str] = (), force: bool = False,
@@ -315,4 +336,4 @@ class Workspace:
             return self.spark.createDataFrame([], schemas.DISCOVERIES)
         found = scans.scan_pull_requests(pr_commits, rules, repo_url, pr_number)
         one = self.spark.createDataFrame([(repo_url,)], "repo_url string")
-        return self._store(found, self._scanned_now(one), models, force, similarity, encoder)
+        return self.store_scan(found, self._scanned_now(one), models, force, similarity, encoder)

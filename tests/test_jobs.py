@@ -216,10 +216,11 @@ def test_forced_scans_replace_only_their_repositories(spark, history, workspace,
     def failing(*args):
         raise RuntimeError("no log")
     with monkeypatch.context() as patched:
-        patched.setattr(workspace, "_log_scans", failing)
+        patched.setattr(workspace.store, "commit", failing)
         with pytest.raises(RuntimeError):
             workspace.scan(patches, commits, force=True)
-    assert workspace.get_repos().collect() == before and states(URL) == ["new"] * 4
+    assert workspace.get_repos().collect() == before and states(URL) == ["fixed"] * 4
+    assert workspace.scan(patches, commits, force=True).count() == 4 and states(URL) == ["new"] * 4
     # Nothing is found any more: the repository's bucket is emptied, the other one stays.
     assert workspace.scan(patches.limit(0), commits, force=True).isEmpty()
     assert states(URL) == [] and states("https://h/o/other") == ["fixed"] * 4
