@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import SparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1176,7 +1176,7 @@ def scan_atomicity(spark, sf_dir):
     def fails(rows: DataFrame, scanned: DataFrame, **options) -> None:
         try:
             ws.store_scan(rows, scanned, **options)
-        except SparkException:
+        except PySparkException:
             return
         raise AssertionError("the scan should have failed")
 
