@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 from keysieve.llm.common import landed
 
-_ENCODERS: dict[tuple[str, str], _Encoder] = {}
+_ENCODERS: dict[tuple, _Encoder] = {}
 Genome = list[tuple[int, dict[int, int]]]   # (multiplicity, {length: how many of it in the sequence})
 
 
@@ -31,12 +31,16 @@ class _Encoder:
     """Byte-pair encoding with a memory for what stands between two single spaces.
 
     A single space between two other characters always starts a new token, so the text can be cut there. Texts with
-    runs of white space next to a space are encoded whole.
+    runs of white space next to a space are encoded whole. A token of the vocabulary that was added to the merged ones is cut
+    out of the text first and has its own id.
     """
 
     KEPT = 300_000
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]) -> None:
+        self.added = {text: np.array([i], dtype="<u4").tobytes() for text, i in added.items()}
+        longest_first = sorted(map(re.escape, added), key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(longest_first) + ")") if added else None
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -47,6 +51,11 @@ class _Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if self.cut is None or not any(token in text for token in self.added):
+            return self.merged(text)
+        return b"".join(self.added[part] if part in self.added else self.merged(part) for part in self.cut.split(text) if part)
+
+    def merged(self, text: str) -> bytes:
         if re.search(r" \s|\s ", text):
             return self.bytes_of(text)
         first, *rest = text.split(" ")
@@ -57,24 +66,32 @@ class _Encoder:
         return self.bytes_of(first) + b"".join(map(self.known.__getitem__, rest))
 
 
-def _encoder(ranks_path: str, pattern: str) -> _Encoder:
-    if (ranks_path, pattern) not in _ENCODERS:
-        _ENCODERS[ranks_path, pattern] = _Encoder(ranks_path, pattern)
-    return _ENCODERS[ranks_path, pattern]
+def _encoder(ranks_path: str, pattern: str, added: dict[str, int]) -> _Encoder:
+    key = (ranks_path, pattern, tuple(sorted(added.items())))
+    if key not in _ENCODERS:
+        _ENCODERS[key] = _Encoder(ranks_path, pattern, added)
+    return _ENCODERS[key]
+
+
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The texts and ids of the tokens that a tokenizer file adds to its merged ones."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
 
 
 def tokenized_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2,
-                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                     doc_id: str = "doc_id", text: str = "text", added: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): every document's tokens with ``end_id`` after them.
 
     Documents longer than ``capacity`` are cut into pieces of that length, the first one takes what is left over. ``ids``
     are little-endian unsigned 32-bit numbers. Null and empty texts are the end id alone. ``ranks_path`` is a vocabulary
-    of byte-pair ranks that every executor has, ``pattern`` the one that cuts a text before merging.
+    of byte-pair ranks that every executor has, ``pattern`` the one that cuts a text before merging, ``added`` the tokens with
+    an id of their own wherever they stand in a text (see ``added_tokens``).
     """
     kind = dict(docs.dtypes)[doc_id]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern, added or {})
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 500):

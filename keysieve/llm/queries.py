@@ -60,7 +60,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = packing.tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                      added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.place_pieces(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -220,13 +220,13 @@ def test_forest_depth_follows_the_recall():
 
 def test_places_and_tokens_of_packed_documents(spark):
     tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(10)
     texts = [" ".join(rng.choice(["the", "Über", "don't", "x1", "\n\na", "  b", "<|endoftext|>"]) for _ in range(rng.randint(0, 90))) for _ in range(150)]
     texts += [None, "", " ", "a ", " a", "a  b", "tab\t x", "word " * 3000, texts[0]]
     rows = [*enumerate(texts), (0, texts[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("offset", F.lit("clash"))
-    pieces = packing.tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    pieces = packing.tokenized_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                      added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
     placed = packing.place_pieces(pieces).collect()
     want = sorted((i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
     by_doc = {}
