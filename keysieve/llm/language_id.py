@@ -21,6 +21,12 @@ UNKNOWN = "und"
 _KEPT = 300_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text in lower case. A run of other word characters only, such as fractions or Roman numeral
+    signs, is no word."""
+    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+
+
 @dataclass
 class Field:
     """The model and how it is learned. ``rows`` (for each language) and ``chars`` bound the rows to learn from."""
@@ -153,7 +159,7 @@ def fit_field(texts: list[tuple[str, str]], model: Field | None = None) -> Field
     lines = [[] for _ in model.languages]
     for lang, text in texts:
         for line in text.split("\n"):
-            words = LETTERS.findall(line.lower())
+            words = words_of(line)
             if words:
                 lines[labels[lang]].append(words)
     model.languages = [lang for lang in model.languages if lines[labels[lang]]]
@@ -202,16 +208,30 @@ def fit_field(texts: list[tuple[str, str]], model: Field | None = None) -> Field
 
 
 def learning_rows(docs: DataFrame, learn: Column, text: str, lang: str, doc_id: str, model: Field) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: by a hash of the id, about ``rows`` of each language, at most twice as many."""
-    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= model.chars))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"),
-                       F.pmod(F.xxhash64(F.col(doc_id), F.lit(model.seed)), F.lit(1_000_000)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """A bounded sample of labelled texts: at most ``rows`` of each language, the first by a hash of id and text.
+
+    Texts of more than ``chars`` characters are cut into pieces of that length, each a text of its own. Equal pieces of equal
+    ids count once, null ids and texts like others (a null text is no text). Every learned language has at least one row.
+    """
+    size = F.lit(model.chars)
+    at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))
+    rows = (docs.filter(learn & F.col(lang).isNotNull() & (F.length(text) > 0))
+            .select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("id"))
+            .select("lang", "text", "id", F.explode(at).alias("at"))
+            .select("lang", F.when(F.col("at") == 0, F.substring("text", 1, model.chars))
+                    .otherwise(F.substring("text", F.col("at") * size + 1, size)).alias("text"),
+                    F.xxhash64("id", "text", "at", F.lit(model.seed)).alias("h")))
+    # A share of the hashes that holds enough of each language is found first, so that few texts are sorted out.
+    distinct = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not distinct:
+        return []
+    span = 2 ** 63
     below = F.lit(None).cast("long")
-    for name, n in counts.items():
-        below = F.when(F.col("lang") == name, F.lit(int(1_000_000 * min(1.0, model.rows / n)) + 1)).otherwise(below)
-    found = rows.filter(F.col("h") < below).limit(2 * model.rows * max(len(counts), 1)).collect() if counts else []
-    return sorted((r["lang"], r["text"]) for r in found)
+    for name, n in distinct.items():
+        below = F.when(F.col("lang") == name, F.lit(int(-span + 2 * span * min(1.0, (2 * model.rows + 100) / max(n, 1))) - 1)).otherwise(below)
+    near = rows.filter(F.col("h") <= below).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, model.rows).alias("rows")).collect()
+    return sorted((r["lang"], x["text"]) for r in found for x in r["rows"])
 
 
 _MEMORY: dict[str, object] = {"model": None, "words": {}, "scores": None}
@@ -222,7 +242,7 @@ def _labelled(model: Field, token: str, texts: pd.Series) -> pd.DataFrame:
     if _MEMORY["model"] != token or len(_MEMORY["words"]) > _KEPT:
         _MEMORY.update(model=token, words={}, scores=np.zeros((0, len(model.languages)), dtype=np.float32))
     known = _MEMORY["words"]
-    words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+    words = [words_of(t) for t in texts]
     new = sorted(set().union(*words).difference(known))
     known.update(zip(new, range(len(known), len(known) + len(new))))
     if new:
