@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,11 @@ NEVER = re.compile(
     re.IGNORECASE)
 # Classes that say what a page or article has, and the header of an article: no boilerplate.
 MODIFIER = re.compile(r"(?:^|(?<=\s))(?:(?:has|no|with|without)[_-]\S*|(?:article|entry|post|story)[_-]+header(?=\s|$))", re.IGNORECASE)
+# Elements that are left out on their own, but are part of the sentence they stand in inside these blocks.
+INLINE = frozenset("button label math object".split())
+PARAGRAPHS = frozenset("blockquote dd figcaption h1 h2 h3 h4 h5 h6 li p pre td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLE_LINES = 3         # a title may have so many lines (a subtitle, an author) between it and the text
 CONTROLS = frozenset("button datalist input label select textarea".split())
 CONTROL_CHARS = 40      # a control that shows counts as so much text of its form
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -41,38 +48,68 @@ SPACE = re.compile(r"\s+")
 class _Wrapper:
     """An element that is left out unless its text shows that it holds the content."""
 
-    def __init__(self, form: bool, never: bool, comments: bool) -> None:
-        self.form, self.never, self.comments = form, never, comments
+    def __init__(self, form: bool, never: bool, comments: bool, main: bool = False) -> None:
+        self.form, self.never, self.comments, self.main = form, never, comments, main
         self.text = self.controls = 0
 
 
+class _Open(NamedTuple):
+    """An open element and what holds for everything in it."""
+
+    tag: str = ""
+    skipped: bool = False
+    article: int = 0                        # number of the outermost marked article, from 1
+    wrappers: tuple[_Wrapper, ...] = ()
+    around: int = 0                         # how many of them were open around that article
+    link: bool = False
+    control: bool = False
+    form: bool = False
+    paragraph: bool = False
+    block: str = ""                         # the innermost block element
+
+
+class Line(NamedTuple):
+    """A block of the page: its text, the tags met in it, its article, whether it is mostly links, and its element."""
+
+    text: str
+    tags: int
+    article: int
+    links: bool
+    block: str
+
+
 class _Blocks(HTMLParser):
     """Collects the blocks of a page in order, each with its text, the tags met in it and where it stands."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # (tag, skipped, inside an article, wrappers, how many of them were open around the outermost article) from here on
-        self.open: list[tuple[str, bool, bool, tuple[_Wrapper, ...], int]] = []
-        self.found: list[tuple[list, int, bool]] = []   # (parts, number of tags, in an article)
-        self.blocks: list[tuple[str, int, bool, bool]] = []   # (text, number of tags, in an article, mostly links)
-        self.parts: list[tuple[str, bool, tuple[_Wrapper, ...], int]] = []   # (text, in a link, wrappers, those around the article)
-        self.tags = self.total = 0
+        self.open: list[_Open] = []
+        self.counts: Counter[str] = Counter()
+        self.found: list[tuple[list, int, _Open]] = []   # (parts, number of tags, state)
+        self.blocks: list[Line] = []
+        self.parts: list[tuple[str, _Open]] = []
+        self.tags = self.total = self.articles = 0
 
-    def state(self) -> tuple[bool, bool, tuple[_Wrapper, ...], int]:
-        return self.open[-1][1:] if self.open else (False, False, (), 0)
+    def state(self) -> _Open:
+        return self.open[-1] if self.open else _Open()
 
     def flush(self) -> None:
         if self.parts or self.tags:
-            self.found.append((self.parts, self.tags, self.state()[1]))
+            self.found.append((self.parts, self.tags, self.state()))
             self.parts, self.tags = [], 0
 
+    def cut(self, i: int) -> None:
+        """Close the elements from the i-th on."""
+        self.counts.subtract(o.tag for o in self.open[i:])
+        del self.open[i:]
+
     def handle_starttag(self, tag, attrs) -> None:
         if tag in ENDS_PARAGRAPH:
             self._end_paragraph()
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
-            self.parts.append((" ", False, (), 0))
+            self.parts.append((" ", _Open()))
         self.tags += 1
         if tag in CONTROLS and tag != "label" and (dict(attrs).get("type") or "").lower() != "hidden":
             self._count_controls(CONTROL_CHARS)
@@ -80,15 +117,23 @@ class _Blocks(HTMLParser):
             return
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_same(tag)
-        skipped, article, wrappers, around = self.state()
+        now = self.state()
         main = tag in ("article", "main") or dict(attrs).get("role") in ("main", "article")
-        skipped = skipped or (tag in SKIPPED and not (tag == "header" and article)) or self._hidden(tag, attrs)
+        outermost = main and not now.article
+        self.articles += outermost
+        left_out = tag in SKIPPED and not (tag == "header" and now.article) and not (tag in INLINE and now.paragraph and not now.form)
+        skipped = now.skipped or left_out or self._hidden(tag, attrs)
+        wrappers, around = now.wrappers, now.around
         if not skipped:
-            wrapper = self._wrapper(tag, attrs, main and not article)
+            wrapper = self._wrapper(tag, attrs, outermost)
             wrappers += (wrapper,) if wrapper else ()
-            if main and not article and not any(w.comments for w in wrappers):
+            if outermost and not any(w.comments for w in wrappers):
                 around = len(wrappers)
-        self.open.append((tag, skipped, article or main, wrappers, around))
+        self.counts[tag] += 1
+        self.open.append(_Open(
+            tag, skipped, self.articles if outermost else now.article, wrappers, around, now.link or tag == "a",
+            now.control or tag in CONTROLS, now.form or tag == "form", (now.paragraph and tag not in BLOCKS) or tag in PARAGRAPHS,
+            tag if tag in BLOCKS else now.block))
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -98,30 +143,30 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag) -> None:
         if tag in BLOCKS:
             self.flush()
-        if tag in VOID:
+        if tag in VOID or not self.counts[tag]:
             return
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
+            if self.open[i].tag == tag:
+                self.cut(i)
                 break
             # A stray end tag doesn't close the region that it stands in.
-            if self.open[i][0] in ("article", "main", "body", "table", "td") and tag not in ("article", "main", "body", "html", "table"):
+            if self.open[i].tag in ("article", "main", "body", "table", "td") and tag not in ("article", "main", "body", "html", "table"):
                 break
 
     def handle_data(self, data) -> None:
-        skipped, _, wrappers, around = self.state()
-        if skipped:
-            if any(w.form for w in wrappers) and any(o[0] in CONTROLS for o in self.open):
+        now = self.state()
+        if now.skipped:
+            if now.control and any(w.form for w in now.wrappers):
                 self._count_controls(len(data.strip()))
             return
-        self.parts.append((data, any(o[0] == "a" for o in self.open), wrappers, around))
+        self.parts.append((data, now))
         size = len(data.strip())
         self.total += size
-        for w in wrappers:
+        for w in now.wrappers:
             w.text += size
 
     def _count_controls(self, size) -> None:
-        for w in self.state()[2]:
+        for w in self.state().wrappers:
             w.controls += size
 
     def _hidden(self, tag, attrs) -> bool:
@@ -137,41 +182,48 @@ class _Blocks(HTMLParser):
         names = [MODIFIER.sub("", found.get(k) or "") for k in ("class", "id")]
         pattern = NOT_ARTICLE if main else BOILERPLATE
         if any(pattern.search(n) for n in names):
-            return _Wrapper(False, any(NEVER.search(n) for n in names), any(NOT_ARTICLE.search(n) for n in names))
+            return _Wrapper(False, any(NEVER.search(n) for n in names), any(NOT_ARTICLE.search(n) for n in names), main)
         return _Wrapper(True, False, False) if tag == "form" else None
 
     def _holds_content(self, w: _Wrapper) -> bool:
-        """A form does if it has more text than controls, any other wrapper if it has most of the page's text."""
-        return w.text > w.controls if w.form else not w.never and 2 * w.text > self.total
+        """A form does if it has more text than controls, any other wrapper if it has most of the page's text; one whose
+        name says what else it holds doesn't, unless it is marked as an article itself."""
+        return w.text > w.controls if w.form else (w.main or not w.never) and 2 * w.text > self.total
 
     def _settle(self) -> None:
         """Leave out what stands in wrappers. If that takes every article, articles reopen the wrappers around them."""
-        holds = {w: self._holds_content(w) for parts, _, _ in self.found for p in parts for w in p[2]}
+        holds = {w: self._holds_content(w) for parts, _, _ in self.found for _, o in parts for w in o.wrappers}
         for reopen in (False, True):
             self.blocks = []
-            for parts, tags, article in self.found:
-                kept = [p for p in parts if all(holds[w] for w in p[2][p[3] if reopen else 0:])]
+            for parts, tags, at in self.found:
+                kept = [p for p in parts if all(holds[w] for w in p[1].wrappers[p[1].around if reopen else 0:])]
                 text = SPACE.sub(" ", "".join(p[0] for p in kept)).strip()
-                self.blocks.append((text, tags, article, 2 * sum(len(p[0]) for p in kept if p[1]) > len(text)))
-            if any(b[0] and b[2] for b in self.blocks) or not any(p[3] for parts, _, _ in self.found for p in parts):
+                links = 2 * sum(len(p[0]) for p in kept if p[1].link) > len(text)
+                self.blocks.append(Line(text, tags, at.article, links, at.block))
+            if any(b.text and b.article for b in self.blocks) or not any(o.around for parts, _, _ in self.found for _, o in parts):
                 return
 
     def _end_paragraph(self) -> None:
         """A block start ends an open paragraph, with the inline elements left open in it."""
+        if not self.counts["p"]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            tag = self.open[i][0]
+            tag = self.open[i].tag
             if tag == "p":
                 self.flush()
-                del self.open[i:]
+                self.cut(i)
                 return
             if tag in BLOCKS:
                 return
 
     def _close_same(self, tag) -> None:
+        same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
+        if not any(self.counts[t] for t in same):
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            other = self.open[i][0]
+            other = self.open[i].tag
             if other == tag or (tag in ("dt", "dd") and other in ("dt", "dd")) or (tag in ("td", "th") and other in ("td", "th")):
-                del self.open[i:]
+                self.cut(i)
                 return
             if other in ("ul", "ol", "dl", "table", "select", "menu"):
                 return
@@ -193,34 +245,65 @@ def smoothed(values: np.ndarray, radius: int) -> np.ndarray:
     return np.convolve(values, kernel, "same") / weight
 
 
+def _is_marked(lines: list[Line]) -> bool:
+    """Whether the marked articles of a page are its text: they have most of it, or the main heading."""
+    inside = sum(len(x.text) for x in lines if x.article)
+    return 2 * inside >= sum(len(x.text) for x in lines) or any(x.article and x.block == "h1" for x in lines)
+
+
+def content_lines(lines: list[Line], radius: int = 1) -> list[bool]:
+    """Which lines are content, by the smoothed ratios of their text to the tags met in them.
+
+    The threshold is the standard deviation of the smoothed ratios, at most their mean. Marks shift a line's score: up by the
+    mean in the articles of a page that has its text in articles, down by twice the mean outside of them; a line that is
+    mostly links has score 0 there and on other pages. Lines that reach the threshold cluster into regions.
+    """
+    ratios = np.array([len(x.text) / max(x.tags, 1) for x in lines])
+    smooth = smoothed(ratios, radius)
+    threshold = min(smooth.std(), smooth.mean())
+    marked = _is_marked(lines)
+    inside = np.array([marked and x.article > 0 for x in lines])
+    score = np.where(np.array([x.links for x in lines]) & ~inside, 0.0, smooth)
+    # A marked article beside the text is a teaser: long neighbours don't lift its short lines.
+    score = np.where(np.array([x.article > 0 for x in lines]) & ~inside, np.minimum(score, ratios), score)
+    if marked:
+        score = score + np.where(inside, smooth.mean(), -2 * smooth.mean())
+    content = (score >= threshold) & (score > 0)
+    at = np.flatnonzero(content)
+    if len(at):
+        # Between two regions of a page without a marked article stand its short lines and paragraphs that are links.
+        keep = [not x.links or x.block in PARAGRAPHS - {"li", "td"} for x in lines]
+        first = _title(lines, at[0])
+        for i in range(first, at[0]) if marked else range(first, at[-1]):
+            content[i] |= keep[i]
+    return content.tolist()
+
+
+def _title(lines: list[Line], first: int) -> int:
+    """Where the text begins, with the main heading a few lines before it or another heading right before it."""
+    for i in range(first - 1, max(first - 2 - TITLE_LINES, -1), -1):
+        if lines[i].block == "h1":
+            return i
+    return first - 1 if first and lines[first - 1].block in HEADINGS else first
+
+
 def main_text(html: str | None, radius: int = 1) -> str:
     """The article of one page.
 
-    Each block is a line with the ratio of its text length to the tags met in it. Lines whose smoothed ratio reaches the
-    threshold (the standard deviation of the ratios, at most their mean) cluster into content regions. Between the first
-    and the last region only lines that are mostly links are left out, so short paragraphs stay. A marked article
-    (article, main) is one region from its first line to its last, with its lines of links; the rest of such a page isn't looked at.
-    A page of links alone is "". Elements with boilerplate names and forms are left out unless they hold the content (see
-    ``_Blocks._holds_content``) or the only article.
+    Each block is a line. Content regions come from text-to-tag ratios, a Gaussian over neighbouring lines and a threshold
+    (``content_lines``); nothing in a region is cut. Elements with boilerplate names and forms are left out before, unless
+    they hold the content (see ``_Blocks._holds_content``) or the only article. A page of links alone is "". Very long pages
+    are read whole, in time in proportion to their length; elements may be nested as deep as they like.
     """
     if not html:
         return ""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
-    marked = any(article and text for text, _, article, _ in parser.blocks)
-    lines = [b for b in parser.blocks if b[0] and (b[2] or not marked)]
+    lines = [b for b in parser.blocks if b.text]
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(tags, 1) for text, tags, _, _ in lines])
-    smooth = smoothed(ratios, radius)
-    # Next to a long paragraph a line of links has a high ratio, too; only an article may have it as content.
-    content = (smooth >= min(smooth.std(), smooth.mean())) & np.array([marked or not b[3] for b in lines])
-    if not (marked or content.any()):
-        return ""
-    at = np.flatnonzero(content)
-    first, last = (0, len(lines) - 1) if marked else (at[0], at[-1])
-    return "\n".join(b[0] for i, b in enumerate(lines) if first <= i <= last and (marked or content[i] or not b[3]))
+    return "\n".join(line.text for line, keep in zip(lines, content_lines(lines, radius)) if keep)
 
 
 def _main_text(pages: pd.Series) -> pd.Series:
