@@ -35,7 +35,7 @@ class _Encoder:
     out of the text first and has its own id.
     """
 
-    KEPT = 300_000
+    KEPT = 100_000
 
     def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]) -> None:
         self.added = {text: np.array([i], dtype="<u4").tobytes() for text, i in added.items()}
