@@ -77,7 +77,7 @@ def register_model(name: str, model: Model) -> None:
 
 def get_model(name: str) -> Model:
     if name not in REGISTRY:
-        raise ModuleNotFoundError(f"Model {name} not found.")
+        raise ModuleNotFoundError(f"no model is registered as {name!r}")
     return REGISTRY[name]
 
 
@@ -92,7 +92,7 @@ def run_models(discoveries: DataFrame, models: Sequence[str], rules: Sequence[Ru
         try:
             model = get_model(name)
         except ModuleNotFoundError:
-            logger.warning("Model %s not found. Skip it.", name)
+            logger.warning("Leaving out %r: no such model is registered", name)
             continue
         in_scope = F.col("state") == "new"
         if model.category is not None:

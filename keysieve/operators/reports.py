@@ -154,6 +154,13 @@ def unique_groups(discoveries: DataFrame, **conditions) -> DataFrame:
     return groups.withColumn("total", groups.agg(F.count("*").alias("n")).scalar())
 
 
+def _page_order(order_by: str, descending: bool) -> list[Column]:
+    key = "rule_id" if order_by == "category" else order_by
+    # Nulls sort lowest, as in the stores this replaces.
+    order = [F.desc_nulls_last(key) if descending else F.asc_nulls_first(key)]
+    return order + [F.asc_nulls_first(k) for k in ("snippet", "state", "rule_id") if k != key]
+
+
 def page_groups(discoveries: DataFrame, limit: int | None = None, offset: int = 0, order_by: str = "snippet",
                 descending: bool = False, **conditions) -> DataFrame:
     """One page of unique groups, ordered by category, snippet or state."""
@@ -161,11 +168,7 @@ def page_groups(discoveries: DataFrame, limit: int | None = None, offset: int =
         raise ValueError(f"cannot order by {order_by!r}")
     if limit is not None and limit < 1:
         raise ValueError("a page holds at least one group")
-    key = "rule_id" if order_by == "category" else order_by
-    # Nulls sort lowest, as in the stores this replaces.
-    order = [F.desc_nulls_last(key) if descending else F.asc_nulls_first(key)]
-    order += [F.asc_nulls_first(k) for k in ("snippet", "state", "rule_id") if k != key]
-    page = unique_groups(discoveries, **conditions).orderBy(*order)
+    page = unique_groups(discoveries, **conditions).orderBy(*_page_order(order_by, descending))
     if offset:
         page = page.offset(offset)
     return page if limit is None else page.limit(limit)
@@ -192,13 +195,19 @@ def page_occurrences(discoveries: DataFrame, page: DataFrame, bounded: bool = Fa
 def discoveries_page(discoveries: DataFrame, rules: DataFrame, limit: int, offset: int = 0,
                      order_by: str = "snippet", descending: bool = False, where: str | None = None,
                      **conditions) -> DataFrame:
-    """The triage page: page of groups, their occurrences, category, nesting.
+    """The triage page: page of groups, their occurrences, category, nesting, in the order of the groups.
 
-    The text filter selects groups; the occurrences follow from (snippet, state).
+    The text filter selects groups; the occurrences follow from (snippet, state). ``place`` (from 1) is the place on the
+    page of the first group with the snippet and state.
     """
     page = page_groups(discoveries, limit, offset, order_by, descending, where=where, **conditions)
     occurrences = page_occurrences(discoveries, page, limit <= SMALL_PAGE, **conditions)
-    return nested_occurrences(with_category(occurrences, rules))
+    # A page is numbered by one task, as it was put in order by one; it has ``limit`` rows.
+    places = (page.withColumn("place", F.row_number().over(W.orderBy(*_page_order(order_by, descending))))
+              .groupBy(F.col("snippet").alias("_snippet"), F.col("state").alias("_state")).agg(F.min("place").alias("place")))
+    nested = nested_occurrences(with_category(occurrences, rules))
+    placed = nested.join(places, F.col("snippet").eqNullSafe(F.col("_snippet")) & F.col("state").eqNullSafe(F.col("_state")))
+    return placed.select("place", *nested.columns).orderBy("place", "category", "part")
 
 
 def ranked_occurrences(categorised: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ give the same result as SQL text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from keysieve import schemas
 from keysieve.functions import labels, paths, text, vectors
 from keysieve.operators import lines as L
-from keysieve.operators import matching, models, reports, rule_index, similarity, tables, triage
+from keysieve.operators import matching, models, reports, rule_index, search, similarity, tables, triage
 from keysieve.operators.skew import spread
 from keysieve.plans import corpus, oracles, scans
 from keysieve.plans.corpus import CORPUS_RULES, EPOCH, HOST
@@ -838,10 +839,28 @@ def ids_by_repo(spark, sf_dir):
     return reports.ids_by_repo(corpus.stored_discoveries(spark, sf_dir)).select("repo_url", F.explode("ids").alias("id"))
 
 
+PATTERNS = ("tion th", "@", "éau", "copyright", " = ", "zq#zq", "er er")
+
+
+@query("lines", "SELECT p.pattern, doc_id, line_number FROM lines, (VALUES " + ", ".join(f"('{p}')" for p in PATTERNS) + """) AS p(pattern)
+    WHERE contains(snippet, p.pattern)""")
+def search_snippets(spark, sf_dir):
+    """Substrings in the lines of all documents, by an index of trigrams."""
+    lines = L.file_lines(corpus.files(spark, sf_dir))
+    rows = lines.select((F.col("doc_id") * 10000000 + F.col("line_number")).alias("id"), F.col("snippet").alias("text"))
+    index = search.SearchIndex.build(rows, shared_dir(spark, "search"), part_rows=20_000)
+    found = [index.search(p).select(F.lit(p).alias("pattern"), F.floor(F.col("id") / 10000000).alias("doc_id"),
+                                    (F.col("id") % 10000000).cast("int").alias("line_number")) for p in PATTERNS]
+    return reduce(DataFrame.unionByName, found)
+
+
 _GROUPS = {"groups": ("disc", """
     SELECT snippet, state, rule_id, count(*) AS occurrences, count(*) OVER () AS total
     FROM disc GROUP BY snippet, state, rule_id"""),
     "page": ("groups", "SELECT * FROM groups ORDER BY rule_id DESC, snippet, state LIMIT 20 OFFSET 10"),
+    "places": ("page", """
+        SELECT snippet, state, min(place) AS place
+        FROM (SELECT *, row_number() OVER (ORDER BY rule_id DESC, snippet, state) AS place FROM page) GROUP BY snippet, state"""),
     "located": ("disc,page", """
         SELECT d.* FROM disc d SEMI JOIN page p ON d.snippet = p.snippet AND d.state = p.state""")}
 
@@ -862,12 +881,12 @@ def page_occurrences(spark, sf_dir):
     return shown(reports.page_occurrences(found, reports.page_groups(found, 20, 10, "category", True)))
 
 
-@query("located,rules", """
-    SELECT d.snippet, r.category, d.state, d.file_name, d.line_number, d.commit_id, d.id
-    FROM located d JOIN rules r ON d.rule_id = r.id""", _GROUPS)
+@query("located,rules,places", """
+    SELECT p.place::INTEGER AS place, d.snippet, r.category, d.state, d.file_name, d.line_number, d.commit_id, d.id
+    FROM located d JOIN rules r ON d.rule_id = r.id JOIN places p ON p.snippet = d.snippet AND p.state = d.state""", _GROUPS)
 def discoveries_page(spark, sf_dir):
     page = reports.discoveries_page(corpus.stored_discoveries(spark, sf_dir), rules_table(spark), 20, 10, "category", True)
-    return page.select("snippet", "category", "state", F.inline("occurrences"))
+    return page.select("place", "snippet", "category", "state", F.inline("occurrences"))
 
 
 @query("cat", """
