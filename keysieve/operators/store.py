@@ -11,13 +11,13 @@ import time
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keysieve import schemas
 from keysieve.operators.skew import lookup_join
-from keysieve.operators.tables import BUCKETS, bucket_value
+from keysieve.operators.tables import BUCKETS, bucket_value, landed
 
 # What a store holds. Tables with a repo_url are cut into buckets by it; ``batch``, the time of the job, is a folder.
 CHANGES = T.StructType([T.StructField("id", T.LongType()), T.StructField("repo_url", T.StringType()),
@@ -28,6 +28,8 @@ TABLES = {
     # Repositories whose rows in a table (``what``) of earlier batches are gone, and single embeddings that are.
     "cleared": T.StructType([T.StructField("url", T.StringType()), T.StructField("what", T.StringType())]),
     "dropped": T.StructType([T.StructField("id", T.LongType()), T.StructField("repo_url", T.StringType())]),
+    # How many discoveries of a file a batch puts into a state (n > 0) or takes out of it (n < 0).
+    "counts": T.StructType([*(T.StructField(c, T.StringType()) for c in ("repo_url", "file_name", "state")), T.StructField("n", T.LongType())]),
     "deleted_rules": T.StructType([T.StructField("rule_id", T.IntegerType())]),
 }
 _LOG = "at long, tables array<string>, replaces array<string>"
@@ -44,10 +46,21 @@ def fold_states(rows: DataFrame, changes: DataFrame, since: str = "batch") -> Da
             .select(*rows.columns))
 
 
-def without_cleared(rows: DataFrame, cleared: DataFrame) -> DataFrame:
+def state_deltas(targets: DataFrame, state: str | None = None) -> DataFrame:
+    """What rows (repo_url, file_name, state) add to the counts: one each, or, if their state becomes another one, one less
+    of the old and one more of the new."""
+    def one(value: Column, n: int) -> Column:
+        return F.struct(value.alias("state"), F.lit(n).alias("n"))
+
+    signed = [one(F.col("state"), 1)] if state is None else [one(F.col("state"), -1), one(F.lit(state), 1)]
+    rows = targets.select("repo_url", "file_name", F.inline(F.array(*signed)))
+    return rows.groupBy("repo_url", "file_name", "state").agg(F.sum("n").alias("n"))
+
+
+def without_cleared(rows: DataFrame, cleared: DataFrame, spread: str = "id") -> DataFrame:
     """The rows (repo_url, batch, ...) without those of a repository that was cleared (url, batch) after they were stored."""
     times = cleared.groupBy(F.col("url").alias("repo_url")).agg(F.max("batch").alias("_cleared"))
-    joined = lookup_join(rows, times, "repo_url", F.col("id"))
+    joined = lookup_join(rows, times, "repo_url", F.col(spread))
     return joined.filter(F.col("_cleared").isNull() | (F.col("batch") >= F.col("_cleared"))).select(*rows.columns)
 
 
@@ -114,7 +127,19 @@ class Store:
         rows = self.rows(table, repo_url, entries)
         if not self._batches("cleared", entries):
             return rows
-        return without_cleared(rows, self.rows("cleared", entries=entries).filter(F.col("what") == table))
+        what, spread = ("discoveries", "file_name") if table == "counts" else (table, "id")
+        return without_cleared(rows, self.rows("cleared", entries=entries).filter(F.col("what") == what), spread)
+
+    def put_discoveries(self, frame: DataFrame, batch: int) -> list[str]:
+        """Write discoveries and what they add to the counts; returns the tables to commit."""
+        self.put("discoveries", frame, batch)
+        self.put("counts", state_deltas(frame), batch)
+        return ["discoveries", "counts"]
+
+    def counts(self, repo_url: str | None = None) -> DataFrame:
+        """(repo_url, file_name, state, n): the number of discoveries now, added up from what each batch changed."""
+        rows = self._kept("counts", repo_url, self._entries())
+        return rows.groupBy("repo_url", "file_name", "state").agg(F.sum("n").alias("n")).filter("n <> 0")
 
     def discoveries(self, repo_url: str | None = None) -> DataFrame:
         """The discoveries as they are now."""
@@ -146,10 +171,12 @@ class Store:
         return self.rows("rules").drop("batch")
 
     def change_states(self, targets: DataFrame, state: str, by: str = "") -> None:
-        """Set the state of the discoveries (id, repo_url)."""
+        """Set the state of discoveries as they are now, each of them once and in another state."""
+        targets = landed(targets.select("id", "repo_url", "file_name", "state"))
         batch = self.new_batch()
         self.put("changes", targets.select("id", "repo_url", F.lit(state).alias("state"), F.lit(by).alias("by")), batch)
-        self.commit(batch, ["changes"])
+        self.put("counts", state_deltas(targets, state), batch)
+        self.commit(batch, ["changes", "counts"])
 
     def history(self, discovery_id: int) -> DataFrame:
         """(state, by, at) of the changes of a discovery since the last compaction, oldest first."""
@@ -167,9 +194,10 @@ class Store:
         if self.open_changes() < at_least:
             return False
         batch = self.new_batch()
+        tables = ["discoveries", "embeddings", "scans", "counts"]
         self.put("discoveries", self.discoveries(), batch)
         self.put("embeddings", self.embeddings(), batch)
         self.put("scans", self.repos().withColumn("deleted", F.lit(False)), batch)
-        self.commit(batch, ["discoveries", "embeddings", "scans"],
-                    ["discoveries", "embeddings", "scans", "changes", "cleared", "dropped", "deleted_rules"])
+        self.put("counts", self.counts(), batch)
+        self.commit(batch, tables, [*tables, "changes", "cleared", "dropped", "deleted_rules"])
         return True

@@ -1236,6 +1236,17 @@ def state_log_fold(spark, sf_dir):
     return shown(ws.get_discoveries())
 
 
+@query("disc,latest", """
+    SELECT repo_url, file_name, coalesce(l.state, d.state) AS state, count(*) AS n
+    FROM disc d LEFT JOIN latest l ON l.id = d.id GROUP BY ALL""", _CHANGED)
+def counts_from_deltas(spark, sf_dir):
+    """Counts of every file and state after three rounds of changes and a repeated scan, added up from what each job changed."""
+    ws = Workspace(spark, shared_dir(spark, "store"))
+    found = _three_rounds(spark, sf_dir, ws)
+    ws.store_scan(found, corpus.repos(spark, sf_dir))
+    return ws.get_state_counts()
+
+
 # ---- streams --------------------------------------------------------------------
 
 @query("all_found", f"SELECT {DISCOVERY} FROM all_found", _ROWS)

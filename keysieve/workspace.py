@@ -108,6 +108,10 @@ class Workspace:
     def get_discoveries_count(self, repo_url: str | None = None, **conditions) -> int:
         return self.get_discoveries(repo_url, **conditions).count()
 
+    def get_state_counts(self, repo_url: str | None = None) -> DataFrame:
+        """(repo_url, file_name, state, n), kept up to date by every job instead of counted anew."""
+        return self.store.counts(repo_url)
+
     def get_files_summary(self, repo_url: str) -> DataFrame:
         return reports.file_summary(self.get_discoveries(repo_url))
 
@@ -127,8 +131,7 @@ class Workspace:
         """Store discoveries whose id is not stored yet, each id once; returns the ids (``id``) that were added."""
         batch = self.store.new_batch()
         fresh = tables.landed(self._unknown(found, self.store.discoveries()))
-        self.store.put("discoveries", fresh, batch)
-        self.store.commit(batch, ["discoveries"])
+        self.store.commit(batch, self.store.put_discoveries(fresh, batch))
         return fresh.select("id")
 
     @staticmethod
@@ -168,10 +171,10 @@ class Workspace:
             self.add_embeddings(repo_url, encoder)
         ids = triage.similar_discoveries(self.get_discoveries(repo_url), self.get_embeddings(), snippet, state,
                                          repo_url, file_name, threshold)
-        changed = tables.landed(ids.withColumn("repo_url", F.lit(repo_url)))
+        changed = tables.landed(ids.distinct())
         count = changed.count()
         if count:
-            self.store.change_states(changed, state, by)
+            self.store.change_states(self.get_discoveries(repo_url).join(changed, "id", "left_semi"), state, by)
         return count
 
     def update_group_and_similar(self, snippet: str, state: str, repo_url: str, file_name: str | None = None,
@@ -183,7 +186,7 @@ class Workspace:
         same = found.filter(F.col("snippet") == snippet)
         same = same if file_name is None else same.filter(F.col("file_name") == file_name)
         similar = triage.similar_discoveries(found, self.get_embeddings(), snippet, state, repo_url, threshold=threshold)
-        self.store.change_states(same.select("id").union(similar).distinct().withColumn("repo_url", F.lit(repo_url)), state, by)
+        self.store.change_states(found.join(same.select("id").union(similar).distinct(), "id", "left_semi"), state, by)
         return True
 
     def delete_discoveries(self, repo_url: str) -> None:
@@ -229,14 +232,14 @@ class Workspace:
         """
         classified = M.run_models(found, models, self.get_rules()).drop("flagged_by")
         fresh = tables.landed(classified)
-        batch, written = self.store.new_batch(), ["discoveries", "scans"]
+        batch, written = self.store.new_batch(), ["scans"]
         if force:
             self._clear(batch, scanned, "discoveries", "embeddings")
             written.append("cleared")
             new = fresh.dropDuplicates(["id"])
         else:
             new = self._unknown(fresh, self.store.discoveries())
-        self.store.put("discoveries", new, batch)
+        written += self.store.put_discoveries(tables.landed(new), batch)
         if similar:
             vectors = M.embed_discoveries(fresh, encoder)
             vectors = vectors.dropDuplicates(["id"]) if force else self._unknown(vectors, self.store.embeddings())

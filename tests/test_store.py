@@ -28,6 +28,8 @@ def store(spark, tmp_path, found):
 
 
 def picture(ws):
+    counted = sorted(tuple(r) for r in ws.get_discoveries().groupBy("repo_url", "file_name", "state").count().collect())
+    assert sorted(tuple(r) for r in ws.get_state_counts().collect()) == counted      # kept up to date by every job
     return (sorted(map(repr, ws.get_discoveries().drop("timestamp").collect())), sorted(ws.get_repos().collect()),
             sorted(r.id for r in ws.get_embeddings().select("id").collect()), ws.get_rules())
 
@@ -85,6 +87,14 @@ def test_deletions_and_later_scans(spark, store, found, tmp_path):
     assert picture(store) == before
 
 
+def test_pages_keep_their_order(store):
+    store.update_discovery(0, "fixed")
+    rows = store.get_page("u/a", 10, order_by="state", descending=True).collect()
+    assert [(r.place, r.state) for r in rows] == [(1, "new"), (2, "fixed")]
+    rows = store.get_page("u/a", 1, 1, order_by="state").collect()
+    assert [(r.place, r.state, len(r.occurrences)) for r in rows] == [(1, "new", 2)]
+
+
 def test_rules_file(store, tmp_path):
     path = str(tmp_path / "rules.json")
     store.export_rules(path)
