@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from keysieve import schemas
 from keysieve.functions import labels, paths, text, vectors
 from keysieve.operators import lines as L
-from keysieve.operators import matching, models, reports, rule_index, search, similarity, tables, triage
+from keysieve.operators import bayes, matching, models, reports, rule_index, search, similarity, tables, triage
 from keysieve.operators.skew import spread
 from keysieve.plans import corpus, oracles, scans
 from keysieve.plans.corpus import CORPUS_RULES, EPOCH, HOST
@@ -955,6 +955,49 @@ def snippet_vectors(spark, sf_dir):
     return models.embed_discoveries(corpus.new_discoveries(spark, sf_dir))
 
 
+_BAYES = {
+    "said": ("disc", r"""
+        SELECT id, state, unnest(regexp_extract_all(lower(snippet), '[\pL\pN]+')) AS word FROM disc"""),
+    "words": ("said", """
+        SELECT word, count(*) FILTER (state <> 'false_positive') AS leaks, count(*) FILTER (state = 'false_positive') AS others
+        FROM said WHERE state <> 'new' GROUP BY word"""),
+    "sums": ("words", "SELECT count(*) AS v, sum(leaks) AS leaks, sum(others) AS others FROM words"),
+    "weights": ("words,sums", """
+        SELECT word, ln((w.leaks + 1.0::DOUBLE) / (s.leaks + s.v + 1)) - ln((w.others + 1.0::DOUBLE) / (s.others + s.v + 1)) AS weight
+        FROM words w, sums s"""),
+    "odds": ("said,weights", "SELECT id, sum(weight) AS total FROM said JOIN weights USING (word) WHERE state = 'new' GROUP BY id"),
+    "prior": ("disc", """
+        SELECT ln((count(*) FILTER (state <> 'false_positive') + 1.0::DOUBLE) / (count(*) FILTER (state = 'false_positive') + 1)) AS prior
+        FROM disc WHERE state <> 'new'"""),
+    "cut": ("found", """
+        SELECT id, lower(replace(snippet, chr(39), chr(34))) AS s FROM found"""),
+    "grams": ("cut", "SELECT id, md5(substr(s, k::INTEGER, 3)) AS h FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS k FROM cut)"),
+    "places": ("grams", """
+        SELECT id, ('0x' || h[1:8])::BIGINT % 128 AS place, sum(CASE WHEN h[9:9] < '8' THEN 1 ELSE -1 END) AS n
+        FROM grams GROUP BY ALL"""),
+}
+
+
+@query("disc,odds,prior", """
+    SELECT d.id, round(coalesce(o.total, 0) + p.prior, 6) AS log_odds
+    FROM disc d LEFT JOIN odds o ON o.id = d.id, prior p WHERE d.state = 'new'""", _BAYES)
+def naive_bayes_scores(spark, sf_dir):
+    """A classifier from word counts of the triaged discoveries, applied to the new ones."""
+    found = corpus.stored_discoveries(spark, sf_dir)
+    model = bayes.fit_naive_bayes(found.filter(F.col("state") != "new"), F.col("state") != "false_positive")
+    return bayes.log_odds(found.filter(F.col("state") == "new"), model).select("id", rounded("log_odds"))
+
+
+@query("places", """
+    SELECT id, place::INTEGER AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM places
+    QUALIFY n <> 0""", _BAYES)
+def hashed_vectors(spark, sf_dir):
+    """Vectors of all discoveries by signed feature hashing, without their zeros."""
+    encoded = models.embed_discoveries(corpus.new_discoveries(spark, sf_dir), bayes.signed_encoder())
+    rows = encoded.select("id", F.posexplode("embedding").alias("place", "value"))
+    return rows.filter("value <> 0").withColumn("value", F.round("value", 6))
+
+
 @query("disc,emb", f"SELECT {DISCOVERY} FROM disc WHERE id NOT IN (SELECT id FROM emb)")
 def missing_embeddings(spark, sf_dir):
     found = corpus.stored_discoveries(spark, sf_dir)
