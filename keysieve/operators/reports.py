@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from keysieve.functions.labels import RULE_DELETED, state_rank
 from keysieve.functions.text import finding_text
+from keysieve.operators.pages import RANGE_ROWS, PageIndex
 from keysieve.operators.skew import lookup_join, with_parts
 from keysieve.schemas import STATES
 
@@ -174,6 +175,14 @@ def page_groups(discoveries: DataFrame, limit: int | None = None, offset: int =
     return page if limit is None else page.limit(limit)
 
 
+def paged_groups(discoveries: DataFrame, path: str, order_by: str = "snippet", descending: bool = False,
+                 range_rows: int = RANGE_ROWS, **conditions) -> PageIndex:
+    """All pages of unique groups, cut into ranges below ``path``: a page of any depth reads a range or two."""
+    if order_by not in ("category", "snippet", "state"):
+        raise ValueError(f"cannot order by {order_by!r}")
+    return PageIndex.build(unique_groups(discoveries, **conditions), path, _page_order(order_by, descending), range_rows)
+
+
 def page_occurrences(discoveries: DataFrame, page: DataFrame, bounded: bool = False,
                      repo_url: str | None = None, file_name: str | None = None,
                      state: str | None = None) -> DataFrame:

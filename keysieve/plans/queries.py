@@ -875,6 +875,14 @@ def page_groups(spark, sf_dir):
     return reports.page_groups(corpus.stored_discoveries(spark, sf_dir), 20, 10, "category", True)
 
 
+@query("groups", """
+    SELECT row_number() OVER (ORDER BY rule_id DESC, snippet, state) AS place, snippet, state, rule_id, occurrences, total FROM groups""", _GROUPS)
+def deep_pages(spark, sf_dir):
+    """All groups in their order with their places, as pages read from ranges give them."""
+    index = reports.paged_groups(corpus.stored_discoveries(spark, sf_dir), shared_dir(spark, "pages"), "category", True, range_rows=30)
+    return index.all_rows()
+
+
 @query("located", f"SELECT {DISCOVERY} FROM located", _GROUPS)
 def page_occurrences(spark, sf_dir):
     found = corpus.stored_discoveries(spark, sf_dir)
