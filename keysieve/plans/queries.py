@@ -1252,7 +1252,7 @@ def scan_atomicity(spark, sf_dir):
 
     fails(broken, repos)
     ws.store_scan(found.filter(~is_one), repos.filter(F.col("url") != REPO))
-    fails(broken.filter(is_one), repos.filter(F.col("url") == REPO))
+    fails(broken, repos.filter(F.col("url") == REPO))
     fails(broken, repos, force=True)
     counts = ws.get_discoveries().groupBy(F.col("repo_url").alias("url")).agg(F.count("*").alias("discoveries"))
     return ws.get_repos().join(counts, "url", "left").select("url", "last_scan", F.coalesce("discoveries", F.lit(0)).alias("discoveries"))
