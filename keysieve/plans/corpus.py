@@ -105,6 +105,22 @@ def snapshot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.select("repo_url", side("old").alias("commit_from"), side("new").alias("commit_id"))
 
 
+def vector_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding): every vector and five that move further and further away from it; ids of originals end in 0."""
+    def moved(x: Column, i: Column) -> Column:
+        return x * (F.lit(1.0) + F.lit(0.05) * F.col("c") * (F.pmod((i + 1) * 7 + F.col("vec_id"), F.lit(5)) - 2))
+    stored = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"),
+                                                       F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c"))
+    return stored.select((F.col("vec_id") * 10 + F.col("c")).alias("id"), F.transform("v", moved).alias("embedding"))
+
+
+def forked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file as often as commits and forks hold it: once more in a fork of every repository, and two out of three
+    once more in a fork of that."""
+    forks = F.array_compact(F.array(F.lit(""), F.lit("-fork"), F.when(F.col("doc_id") % 3 > 0, F.lit("-fork-fork"))))
+    return files(spark, sf_dir).withColumn("fork", F.explode(forks)).withColumn("repo_url", F.concat("repo_url", "fork")).drop("fork")
+
+
 def file_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return documents.select(*_keys(documents))

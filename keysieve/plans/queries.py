@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from keysieve import schemas
 from keysieve.functions import labels, paths, text, vectors
 from keysieve.operators import lines as L
-from keysieve.operators import bayes, matching, models, reports, rule_index, search, similarity, tables, triage
+from keysieve.operators import bayes, contents, matching, models, reports, rule_index, search, similarity, tables, triage, vector_index
 from keysieve.operators.skew import spread
 from keysieve.plans import corpus, oracles, scans
 from keysieve.plans.corpus import CORPUS_RULES, EPOCH, HOST
@@ -138,6 +138,19 @@ def scan_one_per_line(spark, sf_dir):
     return shown(corpus.new_discoveries(spark, sf_dir))
 
 
+@query("found", f"""
+    SELECT f.* REPLACE (f.repo_url || k.fork AS repo_url)
+    FROM (SELECT doc_id, {DISCOVERY} FROM found) f, (VALUES ('', 0), ('-fork', 0), ('-fork-fork', 1)) AS k(fork, least)
+    WHERE f.doc_id % 3 >= k.least""")
+def scan_by_content(spark, sf_dir):
+    """Files of repositories and their forks, each content split and matched once."""
+    held = corpus.forked_files(spark, sf_dir)
+    store = contents.ContentStore(spark, shared_dir(spark, "contents"))
+    store.add(held)
+    found = scans.to_discoveries(store.scan(held, CORPUS_RULES), **corpus.shape())
+    return shown(found, corpus.document_number().alias("doc_id"))
+
+
 _MANY = {
     "picked": ("", """
         SELECT row_number() OVER (ORDER BY md5(w), w)::INTEGER AS k, w
@@ -1116,6 +1129,35 @@ def similarity_pairs(spark, sf_dir):
             .select("request_id", "repo_url", "id", rounded("similarity")))
 
 
+_VARIANTS = {"variants": ("", """
+    SELECT vec_id * 10 + c AS id, list_transform(embedding::DOUBLE[], lambda x, i:
+           x * (1 + 0.05::DOUBLE * c * ((i * 7 + vec_id) % 5 - 2))) AS v
+    FROM embeddings, range(6) AS r(c)""")}
+_CLOSE_PAIRS = """
+    FROM (SELECT a.id AS request_id, b.id, list_cosine_similarity(a.v, b.v) AS similarity
+          FROM variants a, variants b WHERE a.id % 100 = 0) WHERE similarity > 0.96"""
+
+
+def _variant_index(spark, sf_dir):
+    stored = corpus.vector_variants(spark, sf_dir)
+    index = vector_index.VectorIndex.build(stored, shared_dir(spark, "vectors"), dimensions=64)
+    return index, stored.filter(F.col("id") % 100 == 0)
+
+
+@query("variants", "SELECT request_id, id, round(similarity, 6) AS similarity" + _CLOSE_PAIRS, _VARIANTS)
+def similar_by_index(spark, sf_dir):
+    """Every hundredth vector as a request to an index of all."""
+    index, requests = _variant_index(spark, sf_dir)
+    return index.similar(requests).select("request_id", "id", rounded("similarity"))
+
+
+@query("variants", "SELECT request_id, count(*) AS similar, true AS enough" + _CLOSE_PAIRS + " GROUP BY request_id", _VARIANTS)
+def similar_index_recall(spark, sf_dir):
+    """What the index finds for every hundredth vector, held against a comparison with all: at least 0.9 of it."""
+    index, requests = _variant_index(spark, sf_dir)
+    return index.recall(requests).select("request_id", "similar", (F.col("found") >= F.col("similar") * 0.9).alias("enough"))
+
+
 @query("disc,close", f"""
     SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM close) THEN 'fixed' ELSE state END AS state)
     FROM (SELECT {DISCOVERY} FROM disc)""", _REQUESTED)
