@@ -2,20 +2,29 @@
 
 Items go to the tasks in blocks of bounded size; every block is held against all documents. A first pass counts in how
 many documents each n-gram of an item occurs. A document is aligned with an item if it has one of the item's rare
-n-grams, or several others, so copies with edits are found and an item that leaked everywhere is, too.
+n-grams, or several others, so copies with edits are found and an item that leaked everywhere is, too. A copy is a large
+share of an item, or a long run of its words however long the item is.
+
+Words are runs of letters, marks, digits and underscores, so any white space and punctuation separates them, typographic or
+not. Characters of scripts without spaces are words by themselves. Compatible forms and invisible characters are folded.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Which bytes are part of a word: letters, digits, underscore and everything that is not ASCII.
+_INVISIBLE = regex.compile(r"\p{Cf}+")
+_BREAKS = regex.compile(r"[^\p{L}\p{M}\p{N}_]+")
+_UNSPACED = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)")
+# Which bytes are part of a word once a text is folded: letters, digits, underscore and everything that is not ASCII.
 _WORD = np.zeros(256, dtype=bool)
 _WORD[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + [95] + list(range(128, 256))] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -24,13 +33,15 @@ _SLOTS = 1 << 20
 
 @dataclass(frozen=True)
 class Alignment:
-    """Scores of the alignment and what counts as a copy: ``least`` is the share of the score of an exact copy."""
+    """Scores of the alignment and what counts as a copy: ``least`` is the share of the score of an exact copy, ``run`` the
+    number of words whose exact copy has the score that is enough in an item of any length."""
 
     ngram: int = 3
     match: int = 2
     mismatch: int = -1
     gap: int = -1
     least: float = 0.5
+    run: int = 50
     rare_share: float = 0.5
     others: int = 2
     block_items: int = 20_000
@@ -42,9 +53,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def folded(text: str) -> str:
+    """The text with one space between its words, if it has characters that are not ASCII."""
+    if text.isascii():
+        return text
+    plain = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    return _UNSPACED.sub(r" \1 ", _BREAKS.sub(" ", plain))
+
+
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all texts in order, where each text's words begin). Words are compared in lower case."""
-    encoded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    encoded = [folded(t).lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
     ends = np.cumsum([len(e) + 1 for e in encoded]) if encoded else np.zeros(0, dtype=np.int64)
     inside = _WORD[data]
@@ -134,33 +153,45 @@ class Items:
         return (np.concatenate(places), np.concatenate(numbers)) if places else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _next_row(above: np.ndarray, word: np.uint64, words: np.ndarray, how: Alignment, least: int | None) -> np.ndarray:
+    """The scores below ``above``; ``least`` bounds them from below where an alignment may begin anywhere."""
+    slope = -how.gap * np.arange(len(above))
+    cell = np.empty_like(above)
+    cell[0] = above[0] + how.gap
+    np.maximum(above[:-1] + np.where(words == word, how.match, how.mismatch), above[1:] + how.gap, out=cell[1:])
+    if least is not None:
+        np.maximum(cell, least, out=cell)
+    # A run of gaps along the row costs the same per word, so a running maximum of (score + slope) finds it.
+    return np.maximum.accumulate(cell + slope) - slope
+
+
 def align(item: np.ndarray, words: np.ndarray, how: Alignment) -> tuple[float, int, int]:
-    """(share of the score of an exact copy, begin, end in ``words``) of the best local alignment."""
+    """(share of the score of an exact copy, begin, end in ``words``) of the best local alignment.
+
+    Two rows are in memory, whatever the lengths: the first pass finds where the best alignment ends, a second one runs
+    back from there. Of equally good ones the first end in the item counts, then in the words, then the shortest.
+    """
     m, n = len(item), len(words)
     if not m or not n:
         return 0.0, 0, 0
-    slope = -how.gap * np.arange(1, n + 1)
-    above = np.zeros(n + 1, dtype=np.int64)
-    rows = [above]
+    best, last, end = 0, 0, 0
+    row = np.zeros(n + 1, dtype=np.int64)
     for i in range(m):
-        step = above[:-1] + np.where(words == item[i], how.match, how.mismatch)
-        cell = np.maximum(np.maximum(step, above[1:] + how.gap), 0)
-        # A run of gaps along the row costs the same per word, so a running maximum of (score + slope) finds it.
-        cell = np.maximum(cell, np.maximum.accumulate(cell + slope) - slope)
-        above = np.concatenate([[0], cell])
-        rows.append(above)
-    table = np.stack(rows)
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    best, end = int(table[i, j]), int(j)
-    while i and j and table[i, j] > 0:
-        here = table[i, j]
-        if here == table[i - 1, j - 1] + (how.match if item[i - 1] == words[j - 1] else how.mismatch):
-            i, j = i - 1, j - 1
-        elif here == table[i - 1, j] + how.gap:
-            i -= 1
-        else:
-            j -= 1
-    return best / (how.match * m), int(j), end
+        row = _next_row(row, item[i], words, how, 0)
+        j = int(row.argmax())
+        if row[j] > best:
+            best, last, end = int(row[j]), i + 1, j
+    if not best:
+        return 0.0, 0, 0
+    # Matches pay for the gaps of an alignment, which bounds how far it reaches back.
+    back = words[max(end - last - last * how.match // -how.gap, 0):end][::-1]
+    row = how.gap * np.arange(len(back) + 1, dtype=np.int64)
+    for i in range(last - 1, -1, -1):
+        row = _next_row(row, item[i], back, how, None)
+        j = int(row.argmax())
+        if row[j] == best:
+            return best / (how.match * m), end - j, end
+    raise AssertionError("the best alignment is found again from its end")
 
 
 def _candidates(items: Items, place: np.ndarray, number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -188,7 +219,7 @@ def find_copies(items: Items, words: np.ndarray, place: np.ndarray, number: np.n
             score, begin, end = align(items.words[i], words[lo:hi], items.how)
             if score > best[0]:
                 best = (score, lo + begin, lo + end)
-        if best[0] >= items.how.least:
+        if best[0] >= items.how.least or best[0] * size >= items.how.run:
             found.append((items.ids[i], *best))
     return found
 
@@ -254,7 +285,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """Add the array ``name`` of (item_id, score, begin, end) to every row: which items it copies, from word to word.
 
     Null and empty texts and items copy nothing. A repeated item row counts once, a repeated document row each time.
-    Items shorter than ``ngram`` words must occur whole to be looked at. Without items the arrays are empty.
+    Items shorter than ``ngram`` words must occur whole to be looked at. Without items the arrays are empty. Very long
+    texts and items are aligned in memory that grows with their lengths, not with the product.
     """
     kind = dict(benchmark.dtypes)[item_id]
     own = [c for c in docs.columns if c != name]

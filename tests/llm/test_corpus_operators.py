@@ -1,6 +1,8 @@
 """Personal data, decontamination, repeats, near duplicates and packing, against brute force."""
 
 import random
+import tracemalloc
+import unicodedata
 import re
 from dataclasses import replace
 
@@ -111,7 +113,37 @@ def test_alignment_against_the_plain_recurrence():
     rng = np.random.default_rng(1)
     for _ in range(40):
         item, words = (rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64) for _ in range(2))
-        assert decontamination.align(item, words, decontamination.Alignment())[0] == brute_align(item, words)
+        score, begin, end = decontamination.align(item, words, decontamination.Alignment())
+        assert score == brute_align(item, words) == brute_align(item, words[begin:end])
+
+
+def test_an_alignment_of_a_repeated_word_needs_little_memory():
+    item, words = np.array([7, 8] * 150, dtype=np.uint64), np.full(400_000, 7, dtype=np.uint64)
+    tracemalloc.start()
+    assert decontamination.align(item, words, decontamination.Alignment())[0] > 0
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
+def test_parts_other_marks_other_spaces_and_scripts_without_spaces(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    text = lambda n: [word() for _ in range(n)]
+    long, spaced, cafe = text(300), text(30), [w + rng.choice(["é", "ü", ""]) for w in text(25)]
+    quoted = "\u201cIt isn\u2019t far\u201d \u2013 " + " ".join(text(20)) + "\u2026 don\u2019t go"
+    han = "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(40))
+    thai = "".join(chr(rng.randint(0x0E01, 0x0E2E)) + rng.choice(["", "\u0e34"]) for _ in range(40))
+    items = [" ".join(long), " ".join(spaced), quoted, han, thai, " ".join(cafe)]
+    ascii_marks = quoted.translate({0x201C: '"', 0x201D: '"', 0x2019: "'", 0x2013: "-", 0x2026: "..."})
+    around = lambda inside: " ".join(text(30)) + inside + " ".join(text(30))
+    rows = [around(" " + " ".join(long[90:210]) + " "), around("\u00a0" + "\u00a0".join(spaced) + "\u2003"), around(" " + ascii_marks + " "),
+            chr(0x4E8C) * 9 + han + chr(0x4E09) * 9, "\u0e01" * 9 + thai + "\u0e02" * 9,
+            around(" " + unicodedata.normalize("NFD", " ".join(cafe)).replace("a", "a\u00ad") + " ")]
+    clean = [around(" " + " ".join(long[100:130]) + " "), han[:9] + chr(0x4E8C) * 60, around(" ".join(cafe[:6]))]
+    docs = spark.createDataFrame(list(enumerate(rows + clean)), "doc_id long, text string")
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontamination.contamination(docs, tests).select("doc_id", F.explode("copies.item_id").alias("i")).collect()
+    assert sorted((r.doc_id, r.i) for r in found) == [(i, i) for i in range(len(items))]
 
 
 def test_copies_with_edits_are_found_and_clean_texts_are_not(spark):
