@@ -1,4 +1,8 @@
-"""Quality scores: random Fourier features, ridge regression by summed normal equations, isotonic calibration."""
+"""Quality scores: random Fourier features, ridge regression by summed normal equations, isotonic calibration.
+
+Calibration is learned out of fold: each row's raw score comes from weights that were fitted without its fold, so the
+levels tell how good the ranking is on rows not learned from. Rows of equal statistics share a fold.
+"""
 
 from __future__ import annotations
 
@@ -52,6 +56,7 @@ class Classifier:
     width: float = 4.0
     ridge: float = 1e-3
     bins: int = 1000
+    folds: int = 5
     seed: int = 7
     mean: np.ndarray = field(default=None, repr=False)
     scale: np.ndarray = field(default=None, repr=False)
@@ -106,31 +111,42 @@ def fit(labelled: DataFrame, model: Classifier | None = None) -> Classifier:
     model.scale = np.maximum(np.array([moments[f"s{i}"] for i in range(width)]), 1e-6)
     size = model.features + 1
 
+    folded = labelled.select("stats", "label", F.pmod(F.xxhash64("stats"), F.lit(model.folds)).cast("int").alias("fold"))
+
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((model.folds, size, size + 1))
         for batch in batches:
-            if len(batch):
-                z = model.fourier(np.stack(batch["stats"]))
-                total[:, :size] += z.T @ z
-                total[:, size] += z.T @ batch["label"].to_numpy(float)
-        yield pd.DataFrame({"i": np.arange(size), "v": list(total)})
-
-    rows = (labelled.select("stats", "label").mapInPandas(products, "i int, v array<double>")
-            .groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect())
-    total = np.zeros((size, size + 1))
+            for fold, rows in batch.groupby("fold"):
+                z = model.fourier(np.stack(rows["stats"]))
+                total[fold, :, :size] += z.T @ z
+                total[fold, :, size] += z.T @ rows["label"].to_numpy(float)
+        for fold in range(model.folds):
+            yield pd.DataFrame({"fold": fold, "i": np.arange(size), "v": list(total[fold])})
+
+    rows = (folded.mapInPandas(products, "fold int, i int, v array<double>")
+            .groupBy("fold", "i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect())
+    total = np.zeros((model.folds, size, size + 1))
     for r in rows:
-        total[r["i"]] = r["v"].toArray()
-    penalty = model.ridge * moments["n"] * np.eye(size) / size
-    penalty[-1, -1] = 1e-9
-    model.weights = np.linalg.solve(total[:, :size] + penalty, total[:, size])
+        total[r["fold"], r["i"]] = r["v"].toArray()
+
+    def solved(sums: np.ndarray) -> np.ndarray:
+        # The last feature is constant 1, so its product with itself is the number of rows.
+        penalty = model.ridge * sums[-1, size - 1] * np.eye(size) / size + 1e-9 * np.eye(size)
+        penalty[-1, -1] = 1e-9
+        return np.linalg.solve(sums[:, :size] + penalty, sums[:, size])
+
+    model.weights = solved(total.sum(axis=0))
+    without = np.stack([solved(total.sum(axis=0) - own) for own in total])
 
     @F.pandas_udf("double")
-    def raw(stats: pd.Series) -> pd.Series:
-        return pd.Series(model.raw(np.stack(stats)) if len(stats) else [], dtype=float)
+    def raw(stats: pd.Series, fold: pd.Series) -> pd.Series:
+        if not len(stats):
+            return pd.Series([], dtype=float)
+        return pd.Series(np.einsum("ij,ij->i", model.fourier(np.stack(stats)), without[fold.to_numpy()]))
 
     # Raw scores are near 0 or 1; what lies beyond -0.5 and 1.5 shares the outermost bins.
-    at = F.floor((F.least(F.greatest(raw("stats"), F.lit(-0.5)), F.lit(1.5)) + 0.5) / 2 * (model.bins - 1))
-    table = (labelled.select(at.cast("int").alias("bin"), "label").groupBy("bin")
+    at = F.floor((F.least(F.greatest(raw("stats", "fold"), F.lit(-0.5)), F.lit(1.5)) + 0.5) / 2 * (model.bins - 1))
+    table = (folded.select(at.cast("int").alias("bin"), "label").groupBy("bin")
              .agg(F.count("*").alias("n"), F.sum("label").alias("ones")).orderBy("bin").collect())
     count = np.array([r["n"] for r in table], dtype=float)
     model.levels = isotonic(np.array([float(r["ones"]) for r in table]) / count, count)

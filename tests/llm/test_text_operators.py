@@ -65,6 +65,32 @@ def test_quality_scores_on_kept_aside_rows(spark):
     assert quality_classifier.classify(docs.limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_normal_equations_and_calibration_out_of_fold_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    width = len(quality_classifier.statistics(""))
+    x = rng.normal(size=(300, width))
+    y = (rng.random(300) < 0.5).astype(float)                # labels that nothing explains
+    rows = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(x, y)], "stats array<double>, label double")
+    model = quality_classifier.fit(rows, quality_classifier.Classifier(ridge=1e-2))
+    z = model.fourier(x)
+    penalty = 1e-2 * 300 * np.eye(z.shape[1]) / z.shape[1] + 1e-9 * np.eye(z.shape[1])
+    penalty[-1, -1] = 1e-9
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-6)
+    # The ridge fits its own rows well; levels learned on them would be sure of themselves.
+    score = model.score(x)
+    assert np.mean((model.raw(x) > 0.5) == (y > 0.5)) > 0.8
+    assert np.mean((score > 0.1) & (score < 0.9)) > 0.8
+
+
+def test_isotonic_is_optimal_against_the_formula_of_minima_and_maxima():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 9):
+        v, w = rng.normal(size=n), rng.integers(1, 5, n)
+        mean = lambda a, b: np.average(v[a:b + 1], weights=w[a:b + 1])
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(quality_classifier.isotonic(v, w), want)
+
+
 def test_isotonic_is_monotone_and_optimal_on_a_known_case():
     assert list(quality_classifier.isotonic(np.array([1.0, 3, 2, 4]), np.ones(4))) == [1, 2.5, 2.5, 4]
 
