@@ -92,6 +92,19 @@ def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(n, v) for v, _, n in pools])
 
 
+def centred(at: np.ndarray, ones: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and levels of the calibration: every pool of the isotonic fit stands at its mean raw score.
+
+    Scores between two pools rise from one to the other, so rows keep their ranks where a step would tie them. A pool's
+    share counts half a row of each label more, and what lies beyond the outermost pools rises to 0 and 1.
+    """
+    pool = np.unique(isotonic(ones / count, count), return_inverse=True)[1]
+    n = np.bincount(pool, count)
+    knots = np.bincount(pool, at * count) / n
+    levels = np.maximum.accumulate((np.bincount(pool, ones) + 0.5) / (n + 1))
+    return np.concatenate([[-0.5], knots, [1.5]]), np.concatenate([[0.0], levels, [1.0]])
+
+
 def fit(labelled: DataFrame, model: Classifier | None = None) -> Classifier:
     """Fit on all rows of (stats, label). Only sums of fixed size reach the driver.
 
@@ -149,8 +162,8 @@ def fit(labelled: DataFrame, model: Classifier | None = None) -> Classifier:
     table = (folded.select(at.cast("int").alias("bin"), "label").groupBy("bin")
              .agg(F.count("*").alias("n"), F.sum("label").alias("ones")).orderBy("bin").collect())
     count = np.array([r["n"] for r in table], dtype=float)
-    model.levels = isotonic(np.array([float(r["ones"]) for r in table]) / count, count)
-    model.knots = (np.array([r["bin"] for r in table]) + 0.5) / (model.bins - 1) * 2 - 0.5
+    at = (np.array([r["bin"] for r in table]) + 0.5) / (model.bins - 1) * 2 - 0.5
+    model.knots, model.levels = centred(at, np.array([float(r["ones"]) for r in table]), count)
     return model
 
 

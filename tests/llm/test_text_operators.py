@@ -91,6 +91,13 @@ def test_isotonic_is_optimal_against_the_formula_of_minima_and_maxima():
         assert np.allclose(quality_classifier.isotonic(v, w), want)
 
 
+def test_calibration_keeps_ranks_and_shares():
+    at, ones, count = np.linspace(0, 1, 6), np.array([0.0, 30, 20, 60, 50, 100]), np.full(6, 100.0)
+    knots, levels = quality_classifier.centred(at, ones, count)
+    assert np.allclose(knots, [-0.5, 0, 0.3, 0.7, 1, 1.5]) and np.all(np.diff(levels) > 0)
+    assert np.allclose(levels, [0, 0.5 / 101, 50.5 / 201, 110.5 / 201, 100.5 / 101, 1])
+
+
 def test_isotonic_is_monotone_and_optimal_on_a_known_case():
     assert list(quality_classifier.isotonic(np.array([1.0, 3, 2, 4]), np.ones(4))) == [1, 2.5, 2.5, 4]
 
