@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _INVISIBLE = regex.compile(r"\p{Cf}+")
-_BREAKS = regex.compile(r"[^\p{L}\p{M}\p{N}_]+")
+_BREAKS = regex.compile(r"[^\p{L}\p{M}\p{N}\x00-\x7F]+")
 _UNSPACED = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)")
 # Which bytes are part of a word once a text is folded: letters, digits, underscore and everything that is not ASCII.
 _WORD = np.zeros(256, dtype=bool)
@@ -54,11 +54,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def folded(text: str) -> str:
-    """The text with one space between its words, if it has characters that are not ASCII."""
+    """The text with ASCII characters, or spaces, between its words; a text of ASCII characters is left as it is."""
     if text.isascii():
         return text
-    plain = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    return _UNSPACED.sub(r" \1 ", _BREAKS.sub(" ", plain))
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    # Most texts have few characters that are not ASCII, and patterns only run for those they hold.
+    odd = "".join(c for c in set(text) if c > "\x7f")
+    for pattern, instead in ((_INVISIBLE, ""), (_BREAKS, " "), (_UNSPACED, r" \1 ")):
+        if pattern.search(odd):
+            text = pattern.sub(instead, text)
+    return text
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
