@@ -1,18 +1,21 @@
-"""Near-duplicate texts: banded MinHash LSH over word n-grams proposes, exact Jaccard similarity decides.
+"""Near-duplicate texts: a MinHash LSH forest over word n-grams proposes, exact Jaccard similarity decides.
 
-Equal texts are one class from the start. Each tree is a band: the hash of one prefix of its own run of MinHash values;
-texts that share it in some tree are candidates. There are no tries and nothing is shortened by what was found: the
-length is the longest with which a pair at the very threshold meets with the target recall, the same for all trees and
-inputs, so a pair may be missed (see ``Forest.depth``). Candidates that hang together are compared exactly, all with all,
-in blocks of bounded size.
+Equal texts are one class from the start. Every other text has one run of MinHash values in each tree; a tree is its runs
+in order, where the texts under a node of the trie are neighbours. Range partitions may cut it anywhere, so no node has to
+fit one task. Matches begin at the longest prefix and are shortened, bucket by bucket: to the length with which a pair at
+the very threshold meets in some tree with the target recall, and from there on while the bucket may still lose more links
+than allowed, counted by the texts that share its longest prefix. A pair may thus be missed, with the odds of
+``Forest.missed``. Candidates that hang together are compared exactly, all with all, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,20 +29,37 @@ _WORDS_KEPT = 300_000
 
 @dataclass(frozen=True)
 class Forest:
+    """``lost`` bounds the links a text in a crowded bucket is expected to lose, ``rows`` the part of a tree in one task."""
+
     words: int = 5
     threshold: float = 0.8
     trees: int = 24
-    longest: int = 6
+    longest: int = 8
     recall: float = 0.9999
+    lost: float = 0.001
+    rows: int = 250_000
     block: int = 512
     seed: int = 11
 
+    def missed(self, depth: int) -> float:
+        """The odds that a pair at the threshold shares a prefix of this length in no tree."""
+        return (1 - self.threshold ** depth) ** self.trees
+
     def depth(self) -> int:
         """The longest prefix with which a pair at the threshold meets in some tree with probability ``recall``."""
-        depth = self.longest
-        while depth > 1 and 1 - (1 - self.threshold ** depth) ** self.trees < self.recall:
-            depth -= 1
-        return depth
+        return next((d for d in range(self.longest, 1, -1) if 1 - self.missed(d) >= self.recall), 1)
+
+    def depths(self, others: np.ndarray) -> np.ndarray:
+        """How far the prefix of a bucket is shortened, given the number of other texts with its longest prefix.
+
+        A link meets at the longest prefix of a tree with probability threshold ** longest at least, so a text with
+        ``others`` there has about others / threshold ** longest links at most.
+        """
+        found = np.full(len(others), self.depth())
+        links = others / self.threshold ** self.longest
+        for d in range(self.depth() - 1, 0, -1):
+            found[links * self.missed(d + 1) > self.lost] = d
+        return found
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,27 +94,89 @@ def signature(grams: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.n
     return least
 
 
-def prefixes(texts: pd.Series, forest: Forest) -> pd.Series:
-    """For each text one hash per tree of its band, the prefix of fixed length; null for a text without words."""
-    depth = forest.depth()
+def runs(texts: pd.Series, forest: Forest) -> pd.Series:
+    """For each text its runs, tree after tree, 16 bits of each MinHash value; null for a text without words."""
     rng = np.random.default_rng(forest.seed)
-    factors = rng.integers(0, 2 ** 63, (forest.trees, forest.longest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    terms = rng.integers(0, 2 ** 63, (forest.trees, forest.longest), dtype=np.uint64)
-    factors, terms = factors[:, :depth].ravel(), terms[:, :depth].ravel()
+    shape = forest.trees * forest.longest
+    factors = rng.integers(0, 2 ** 63, shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    terms = rng.integers(0, 2 ** 63, shape, dtype=np.uint64)
     result = []
     for text in texts:
         grams = shingles(text, forest.words)
-        if not len(grams):
-            result.append(None)
-            continue
-        values = _mix(signature(grams, factors, terms)).reshape(forest.trees, depth)
-        total = np.zeros(forest.trees, dtype=np.uint64)
-        for j in range(depth):
-            total = _mix(total * np.uint64(0x9E3779B97F4A7C15) + values[:, j])
-        result.append(total.view(np.int64))
+        values = _mix(signature(grams, factors, terms)) >> np.uint64(48) if len(grams) else None
+        result.append(None if values is None else values.astype(">u2").tobytes())
     return pd.Series(result, dtype=object)
 
 
+MEETINGS = "a binary, b binary, tree int, depth int, prefix binary"
+
+
+def trie_nodes(tree: np.ndarray, values: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted runs: the length each row's prefix is shortened to, the first row under that node, and the common
+    prefix of each row with the one before."""
+    n = len(values)
+    common = np.zeros(n, dtype=np.int64)
+    if n > 1:
+        differs = values[1:] != values[:-1]
+        common[1:] = np.where(differs.any(1), differs.argmax(1), forest.longest)
+        common[1:][tree[1:] != tree[:-1]] = 0
+    leaf = np.cumsum(common < forest.longest) - 1
+    wanted = forest.depths(np.bincount(leaf) - 1)[leaf]
+    depth = np.full(n, forest.depth())
+    for d in range(forest.depth() - 1, 0, -1):
+        node = np.cumsum(common < d) - 1
+        depth[np.isin(node, node[wanted <= d])] = d
+    first = np.zeros(n, dtype=np.int64)
+    for d in np.unique(depth):
+        start = np.flatnonzero(common < d)
+        at = depth == d
+        first[at] = start[np.cumsum(common < d)[at] - 1]
+    return depth, first, common
+
+
+def meetings(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
+    """Scan one range of the sorted trees: an edge from each text to the first one under its shortened prefix, and for
+    nodes that the range's ends may cut their first text, with ``b`` null."""
+    parts = [x for x in batches if x.num_rows]
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    tree, key = rows["tree"].to_numpy(), rows["key"].combine_chunks()
+    values = np.frombuffer(b"".join(rows["run"].to_pylist()), ">u2").reshape(-1, forest.longest)
+    depth, first, common = trie_nodes(tree, values, forest)
+    at = np.flatnonzero(first != np.arange(len(first)))
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("tree", pa.int32()), ("depth", pa.int32()), ("prefix", pa.binary())])
+    key = key.cast(pa.binary())
+    none = [pa.nulls(len(at), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+    yield pa.RecordBatch.from_arrays([key.take(pa.array(at)), key.take(pa.array(first[at])), *none], schema=schema)
+    cut = set()
+    for edge in (0, len(first) - 1):
+        for d in range(depth[edge], forest.depth() + 1):
+            head = int(np.flatnonzero(common[:edge + 1] < d)[-1])
+            cut.add((key[head].as_py(), int(tree[edge]), d, values[edge, :d].tobytes()))
+    heads, trees, depths, prefix = zip(*sorted(cut))
+    yield pa.RecordBatch.from_arrays([
+        pa.array(heads, pa.binary()), pa.nulls(len(heads), pa.binary()), pa.array(trees, pa.int32()),
+        pa.array(depths, pa.int32()), pa.array(prefix, pa.binary())], schema=schema)
+
+
+def candidate_edges(signed: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b) over ``signed`` (key, runs): texts that hang together by edges are candidates of each other."""
+    signed = signed.filter(F.col("runs").isNotNull())
+    width = 2 * forest.longest
+    rows = (signed.select("key", "runs", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
+            .select("key", "tree", F.substring("runs", F.col("tree") * width + 1, F.lit(width)).alias("run")))
+    parts = max(1, -(-signed.count() * forest.trees // forest.rows))
+    order = ["tree", "run", "key"]
+    met = landed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                 .mapInArrow(lambda batches: meetings(batches, forest), MEETINGS), "meetings")
+    # A node cut by borders of ranges has one row for each part: at most two paths of each range.
+    cut = met.filter(F.col("b").isNull())
+    whole = cut.groupBy("tree", "depth", "prefix").agg(F.min("a").alias("b"))
+    over = cut.drop("b").join(whole, ["tree", "depth", "prefix"]).filter(F.col("a") != F.col("b")).select("a", "b")
+    return met.filter(F.col("b").isNotNull()).select("a", "b").unionByName(over)
+
+
 def text_key(text: str = "text") -> Column:
     """128 bits that stand for a text; null counts as empty."""
     return F.unhex(F.md5(text_or_empty(text).cast("binary")))
@@ -166,18 +248,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     last: they name a class only if it has no other.
     """
     rows = landed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-                  .select("doc_id", text_key().alias("key"), F.pandas_udf(lambda t: prefixes(t, forest), "array<long>")("text").alias("trees")),
+                  .select("doc_id", text_key().alias("key"), F.pandas_udf(lambda t: runs(t, forest), "binary")("text").alias("runs")),
                   "signatures")
     classes = landed(rows.groupBy("key").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("trees").alias("trees")), "classes")
-    # Band rows stay unjoined: the least key of a bucket is its hub, every other key of it an edge to the hub.
-    bands = classes.filter(F.col("trees").isNotNull()).select("key", F.posexplode("trees").alias("tree", "prefix"))
-    hubs = (bands.groupBy("tree", "prefix").agg(F.min("key").alias("hub"), F.max("key").alias("_last"))
-            .filter(F.col("hub") != F.col("_last")).drop("_last"))
-    edges = bands.join(hubs, ["tree", "prefix"]).select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    groups = landed(connected_components(edges), "candidates")
+        F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("runs").alias("runs")), "classes")
+    groups = landed(connected_components(candidate_edges(classes, forest)), "candidates")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / forest.block).cast("int").alias("blocks"))
-    members = (groups.join(sizes, "root").withColumnRenamed("node", "key").join(classes.drop("trees"), "key")
+    members = (groups.join(sizes, "root").withColumnRenamed("node", "key").join(classes.drop("runs"), "key")
                .withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("key", text_key())
     texts = (members.join(own, (members["key"] == own["key"]) & members["first_id"].eqNullSafe(own["doc_id"]))
@@ -188,7 +265,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    .applyInPandas(lambda g: _verify(g, forest), "key binary, links long, root binary"), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    labelled = (classes.drop("trees").join(links, "key", "left")
+    labelled = (classes.drop("runs").join(links, "key", "left")
                 .join(roots.withColumnRenamed("node", "key"), "key", "left")
                 .withColumn("root", F.coalesce("root", "key")))
     labelled = landed(labelled, "labelled")
@@ -198,7 +275,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
               .agg(F.min(F.when(F.col("first_id").eqNullSafe(F.col("class_id")), F.col("key"))).alias("first_key")))
     final = landed(labelled.join(firsts, "root").select(
         "key", "class_id", "first_key", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "final")
-    return (rows.drop("trees").join(final, "key")
+    return (rows.drop("runs").join(final, "key")
             .withColumn("representative", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("first_key")))
             .select("doc_id", "key", "class_id", "representative", "n_copies", "n_links"))
 

@@ -248,6 +248,65 @@ def test_forest_depth_follows_the_recall():
     depth = forest.depth()
     assert 1 - (1 - 0.8 ** depth) ** forest.trees >= forest.recall
     assert replace(forest, recall=0.9).depth() >= depth >= replace(forest, recall=0.9999999).depth()
+    others = np.array([0, 1, 10, 100, 10_000, 10_000_000])
+    depths = forest.depths(others)
+    assert depths[0] == depth and list(depths) == sorted(depths, reverse=True) and depths[-1] < depths[0]
+    for n, d in zip(others, depths):
+        assert d == 1 or n / 0.8 ** forest.longest * (1 - 0.8 ** d) ** forest.trees <= forest.lost
+
+
+def shortened(rows, forest):
+    """Brute force: the length of each row's prefix, the texts under it, from (tree, run) rows."""
+    depth = []
+    for tree, run in rows:
+        found = forest.depth()
+        for t, r in rows:
+            if t == tree:
+                others = sum(x == (t, r) for x in rows) - 1
+                d = int(forest.depths(np.array([others]))[0])
+                if d < found and r[:d] == run[:d]:
+                    found = d
+        depth.append(found)
+    return depth
+
+
+def test_trie_nodes_against_brute_force():
+    rng = random.Random(3)
+    forest = replace(ngram_join.Forest(), longest=6, recall=0.99, trees=12)
+    rows = []
+    for tree in (0, 1):
+        for _ in range(40):
+            run = [rng.randint(0, 2) for _ in range(6)]
+            rows += [(tree, tuple(run))] * rng.choice([1, 1, 1, 2, 30])
+    rows.sort()
+    depth, first, _ = ngram_join.trie_nodes(np.array([t for t, _ in rows]), np.array([r for _, r in rows], dtype=">u2"), forest)
+    want = shortened(rows, forest)
+    assert list(depth) == want and len(set(want)) > 1
+    for at, d in enumerate(want):
+        assert first[at] == next(i for i, (t, r) in enumerate(rows) if (t, r[:d]) == (rows[at][0], rows[at][1][:d]))
+
+
+def test_a_cut_tree_finds_what_a_whole_tree_finds(spark):
+    """Every pair that shares the prefix of full recall in some tree hangs together, however ranges cut the trees."""
+    rng = np.random.default_rng(4)
+    forest = replace(ngram_join.Forest(), trees=4)
+    near = rng.integers(0, 5, (6, 4, 8)).astype(">u2")
+    rows = []
+    for i in range(300):
+        run = near[i % 6].copy() if i % 3 else rng.integers(0, 3, (4, 8)).astype(">u2")
+        run[rng.integers(0, 4), rng.integers(0, 8)] = rng.integers(0, 9)
+        rows.append((i.to_bytes(2, "big"), run.tobytes()))
+    signed = spark.createDataFrame([*rows, (b"none", None)], "key binary, runs binary")
+    met = set()
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and any(x[16 * t:16 * t + 2 * forest.depth()] == y[16 * t:16 * t + 2 * forest.depth()] for t in range(4)):
+                met.add((a, b))
+    for size in (10 ** 6, 90):
+        edges = ngram_join.candidate_edges(signed, replace(forest, rows=size))
+        root = {bytes(r["node"]): bytes(r["root"]) for r in ngram_join.connected_components(edges).collect()}
+        assert met and all(root[a] == root[b] for a, b in met) and b"none" not in root
+    assert ngram_join.candidate_edges(signed.limit(0), forest).count() == 0
 
 
 def test_places_and_tokens_of_packed_documents(spark):
