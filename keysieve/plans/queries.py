@@ -1362,6 +1362,27 @@ def stream_dedup(spark, sf_dir):
     return spark.read.schema(streams.PAIRS).parquet(target).select(*C.PAIR)
 
 
+@query("unique_pairs,pairs", """
+    SELECT u.repo_url, u.commit_id, u.parent_id, p.last_scan
+    FROM unique_pairs u JOIN (SELECT repo_url, max(committed_date)::BIGINT AS last_scan FROM pairs GROUP BY ALL) p USING (repo_url)""",
+       _FIRST_BRANCH)
+def stream_state(spark, sf_dir):
+    """Pairs let through once and latest times, from keyed state: three runs, the oldest third last, then a restart."""
+    landed, store, progress = (shared_dir(spark, name) for name in ("pairs", "pairs-state", "progress"))
+    pairs = C.commit_pairs(corpus.commits(spark, sf_dir)).select(*C.PAIR, F.col("committed_date").alias("at"))
+    spans = pairs.groupBy("repo_url").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    age = F.floor(3 * (F.col("at") - F.col("first")) / (F.col("last") - F.col("first") + 1)).cast("int")
+    (pairs.join(spans, "repo_url").select(*C.PAIR, F.timestamp_seconds("at").alias("seen_at"), (3 - age).alias("turn"))
+     .write.parquet(f"{landed}-all"))
+    for turn in (1, 2, 3, None):
+        if turn:
+            (spark.read.parquet(f"{landed}-all").filter(F.col("turn") == turn).select(*streams.PAIRS.fieldNames())
+             .write.mode("append").parquet(landed))
+        streams.pair_state_stream(spark, landed, store, progress)
+    return streams.stored_pairs(spark, store).select(*C.PAIR).join(
+        streams.stored_scan_times(spark, store).withColumnRenamed("url", "repo_url"), "repo_url")
+
+
 @query("repos,all_found", """
     SELECT r.url, coalesce(f.ts, r.last_scan) AS last_scan, coalesce(f.n, 0) AS discoveries
     FROM repos r LEFT JOIN (SELECT repo_url, max(ts) AS ts, count(*) AS n FROM all_found GROUP BY ALL) f

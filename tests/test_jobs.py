@@ -1,5 +1,7 @@
 """Scan jobs end to end, through the workspace and as streams."""
 
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,32 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == sorted(r.id for r in batch.collect())
 
 
+def test_keyed_state_of_a_stream(spark, tmp_path):
+    at = lambda day: datetime(2024, 1, day)
+    runs = [[(URL, f"c{i}", "p", at(20)) for i in range(40)] + [(URL, "c1", "p", at(21)), (URL, "root", None, at(20)), ("other", None, None, at(9))],
+            [],
+            [(URL, "c1", "p", at(2)), (URL, "root", None, at(2)), (URL, "late", "p", at(1)), ("other", None, None, at(10)), (None, "c", "p", None)]]
+    landed, store, progress = (str(tmp_path / n) for n in ("landed", "store", "progress"))
+    for rows in [*runs, runs[0]]:
+        spark.createDataFrame(rows, jobs.PAIRS).write.mode("append").parquet(landed)
+        jobs.pair_state_stream(spark, landed, store, progress, files=1)
+    got = [tuple(r)[:3] for r in jobs.stored_pairs(spark, store).collect()]
+    assert len(got) == len(set(got)) and set(got) == {r[:3] for rows in runs for r in rows}
+    last = {r["url"]: r["last_scan"] for r in jobs.stored_scan_times(spark, store).collect()}
+    seconds = lambda t: int(t.replace(tzinfo=timezone.utc).timestamp())
+    assert last == {URL: seconds(at(21)), "other": seconds(at(10)), None: None}
+    assert spark.conf.get(jobs.STATE_STORE) != jobs.ON_DISK
+
+
+def test_keyed_state_forgets_after_a_time(spark, tmp_path):
+    at = lambda day: datetime(2024, 1, day)
+    landed, store, progress = (str(tmp_path / n) for n in ("landed", "store", "progress"))
+    for rows in ([(URL, "a", "p", at(1)), (URL, "a", "p", at(2))], [(URL, "b", "p", at(20))], [(URL, "a", "p", at(21)), (URL, "b", "p", at(21))]):
+        spark.createDataFrame(rows, jobs.PAIRS).coalesce(1).write.mode("append").parquet(landed)
+        jobs.pair_state_stream(spark, landed, store, progress, forget="5 days")
+    assert sorted(r["commit_id"] for r in jobs.stored_pairs(spark, store).collect()) == ["a", "a", "b"]
+
+
 def test_replayed_batch_is_stored_once(spark, history, tmp_path):
     found = scan_history(*history, DEFAULT_RULES)
     store = str(tmp_path / "store")
