@@ -44,14 +44,15 @@ def spread(table: DataFrame) -> DataFrame:
 
 
 def salted_join(large: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column,
-                salts: int = 32, how: str = "inner") -> DataFrame:
+                salts: int = 32, how: str = "inner", hint: str | None = None) -> DataFrame:
     """Equi-join that spreads every key of ``large`` over ``salts`` tasks.
 
-    The small side is repeated once per salt, so it should hold few rows per key.
+    The small side is repeated once per salt, so it should hold few rows per key. Spark doesn't count the repeats when it
+    weighs a broadcast; the ``hint`` "merge" rules one out for a small side that grows with the input.
     """
     left = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint(hint) if hint else right, [*keys, "_salt"], how).drop("_salt")
 
 
 def is_small(frame: DataFrame, rows: int = 5000, characters: int = 8_000_000) -> bool:

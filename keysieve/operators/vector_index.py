@@ -5,6 +5,10 @@ patterns within ``flips`` signs of its own, in every table; what it meets there
 follows from the recall asked for at the threshold, the number of bits from the number of vectors, so that a bucket of
 unrelated vectors stays small at every size.
 
+Most of what shares a bucket is still unrelated. So keys carry the signs of 64 more projections, and only pairs that differ
+in few of them are compared, before any vector is moved; a pair at the threshold differs in more with a hundredth
+of the probability that all tables miss it.
+
 Equal vectors are one class: only classes are hashed, met and compared, members are joined to the result. Buckets that
 many near vectors share are split into parts, each of which meets the probes in a task of its own.
 
@@ -37,6 +41,7 @@ class Shape:
     tables: int
     flips: int = 2
     seed: int = 11
+    differing: int = 64     # of the 64 signs of a sketch
 
     def planes(self) -> np.ndarray:
         return np.random.default_rng(self.seed).normal(size=(self.dimensions, self.tables * self.bits))
@@ -46,6 +51,11 @@ class Shape:
         signs = (vectors @ self.planes() > 0).reshape(len(vectors), self.tables, self.bits)
         return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
+    def sketches(self, vectors: np.ndarray) -> np.ndarray:
+        """The signs of 64 projections apart from those of the tables, as one number."""
+        planes = np.random.default_rng([self.seed, 1]).normal(size=(self.dimensions, 64))
+        return np.packbits(vectors @ planes > 0, axis=1).view(">i8")[:, 0].astype(np.int64)
+
     def masks(self) -> np.ndarray:
         """What to flip for each probe."""
         return np.array([sum(1 << b for b in some) for n in range(min(self.flips, self.bits) + 1)
@@ -59,7 +69,9 @@ def shape_for(rows: int, dimensions: int, threshold: float = THRESHOLD, recall:
     differ = math.acos(min(max(threshold, -1.0), 1.0)) / math.pi
     met = sum(math.comb(bits, n) * differ ** n * (1 - differ) ** (bits - n) for n in range(flips + 1))
     tables = 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
-    return Shape(dimensions, threshold, bits, tables, flips)
+    tail = np.cumsum([math.comb(64, n) * differ ** n * (1 - differ) ** (64 - n) for n in range(64, -1, -1)])[::-1]
+    differing = max(n for n in range(65) if n == 0 or tail[n] > (1 - recall) / 100)
+    return Shape(dimensions, threshold, bits, tables, flips, differing=differing)
 
 
 def _classed(rows: DataFrame, id_column: str, vector: str, dimensions: int) -> DataFrame:
@@ -76,19 +88,20 @@ def _one_each(classed: DataFrame) -> DataFrame:
 
 
 def _bucketed(classes: DataFrame, shape: Shape, probes: bool) -> DataFrame:
-    """(class, table_no, bucket): where a class is stored, or all places a request looks at."""
+    """(class, table_no, bucket, sketch): where a class is stored, or all places a request looks at."""
     masks = shape.masks() if probes else np.zeros(1, dtype=np.int64)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 some = batch.iloc[at:at + 256]
-                keys = shape.keys(np.stack(some["vector"]))[:, :, None] ^ masks
+                vectors = np.stack(some["vector"])
+                keys = shape.keys(vectors)[:, :, None] ^ masks
                 yield pd.DataFrame({"class": np.repeat(some["class"].to_numpy(), keys[0].size),
                                     "table_no": np.tile(np.repeat(np.arange(shape.tables), len(masks)), len(some)),
-                                    "bucket": keys.ravel()})
+                                    "bucket": keys.ravel(), "sketch": np.repeat(shape.sketches(vectors), keys[0].size)})
 
-    return classes.select("class", "vector").mapInPandas(rows, "class string, table_no int, bucket long")
+    return classes.select("class", "vector").mapInPandas(rows, "class string, table_no int, bucket long, sketch long")
 
 
 def _cosines(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -126,9 +139,9 @@ class VectorIndex:
         large = spark.read.parquet(f"{path}/large")
         part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("class"), F.col("parts"))).cast("int")
         (salted_join(keys, large, ["table_no", "bucket"], F.col("class"), how="left")
-         .select("class", "table_no", "bucket", part.alias("part")).write.parquet(f"{path}/parts"))
+         .select("class", "table_no", "bucket", "sketch", part.alias("part")).write.parquet(f"{path}/parts"))
         # Written last: an index without it was not finished.
-        spark.createDataFrame([asdict(shape)], "dimensions int, threshold double, bits int, tables int, flips int, seed int"
+        spark.createDataFrame([asdict(shape)], "dimensions int, threshold double, bits int, tables int, flips int, seed int, differing int"
                               ).coalesce(1).write.parquet(f"{path}/shape")
         return cls(spark, path)
 
@@ -140,13 +153,16 @@ class VectorIndex:
         least = self.shape.threshold if threshold is None else threshold
         if least < self.shape.threshold:
             raise ValueError(f"the index was built for similarities above {self.shape.threshold}")
-        probes = (_bucketed(wanted, self.shape, probes=True).withColumnRenamed("class", "request_class")
+        probes = (_bucketed(wanted, self.shape, probes=True).withColumnsRenamed({"class": "request_class", "sketch": "asked"})
                   .join(self._read("large"), ["table_no", "bucket"], "left")
                   .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))))
-        met = (probes.join(self._read("parts"), ["table_no", "bucket", "part"])
+        # Spark takes the probes for as small as the requests they come from; without the hint they are broadcast.
+        met = (probes.hint("merge").join(self._read("parts"), ["table_no", "bucket", "part"])
+               .filter(F.bit_count(F.col("sketch").bitwiseXOR(F.col("asked"))) <= self.shape.differing)
                .select("request_class", "class").distinct())
         targets = wanted.select(F.col("class").alias("request_class"), F.col("vector").alias("target"))
-        compared = salted_join(met.join(self._read("classes"), "class"), targets, ["request_class"], F.col("class"), salts=8)
+        compared = salted_join(met.join(self._read("classes"), "class"), targets, ["request_class"], F.col("class"), salts=8,
+                               hint="merge")
         return (compared.select("request_class", "class", F.pandas_udf(_cosines, "double")("vector", "target").alias("similarity"))
                 .filter(F.col("similarity") > least))
 
@@ -156,8 +172,8 @@ class VectorIndex:
         asked = self._requests(requests, id_column, vector)
         pairs = self.similar_classes(_one_each(asked), threshold)
         named = asked.select(F.col("id").alias("request_id"), F.col("class").alias("request_class"))
-        met = salted_join(self._read("members"), pairs, ["class"], F.col("id"))
-        return (salted_join(met, named, ["request_class"], F.col("id"), salts=8)
+        met = salted_join(self._read("members"), pairs, ["class"], F.col("id"), hint="merge")
+        return (salted_join(met, named, ["request_class"], F.col("id"), salts=8, hint="merge")
                 .select("request_id", "id", "similarity"))
 
     def exact_classes(self, wanted: DataFrame, threshold: float | None = None, block: int = 2000) -> DataFrame:

@@ -62,3 +62,25 @@ def test_tables_follow_from_the_recall_and_bits_from_the_rows():
     assert few.bits == 8 and many.bits == 24 and many.tables > few.tables
     assert shape_for(10 ** 9, 64, 0.96, recall=0.9).tables < many.tables
     assert len(many.masks()) == 1 + 24 + 24 * 23 // 2
+
+
+def test_sketches_leave_few_unrelated_pairs_and_lose_none_at_the_threshold():
+    shape = shape_for(10 ** 6, 64, 0.96)
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    near = 0.96 * a + 0.28 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    apart = lambda x, y: np.bitwise_count((shape.sketches(x) ^ shape.sketches(y)).view(np.uint64))
+    assert (apart(a, near) <= shape.differing).all() and (apart(a, b) <= shape.differing).mean() < 0.05
+
+
+def test_what_grows_with_the_requests_is_not_broadcast(spark, stored, tmp_path):
+    rows, _ = stored
+    table = spark.createDataFrame(rows, SCHEMA)
+    index = VectorIndex.build(table, str(tmp_path / "index"), 16)
+    found = index.similar(table.filter("id % 100 = 0"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # Only the list of crowded buckets is, which is empty here.
+    assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") >= 3
