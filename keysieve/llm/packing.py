@@ -28,15 +28,11 @@ Genome = list[tuple[int, dict[int, int]]]   # (multiplicity, {length: how many o
 
 
 class _Encoder:
-    """Byte-pair encoding with a memory for what stands between two single spaces.
+    """Byte-pair encoding of whole texts, in one call each.
 
-    A single space between two other characters always starts a new token, so the text can be cut there. Texts with
-    runs of white space next to a space are encoded whole. A token of the vocabulary that was added to the merged ones is cut
-    out of the text first and has its own id.
+    A token of the vocabulary that was added to the merged ones is cut out of the text first and has its own id.
     """
 
-    KEPT = 100_000
-
     def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]) -> None:
         self.added = {text: np.array([i], dtype="<u4").tobytes() for text, i in added.items()}
         longest_first = sorted(map(re.escape, added), key=len, reverse=True)
@@ -44,9 +40,8 @@ class _Encoder:
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
         self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
 
-    def bytes_of(self, text: str) -> bytes:
+    def merged(self, text: str) -> bytes:
         return np.array(self.plain.encode_ordinary(text), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -55,16 +50,6 @@ class _Encoder:
             return self.merged(text)
         return b"".join(self.added[part] if part in self.added else self.merged(part) for part in self.cut.split(text) if part)
 
-    def merged(self, text: str) -> bytes:
-        if re.search(r" \s|\s ", text):
-            return self.bytes_of(text)
-        first, *rest = text.split(" ")
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        for chunk in set(rest).difference(self.known):
-            self.known[chunk] = self.bytes_of(" " + chunk)
-        return self.bytes_of(first) + b"".join(map(self.known.__getitem__, rest))
-
 
 def _encoder(ranks_path: str, pattern: str, added: dict[str, int]) -> _Encoder:
     key = (ranks_path, pattern, tuple(sorted(added.items())))
