@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,22 +67,26 @@ def hashed_grams(text: Column, width: int, gram: int = 3) -> Column:
     """Unit vector of signed counts: of the md5 of each n-gram the first eight hex digits choose the place (modulo ``width``),
     the ninth the sign. A text shorter than an n-gram has the zero vector."""
     lowered = F.lower(normalise_quotes(F.coalesce(text, F.lit(""))))
-    # Cut into characters once; a substring would count characters from the start each time.
-    chars = F.split(lowered, "", -1)
-
-    def vector(c: Column) -> Column:
-        starts = F.when(F.size(c) >= gram, F.sequence(F.lit(0), F.size(c) - gram)).otherwise(F.array().cast("array<int>"))
-        digests = F.transform(starts, lambda i: F.md5(F.concat(*[F.get(c, i + k) for k in range(gram)])))
-        signed = F.transform(digests, lambda h: F.struct(
-            (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % width).alias("at"),
-            F.when(F.substring(h, 9, 1) < "8", 1.0).otherwise(-1.0).alias("sign")))
-        return F.transform(F.array(signed), lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: F.aggregate(
-            F.filter(s, lambda x: x["at"] == d), F.lit(0.0), lambda total, x: total + x["sign"])))[0]
-
-    counts = F.transform(F.array(chars), vector)
-    return F.transform(counts, lambda v: F.transform(
-        F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x))),
-        lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x)))[0])[0]
+
+    def vectors(texts: pd.Series) -> pd.Series:
+        # A gram's digest is taken once for each batch, however many texts hold it.
+        places: dict[str, int] = {}
+        cells: list[int] = []
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for row, body in enumerate(texts):
+            grams = [body[i:i + gram] for i in range(len(body) - gram + 1)]
+            for new in set(grams).difference(places):
+                digest = hashlib.md5(new.encode()).hexdigest()
+                places[new] = 2 * (int(digest[:8], 16) % width) + (digest[8] < "8")
+            cells.extend(map(places.__getitem__, grams))
+            sizes[row] = len(grams)
+        at, positive = np.divmod(np.array(cells, dtype=np.int64), 2)
+        counts = np.bincount(np.repeat(np.arange(len(texts)), sizes) * width + at, weights=2.0 * positive - 1.0,
+                             minlength=len(texts) * width).reshape(len(texts), width)
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return pd.Series(list(counts / np.where(norms > 0, norms, 1.0)), dtype=object)
+
+    return F.pandas_udf(vectors, "array<double>")(lowered)
 
 
 def signed_encoder(width: int = 128, gram: int = 3) -> Encoder:

@@ -38,3 +38,11 @@ def test_signed_hashing_against_python(spark):
             vector[int(digest[:8], 16) % 16] += 1 if digest[8] < "8" else -1
         norm = np.linalg.norm(vector)
         assert np.allclose(row.embedding, vector / norm if norm else vector)
+
+
+def test_signed_hashing_takes_each_digest_of_a_batch_once(spark):
+    frame = spark.createDataFrame([(1, "x" * 500), (2, None)], "id long, snippet string")
+    encoded = bayes.signed_encoder(128)(frame)
+    assert "ArrowEvalPython" in encoded._jdf.queryExecution().executedPlan().toString()   # not 128 passes over the grams of a text
+    one = {r.id: [x for x in r.embedding if x] for r in encoded.collect()}
+    assert [abs(x) for x in one[1]] == [1.0] and one[2] == []
