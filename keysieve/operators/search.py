@@ -7,15 +7,16 @@ the rarest trigrams of the pattern, intersects their lists part by part and look
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PART_ROWS = 50_000
+BLOCK_ROWS = 2000         # rows whose trigrams are sorted at once
 RAREST = 3                # how many trigrams of a pattern are intersected
 _POSTINGS = "part int, gram string, n int, ids array<long>"
 
@@ -75,23 +76,53 @@ class SearchIndex:
         return rows.filter(F.contains(F.col("text"), F.lit(pattern))).select("id", "text")
 
 
+def _gram_rows(texts: list[str], first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, row): every trigram of every text once, grams as 63-bit numbers that sort as their texts do; rows from ``first`` on."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    if len(points) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    inside = row[:-2] == row[2:]
+    grams, rank = np.unique((points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inside], return_inverse=True)
+    which, row = np.divmod(np.unique(rank * len(texts) + row[:-2][inside]), len(texts))
+    return grams[which], row + first
+
+
+def _gram_texts(grams: np.ndarray) -> list[str]:
+    points = np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4")
+    joined = points.tobytes().decode("utf-32-le", "surrogatepass")
+    return [joined[i:i + 3] for i in range(0, len(joined), 3)]
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("part", pa.int32()), ("gram", pa.string()), ("n", pa.int32()), ("ids", pa.list_(pa.int64()))])
-    here, lists = None, defaultdict(list)
+    here, ids, found = None, [], []
 
     def finished() -> Iterator[pa.RecordBatch]:
-        grams = sorted(lists)
-        for at in range(0, len(grams), 5000):
-            some = grams[at:at + 5000]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([here] * len(some), pa.int32()), pa.array(some), pa.array([len(lists[g]) for g in some], pa.int32()),
-                pa.array([lists[g] for g in some], pa.list_(pa.int64()))], schema=schema)
+        if not found:
+            return
+        gram, row = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(gram, kind="stable")
+        gram, keys = gram[order], np.concatenate(ids)[row[order]]
+        starts = np.flatnonzero(np.diff(gram, prepend=-1))
+        ends = np.append(starts[1:], len(gram))
+        for at in range(0, len(starts), 5000):
+            a, b = starts[at:at + 5000], ends[at:at + 5000]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(a, b[-1]) - a[0], pa.int32()), pa.array(keys[a[0]:b[-1]], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([here] * len(a), pa.int32()), pa.array(_gram_texts(gram[a]), pa.string()),
+                                              pa.array(b - a, pa.int32()), lists], schema=schema)
 
     for batch in batches:
-        for key, text, part in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "text", "part"))):
-            if part != here:
+        key, text, part = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "text", "part"))
+        part = part.to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for begin, end in zip(edges, edges[1:]):
+            if end > begin and part[begin] != here:
                 yield from finished()
-                here, lists = part, defaultdict(list)
-            for gram in _grams(text):
-                lists[gram].append(key)
+                here, ids, found = int(part[begin]), [], []
+            for at in range(begin, end, BLOCK_ROWS):
+                some = slice(at, min(at + BLOCK_ROWS, end))
+                found.append(_gram_rows(text[some].to_pylist(), sum(map(len, ids))))
+                ids.append(key[some].to_numpy(zero_copy_only=False))
     yield from finished()

@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from keysieve.operators.search import SearchIndex
+from keysieve.operators.search import SearchIndex, _gram_rows, _gram_texts, _postings
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,24 @@ def test_few_rows_are_looked_at(index):
 def test_no_rows(spark, tmp_path):
     empty = SearchIndex.build(spark.createDataFrame([], "id long, text string"), str(tmp_path / "i"))
     assert empty.search("abc").isEmpty() and empty.search("a").isEmpty()
+
+
+def test_lists_of_trigrams_against_python():
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32()))], names=["id", "text", "part"])
+
+    rng = random.Random(2)
+    rows = [(i // 2, "".join(rng.choice("ab é𝒳\n") for _ in range(rng.randint(0, 9))), i // 2500) for i in range(7001)]
+    want = {}
+    for key, text, part in rows:
+        for gram in {text[i:i + 3] for i in range(len(text) - 2)}:
+            want.setdefault((part, gram), []).append(key)
+    got = [r for b in _postings(batch(rows[i:i + 1100]) for i in range(0, len(rows), 1100)) for r in b.to_pylist()]
+    assert [(r["part"], r["gram"]) for r in got] == sorted(want)
+    assert all(r["ids"] == want[r["part"], r["gram"]] and r["n"] == len(r["ids"]) for r in got)
+    assert not list(_postings(iter([]))) and not list(_postings(iter([batch([(1, "ab", 0), (2, "", 1)])])))
+
+
+def test_lists_are_made_for_blocks_of_rows():
+    grams, rows = _gram_rows(["abcabc", "ab", "", "xabc"], 10)
+    assert _gram_texts(grams) == ["abc", "abc", "bca", "cab", "xab"] and rows.tolist() == [10, 13, 10, 10, 13]
