@@ -80,13 +80,18 @@ def _gram_rows(texts: list[str], first: int) -> tuple[np.ndarray, np.ndarray]:
     """(gram, row): every trigram of every text once, grams as 63-bit numbers that sort as their texts do; rows from ``first`` on."""
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    if len(points) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(points):
+        return points, points
+    # Numbered by the characters that occur here, a gram and its row are one number and one sort is enough.
+    used = np.flatnonzero(np.bincount(points))
+    place = np.zeros(used[-1] + 1, dtype=np.int64)
+    place[used] = np.arange(len(used))
+    points, base = place[points], len(used)
     row = np.repeat(np.arange(len(texts)), sizes)
     inside = row[:-2] == row[2:]
-    grams, rank = np.unique((points[:-2] << 42 | points[1:-1] << 21 | points[2:])[inside], return_inverse=True)
-    which, row = np.divmod(np.unique(rank * len(texts) + row[:-2][inside]), len(texts))
-    return grams[which], row + first
+    gram = ((points[:-2] * base + points[1:-1]) * base + points[2:])[inside]
+    gram, row = np.divmod(np.unique(gram * len(texts) + row[:-2][inside]), len(texts))
+    return used[gram // base ** 2] << 42 | used[gram // base % base] << 21 | used[gram % base], row + first
 
 
 def _gram_texts(grams: np.ndarray) -> list[str]:
