@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from keysieve.operators.similarity import THRESHOLD
 from keysieve.operators.skew import salted_join
+from keysieve.operators.tables import landed
 
 
 @dataclass(frozen=True)
@@ -194,6 +195,7 @@ class VectorIndex:
                         yield pd.DataFrame({"request_class": names[j], "class": some["class"].to_numpy()[i], "similarity": score[i, j]})
             return classes.mapInPandas(pairs, schema)
 
+        wanted = landed(wanted)     # read once for each block
         blocks = max(-(-wanted.count() // block), 1)
         found = []
         for b in range(blocks):
