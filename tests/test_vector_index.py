@@ -84,3 +84,51 @@ def test_what_grows_with_the_requests_is_not_broadcast(spark, stored, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     # Only the list of crowded buckets is, which is empty here.
     assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") >= 3
+
+
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """400 different vectors that are all similar, 20 copies of one of them, and 40 requests."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=64) + rng.normal(size=(400, 64)) * 0.05
+    table = spark.createDataFrame([(i, [float(x) for x in vectors[i]]) for i in range(400)]
+                                  + [(400 + i, [float(x) for x in vectors[0]]) for i in range(20)], SCHEMA)
+    index = VectorIndex.build(table, str(tmp_path_factory.mktemp("crowd") / "index"), 64, part_rows=6)
+    return index, table, table.filter("id < 400 and id % 10 = 0")
+
+
+def moved_bytes(frame):
+    """What the exchanges of a frame that was run have written, before compression."""
+    def nodes(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return nodes(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return nodes(plan.plan())
+        below = plan.children()
+        return [plan] + [x for i in range(below.size()) for x in nodes(below.apply(i))]
+    return sum(x.metrics().apply("dataSize").value() for x in nodes(frame._jdf.queryExecution().executedPlan())
+               if x.getClass().getSimpleName() == "ShuffleExchangeExec")
+
+
+def test_a_crowd_of_similar_vectors_is_not_moved_pair_by_pair(crowd):
+    index, table, requests = crowd
+    found = index.similar(requests)
+    rows = found.collect()
+    assert len(rows) == len({(r.request_id, r.id) for r in rows}) == 40 * 420
+    # A vector has 512 bytes, and a pair passes three exchanges.
+    assert moved_bytes(found) < 400 * len(rows)
+
+
+def test_a_pair_leaves_the_index_once(crowd):
+    index, table, requests = crowd
+    wanted = index._requests(requests, "id", "embedding").select("class", "vector")
+    met = index._met(wanted)
+    assert met.count() == met.distinct().count() == 40 * 400
+
+
+def test_members_of_a_large_class_come_in_parts(crowd):
+    index, table, requests = crowd
+    members, classes = index._read("members"), index._read("classes")
+    assert {r.parts for r in classes.collect()} == {1, 4} and members.count() == 420
+    assert members.join(classes.filter("parts = 4"), "class").select("part").distinct().count() == 4
