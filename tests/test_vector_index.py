@@ -1,5 +1,7 @@
 """Similarity search by sign projections, against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -132,3 +134,23 @@ def test_members_of_a_large_class_come_in_parts(crowd):
     members, classes = index._read("members"), index._read("classes")
     assert {r.parts for r in classes.collect()} == {1, 4} and members.count() == 420
     assert members.join(classes.filter("parts = 4"), "class").select("part").distinct().count() == 4
+
+
+def test_recall_of_a_crowd_moves_no_vector_for_each_pair(crowd):
+    index, table, requests = crowd
+    found = index.recall(requests)
+    rows = found.collect()
+    assert [(r.similar, r.found) for r in rows] == [(400, 400)] * 40
+    assert moved_bytes(found) < 200 * 40 * 400
+
+
+@pytest.mark.parametrize("block", [16_000, 7])
+def test_exact_comparison_is_as_exact_as_double_precision(spark, tmp_path, block):
+    # Cosines that lie on both sides of the threshold, nearer than single precision can tell.
+    angles = [math.acos(0.9 + x * 1e-9) for x in range(-40, 41) if x]
+    table = spark.createDataFrame([(i, [math.cos(a), math.sin(a), 0.0, 0.0]) for i, a in enumerate([0.0, *angles])], SCHEMA)
+    index = VectorIndex.build(table, str(tmp_path / "index"), 4, threshold=0.9)
+    wanted = index._requests(table, "id", "embedding").select("class", "vector")
+    got = index.exact_classes(wanted, block=block)
+    assert got.count() == got.select("request_class", "class").distinct().count() == 80 ** 2 + 1 + 2 * 40
+    assert got.filter("similarity <= 0.9").isEmpty()
